@@ -3,6 +3,10 @@
 A factor is any function ``(Inputs, date) -> Column``; register more with
 :func:`register_factor`. Missing inputs take a factor's documented default; inputs
 without a default make the factor null.
+
+Values used more than once go through :meth:`Inputs.let`, which materialises them as
+columns of an earlier projection. Inlined, the nested CASE expressions would multiply
+and outgrow a generated method.
 """
 
 from __future__ import annotations
@@ -22,6 +26,27 @@ class Inputs:
         self.columns = set(columns)
         self.as_of = as_of if as_of is not None else F.current_date()
         self.options = options or {}
+        self.stages: dict[int, dict[str, Column]] = {}
+
+    def let(self, level: int, name: str, expr: Column) -> Column:
+        """Name an intermediate value; ``level`` n may use columns of levels below n."""
+        full = f"__{name}"
+        self.stages.setdefault(level, {}).setdefault(full, expr)
+        return F.col(full)
+
+    def month(self, date: Column) -> Column:
+        return self.let(1, "month", F.month(date))
+
+    def rut_phase(self, date: Column) -> Column:
+        return self.let(2, "phase", rut_phase(self.month(date), F.dayofmonth(date)))
+
+    def season(self, date: Column) -> Column:
+        return self.let(2, "season", season_name(self.month(date)))
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        for level in sorted(self.stages):
+            df = df.withColumns(self.stages[level])
+        return df
 
     def has(self, name: str) -> bool:
         return name in self.columns
@@ -92,16 +117,17 @@ EARLY_RUT_BAND = (9000, 10000, 8500, 10500)
 
 def elevation(x: Inputs, date: Column) -> Column:
     e = x.get("elevation_ft")
-    month = F.month(date)
-    early_rut = (month == 9) | ((month == 10) & (F.dayofmonth(date) < 10))
+    month = x.month(date)
+    early_rut = x.let(2, "early_rut", (month == 9) | ((month == 10) & (F.dayofmonth(date) < 10)))
 
     def bound(k: int) -> Column:
         by_month = F.element_at(F.array(*[F.lit(float(ELEVATION_BANDS[m][k])) for m in range(1, 13)]), month)
-        return F.when(early_rut, F.greatest(by_month, F.lit(float(EARLY_RUT_BAND[k])))).otherwise(by_month)
+        raised = F.greatest(by_month, F.when(early_rut, float(EARLY_RUT_BAND[k])))
+        return x.let(3, f"elevation_band_{k}", raised)
 
     lo, hi, mn, mx = (bound(k) for k in range(4))
     gap = F.when(e < mn, mn - e).otherwise(e - mx)
-    outside = F.greatest(F.lit(0.0), 7.0 - gap / 1000 * 5)
+    outside = x.let(4, "elevation_outside", F.greatest(F.lit(0.0), 7.0 - gap / 1000 * 5))
     edge = F.when(e < lo, (lo - e) / (lo - mn)).otherwise((e - hi) / (mx - hi))
     optimal, accepted = e.between(lo, hi), e.between(mn, mx)
     score = F.when(e.isNull(), None).when(optimal, 10.0).when(accepted, 10.0 - edge * 3.0).otherwise(outside)
@@ -127,6 +153,7 @@ def elevation(x: Inputs, date: Column) -> Column:
 def snow_conditions(x: Inputs, date: Column) -> Column:
     d = x.get("snow_depth_inches", 0.0)
     crust = x.get("snow_crust_detected", False, "boolean")
+    d = x.let(1, "snow_depth", d)
     deep = F.greatest(F.lit(0.0), 3.0 - (d - 30.0) / 10.0)
     base = (
         F.when(d <= 6, 10.0)
@@ -142,11 +169,11 @@ def snow_conditions(x: Inputs, date: Column) -> Column:
         .otherwise("critical")
     )
     crusted = crust & (d > 6)
-    ahead = F.datediff(date, x.as_of)
+    ahead = x.let(1, "days_ahead", F.datediff(date, x.as_of))
     confidence = F.when(ahead <= 3, 0.90).when(ahead <= 7, 0.75).otherwise(0.60)
     note = F.concat(F.lit("Snow depth "), _text(d, 1), F.lit(" in"), _tag(crusted, " [crusted]"))
     return factor_struct(
-        F.when(crusted, base * 0.7).otherwise(base),
+        base * F.when(crusted, 0.7).otherwise(1.0),
         confidence,
         status,
         note,
@@ -159,7 +186,8 @@ def snow_conditions(x: Inputs, date: Column) -> Column:
 
 def water_distance(x: Inputs, date: Column) -> Column:
     d = x.get("water_distance_miles")
-    reliability = x.get("water_reliability", 1.0)
+    reliability = x.let(1, "water_reliability", x.get("water_reliability", 1.0))
+    d = x.let(1, "water_distance", d)
     far = F.greatest(F.lit(0.0), 3.0 - (d - 2.0))
     base = (
         F.when(d <= 0.25, 10.0)
@@ -202,13 +230,13 @@ def vegetation_quality(x: Inputs, date: Column) -> Column:
     precip = x.get("precip_last_7_days_inches", 0.0)
     cloud = x.get("cloud_cover_percent", 0.0)
     age = x.get("ndvi_age_days", 0.0)
-    season = season_name(F.month(date))
+    season = x.season(date)
 
     def cut(k: int) -> Column:
         expr = F.lit(None).cast("double")
         for name, cuts in NDVI_CUTS.items():
             expr = F.when(season == name, cuts[k]).otherwise(expr)
-        return expr
+        return x.let(3, f"ndvi_cut_{k}", expr)
 
     poor, good, best = cut(0), cut(1), cut(2)
     base = (
@@ -223,10 +251,12 @@ def vegetation_quality(x: Inputs, date: Column) -> Column:
         .when(ndvi >= poor, "fair")
         .when(ndvi.isNotNull(), "poor")
     )
+    base = x.let(4, "vegetation_base", base)
     ten = F.lit(10.0)
     greening = (season == "spring") & (irg > 0.01)
     browning = (season == "fall") & (irg < -0.01)
     timed = F.when(ndvi.isNull(), None).when(greening, F.least(ten, base * 1.15)).when(browning, base * 0.9).otherwise(base)
+    timed = x.let(5, "vegetation_timed", timed)
     wet = (precip > 0.5) & (season != "winter")
     score = F.when(ndvi.isNull(), None).when(wet, F.least(ten, timed * 1.1)).otherwise(timed)
     confidence = F.greatest(
@@ -273,17 +303,18 @@ def hunting_pressure(x: Inputs, date: Column) -> Column:
     trail = x.get("trail_distance_miles")
     security = x.get("security_habitat_percent", 50.0)
     # a missing or zero trail distance counts as the road distance
-    d = F.when(road.isNotNull(), F.least(road, F.when(trail == 0, road).otherwise(F.coalesce(trail, road))))
-    season = hunting_season(date, bool(x.options.get("seasons_every_year")))
+    access = F.least(road, F.when(trail == 0, road).otherwise(F.coalesce(trail, road)))
+    d = x.let(1, "access_distance", F.when(road.isNotNull(), access))
+    season = x.let(1, "hunting_season", hunting_season(date, bool(x.options.get("seasons_every_year"))))
     open_season = season.isNotNull()
-    peak = F.coalesce(rut_phase(F.month(date), F.dayofmonth(date)) == "peak_rut", F.lit(False))
+    peak = F.coalesce(x.rut_phase(date) == "peak_rut", F.lit(False))
     middle = 5.0 + (d - 0.5) * 5.0
     hunted = (
         F.when(d >= 1.5, 10.0)
         .when(d >= 0.5, middle)
         .when(d.isNotNull(), F.greatest(F.lit(1.0), 5.0 * (d / 0.5)))
     )
-    hunted = F.when(peak & (d >= 0.5), hunted * 1.05).otherwise(hunted)
+    hunted = hunted * F.when(peak & (d >= 0.5), 1.05).otherwise(1.0)
     base = F.when(open_season, hunted).otherwise(F.when(d >= 0.5, 9.0).when(d.isNotNull(), 7.0))
     status = F.when(
         open_season,
@@ -315,8 +346,8 @@ def security_habitat(x: Inputs, date: Column) -> Column:
     canopy = x.get("canopy_cover_percent", 0.0)
     road = x.get("road_distance_miles", 0.0)
     trail = x.get("trail_distance_miles", road)
-    secure = (slope > 40) | (canopy > 70) | ((road > 2.5) & (trail > 1.5))
-    pct = x.get("security_habitat_percent", F.when(secure, 50.0).otherwise(20.0))
+    secure = x.let(1, "is_secure", (slope > 40) | (canopy > 70) | ((road > 2.5) & (trail > 1.5)))
+    pct = x.let(2, "security_percent", x.get("security_habitat_percent", F.when(secure, 50.0).otherwise(20.0)))
     ten = F.lit(10.0)
     base = (
         F.when(pct >= 40, 10.0)
@@ -325,14 +356,12 @@ def security_habitat(x: Inputs, date: Column) -> Column:
         .otherwise(F.greatest(F.lit(1.0), 4.0 * (pct / 20.0)))
     )
     status = F.when(pct >= 40, "excellent").when(pct >= 30, "good").when(pct >= 20, "fair").otherwise("poor")
-    base = F.when(secure, F.least(ten, base * 1.1)).otherwise(base)
-    phase = rut_phase(F.month(date), F.dayofmonth(date))
+    # raw scores never exceed 10, so capping after a factor of 1 changes nothing
+    base = F.least(ten, base * F.when(secure, 1.1).otherwise(1.0))
+    phase = x.rut_phase(date)
     boosted = phase.isin("pre_rut", "peak_rut")
-    score = (
-        F.when(phase == "peak_rut", F.least(ten, base * 1.2))
-        .when(phase == "pre_rut", F.least(ten, base * 1.15))
-        .otherwise(base)
-    )
+    boost = F.when(phase == "peak_rut", 1.2).when(phase == "pre_rut", 1.15).otherwise(1.0)
+    score = x.let(3, "security_score", F.least(ten, base * boost))
     status = (
         F.when(boosted & (score >= 9), "excellent")
         .when(boosted & (score >= 7) & status.isin("fair", "poor"), "good")
@@ -355,15 +384,16 @@ def predation_risk(x: Inputs, date: Column) -> Column:
     bears = x.get("bear_activity_distance_miles", 10.0)
     snow = x.get("snow_depth_inches", 0.0)
     security = x.get("security_habitat_percent", 30.0)
-    calving = F.month(date).isin(5, 6)
+    calving = x.month(date).isin(5, 6)
     wolf_cost = (
         F.when(wolves > 5, F.least(F.lit(3.0), (wolves - 5.0) * 0.3)).when(wolves > 2.5, 0.5).otherwise(0.0)
     )
     snow_cost = F.when(snow.between(12, 18), 1.5).otherwise(0.0)
     bear_cost = F.when(calving & (bears < 3), 2.0 * (1 - bears / 3.0)).otherwise(0.0)
     raw = F.lit(7.0) - wolf_cost - snow_cost - bear_cost
-    raw = F.when(security > 40, F.least(F.lit(10.0), raw + 1.0)).otherwise(raw)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(10.0), raw))
+    # the sum before the bonus stays below 10, so one cap covers both branches
+    raw = raw + F.when(security > 40, 1.0).otherwise(0.0)
+    score = x.let(2, "predation_score", F.greatest(F.lit(0.0), F.least(F.lit(10.0), raw)))
     status = F.when(score >= 8, "excellent").when(score >= 6, "good").when(score >= 4, "fair").otherwise("poor")
     level = F.when(score >= 8, "Low").when(score >= 6, "Moderate").when(score >= 4, "Elevated").otherwise("High")
     risks = F.array_compact(
@@ -389,7 +419,7 @@ def nutritional_condition(x: Inputs, date: Column) -> Column:
     summer = x.get("summer_integrated_ndvi", x.get("ndvi", 0.5) * 90)
     stress = (10.0 - x.get("predation_score", 7.0)) / 10.0
     pregnancy = x.get("pregnancy_rate", 0.90)
-    fat = (9.0 + (summer - 45) * 0.2) * (1 - stress * 0.15)
+    fat = x.let(1, "body_fat", (9.0 + (summer - 45) * 0.2) * (1 - stress * 0.15))
     score = (
         F.when(fat >= 13.7, 10.0)
         .when(fat >= 11.0, 7.0 + (fat - 11.0) / (13.7 - 11.0) * 3.0)
@@ -402,7 +432,7 @@ def nutritional_condition(x: Inputs, date: Column) -> Column:
 
     status = tier("excellent", "good", "fair", "poor")
     calf, cow = tier(80, 65, 45, 35), tier(97, 93, 88, 85)
-    month = F.month(date)
+    month = x.month(date)
     confidence = F.when(month.isin(9, 10, 11), 0.75).when(month.isin(12, 1, 2, 3), 0.80).otherwise(0.60)
     note = F.concat(F.initcap(status), F.lit(" body condition (~"), _text(fat, 1), F.lit("% fat)"))
     return factor_struct(
@@ -428,7 +458,7 @@ def winter_severity(x: Inputs, date: Column) -> Column:
         return F.when(wsi < 2000, a).when(wsi < 4000, b).when(wsi < 6000, c).otherwise(d)
 
     status = tier("excellent", "good", "fair", F.when(extreme > 1, "poor").otherwise("critical"))
-    confidence = F.when(F.month(date).isin(11, 12, 1, 2, 3, 4), 0.80).otherwise(0.95)
+    confidence = F.when(x.month(date).isin(11, 12, 1, 2, 3, 4), 0.80).otherwise(0.95)
     klass = tier("mild", "moderate", "severe", "extreme")
     note = F.concat(F.initcap(klass), F.lit(" winter (WSI: "), _text(wsi), F.lit(")"))
     return factor_struct(
@@ -443,7 +473,7 @@ def rut_behavior(x: Inputs, date: Column) -> Column:
     It defaults to ``nlcd_code``, which the assembled context does not carry, so the
     boost stays off unless asked for.
     """
-    phase = rut_phase(F.month(date), F.dayofmonth(date))
+    phase = x.rut_phase(date)
     peak = phase == "peak_rut"
     e = x.get("elevation_ft")
     canopy = x.get("canopy_cover_percent", 0.0)
@@ -467,8 +497,12 @@ def rut_behavior(x: Inputs, date: Column) -> Column:
         .when(security >= 30, F.when(peak, 0.3).otherwise(0.2))
         .otherwise(0.0)
     )
-    score = F.when(phase.isNull(), 7.0).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(10.0), 7.0 + terrain * strength + high + cover))
+    score = x.let(
+        3,
+        "rut_score",
+        F.when(phase.isNull(), 7.0).otherwise(
+            F.greatest(F.lit(0.0), F.least(F.lit(10.0), 7.0 + terrain * strength + high + cover))
+        ),
     )
     status = F.when(phase.isNull(), "good").otherwise(score_status(score))
     note = F.when(phase.isNull(), "Outside rut period").otherwise(
@@ -486,7 +520,9 @@ def ml_prediction(x: Inputs, date: Column) -> Column:
     p = x.get("ml_probability")
     missing = x.get("ml_missing_share", 0.0)
     unusable = (missing > 0.3) | p.isNull()
-    confidence = F.abs(p - 0.5) * 2.0 * F.when(missing > 0, 1.0 - missing).otherwise(1.0)
+    confidence = x.let(
+        1, "model_confidence", F.abs(p - 0.5) * 2.0 * F.when(missing > 0, 1.0 - missing).otherwise(1.0)
+    )
     status = (
         F.when(unusable | (confidence < 0.2), "fair")
         .when(p >= 0.7, "excellent")
@@ -533,30 +569,8 @@ def register_factor(name: str, factor: Factor, weight: float = 1.0) -> None:
     FACTORS[name] = (weight, factor)
 
 
-def with_factors(
-    df: DataFrame,
-    factors: Iterable[str] = RULE_FACTORS,
-    date_col: str = "date",
-    weights: dict[str, float] | None = None,
-    as_of: Column | None = None,
-    options: dict | None = None,
-) -> DataFrame:
-    """Add ``factors``: ``array<struct<factor, ordinal, weight, score, ...>>``."""
-    x = Inputs(df.columns, as_of, options)
-    weights = weights or {}
-    items = []
-    for i, name in enumerate(factors):
-        weight, fn = FACTORS[name]
-        s = fn(x, F.col(date_col))
-        items.append(
-            F.struct(
-                F.lit(name).alias("factor"),
-                F.lit(i).alias("ordinal"),
-                F.lit(float(weights.get(name, weight))).alias("weight"),
-                *[s[f].alias(f) for f in ("score", "confidence", "status", "note", "raw_value", "metadata")],
-            )
-        )
-    return df.withColumn("factors", F.array(*items))
+FIELDS = ("score", "confidence", "status")
+DETAILS = ("note", "raw_value", "metadata")
 
 
 def with_scores(
@@ -565,12 +579,14 @@ def with_scores(
     date_col: str = "date",
     as_of: Column | None = None,
     options: dict | None = None,
+    fields: Iterable[str] = ("score",),
 ) -> DataFrame:
-    """Flat form: one ``<factor>_score`` column per factor, for wide scans."""
+    """Flat ``<factor>_<field>`` columns; fields are score, confidence, status and
+    the detail fields note, raw_value and metadata."""
     x = Inputs(df.columns, as_of, options)
-    return df.select(
-        "*", *[FACTORS[n][1](x, F.col(date_col))["score"].alias(f"{n}_score") for n in factors]
-    )
+    structs = {n: FACTORS[n][1](x, F.col(date_col)) for n in factors}
+    flat = [structs[n][f].alias(f"{n}_{f}") for n in structs for f in fields]
+    return x.staged(df).select(*df.columns, *flat)
 
 
 def habitat_class(total: Column) -> Column:
@@ -580,49 +596,105 @@ def habitat_class(total: Column) -> Column:
     )
 
 
-def with_aggregate(df: DataFrame, method: str = "additive", clamp: bool = False) -> DataFrame:
-    """Fold the ``factors`` array into total score, confidence and extremes.
+def factor_weights(factors: Iterable[str], weights: dict[str, float] | None = None) -> dict[str, float]:
+    return {n: float((weights or {}).get(n, FACTORS[n][0])) for n in factors}
+
+
+def with_totals(
+    df: DataFrame,
+    factors: Iterable[str] = RULE_FACTORS,
+    weights: dict[str, float] | None = None,
+    method: str = "additive",
+    clamp: bool = False,
+) -> DataFrame:
+    """Total score, confidence and extremes from flat score and confidence columns.
 
     A null factor score makes the row's totals null, as a missing required input does.
-    ``contribution_pct`` relates a contribution to the 0-100 total, so the shares do not
-    add up to 100; it is null when the total is 0.
+    Ties between factors go to the one listed first.
     """
-    f = F.col("factors")
-    weight = F.aggregate(f, F.lit(0.0), lambda a, s: a + s["weight"])
+    names = list(factors)
+    w = factor_weights(names, weights)
+    whole = sum(w.values())
+    score = {n: F.col(f"{n}_score") for n in names}
     if method == "additive":
-        total = F.aggregate(f, F.lit(0.0), lambda a, s: a + s["score"] * s["weight"]) / (weight * 10) * 100
+        total = sum((score[n] * w[n] for n in names[1:]), score[names[0]] * w[names[0]]) / (whole * 10) * 100
     elif method == "multiplicative":
-        total = 100 * F.aggregate(
-            f, F.lit(1.0), lambda a, s: a * F.pow(s["score"] / 10.0, s["weight"] / weight)
-        )
+        total = F.lit(100.0)
+        for n in names:
+            total = total * F.pow(score[n] / 10.0, F.lit(w[n] / whole))
     else:
         raise ValueError(f"unknown aggregation method {method!r}")
     if clamp:
         total = F.least(total, F.lit(100.0))
-    ranked_low = F.transform(f, lambda s: F.struct(s["score"], s["ordinal"], s["factor"]))
-    ranked_high = F.transform(f, lambda s: F.struct(s["score"], -s["ordinal"], s["factor"]))
-    out = (
-        df.withColumn("total_score", total)
-        .withColumn(
-            "overall_confidence",
-            F.aggregate(f, F.lit(0.0), lambda a, s: a + s["confidence"] * s["weight"]) / weight,
-        )
-        .withColumn("limiting_factor", F.array_min(ranked_low)["factor"])
-        .withColumn("best_factor", F.array_max(ranked_high)["factor"])
-    )
-    out = out.withColumn("habitat_quality", habitat_class(F.col("total_score")))
-    additive = method == "additive"
-    return out.withColumn(
-        "factors",
-        F.transform(
-            f,
-            lambda s: s.withField(
-                "contribution", s["score"] * s["weight"] if additive else s["score"]
-            ).withField(
-                "contribution_pct",
-                s["score"] * s["weight"] / F.nullif(F.col("total_score"), F.lit(0.0)) * 100
-                if additive
-                else F.lit(None).cast("double"),
-            ),
-        ),
+    out = df.withColumns(
+        {
+            "total_score": total,
+            "overall_confidence": sum(F.col(f"{n}_confidence") * w[n] for n in names) / whole,
+            "_low": F.least(*score.values()) if len(names) > 1 else score[names[0]],
+            "_high": F.greatest(*score.values()) if len(names) > 1 else score[names[0]],
+        }
+    )
+
+    def first_at(mark: str) -> Column:
+        expr = F.lit(None).cast("string")
+        for n in reversed(names):
+            expr = F.when(score[n] == F.col(mark), n).otherwise(expr)
+        return expr
+
+    return out.withColumns(
+        {
+            "limiting_factor": first_at("_low"),
+            "best_factor": first_at("_high"),
+            "habitat_quality": habitat_class(F.col("total_score")),
+        }
+    ).drop("_low", "_high")
+
+
+def score_habitat(
+    df: DataFrame,
+    factors: Iterable[str] = RULE_FACTORS,
+    date_col: str = "date",
+    weights: dict[str, float] | None = None,
+    method: str = "additive",
+    as_of: Column | None = None,
+    options: dict | None = None,
+    details: bool = False,
+    clamp: bool = False,
+) -> DataFrame:
+    """Flat factor columns plus totals: the form every scan-heavy report uses."""
+    names = list(factors)
+    fields = FIELDS + DETAILS if details else FIELDS
+    return with_totals(
+        with_scores(df, names, date_col, as_of, options, fields), names, weights, method, clamp
     )
+
+
+def with_factor_array(
+    df: DataFrame,
+    factors: Iterable[str] = RULE_FACTORS,
+    weights: dict[str, float] | None = None,
+    method: str = "additive",
+) -> DataFrame:
+    """Nested form: ``factors`` as ``array<struct<factor, weight, score, ...>>``.
+
+    ``contribution_pct`` relates a contribution to the 0-100 total, so the shares do not
+    add up to 100; it is null when the total is 0 and for multiplicative totals.
+    """
+    names = list(factors)
+    w = factor_weights(names, weights)
+    items = []
+    for n in names:
+        present = [f for f in FIELDS + DETAILS if f"{n}_{f}" in df.columns]
+        contribution = F.col(f"{n}_score") * (w[n] if method == "additive" else 1.0)
+        pct = contribution / F.nullif(F.col("total_score"), F.lit(0.0)) * 100
+        items.append(
+            F.struct(
+                F.lit(n).alias("factor"),
+                F.lit(w[n]).alias("weight"),
+                *[F.col(f"{n}_{f}").alias(f) for f in present],
+                contribution.alias("contribution"),
+                (pct if method == "additive" else F.lit(None).cast("double")).alias("contribution_pct"),
+            )
+        )
+    flat = [f"{n}_{f}" for n in names for f in FIELDS + DETAILS]
+    return df.withColumn("factors", F.array(*items)).drop(*flat)

@@ -8,8 +8,6 @@ prefix-summed (bounded rows), and exact ranks are formed inside buckets.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +28,26 @@ def value_counts_long(df: DataFrame, columns: list[str], by: list[str] | None =
     )
 
 
-def bucket_edges(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Approximate quantile edges per column; ``buckets`` doubles each reach the driver."""
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(c) for c in columns]
-    ).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+def bucket_edges(
+    df: DataFrame, columns: list[str], buckets: int = BUCKETS, single: int = DISTINCT_IN_ONE_BUCKET
+) -> dict[str, list[float]]:
+    """Approximate quantile edges for columns with more than ``single`` distinct values.
+
+    One row of counts and at most ``buckets`` doubles per column reach the driver; the
+    other columns keep an empty edge list, their distinct values being few enough to be
+    ordered by one task.
+    """
+    names = dict(enumerate(columns))
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in names.items()]).first()
+    large = {i: c for i, c in names.items() if sizes[f"c{i}"] > single}
+    edges: dict[str, list[float]] = {c: [] for c in columns}
+    if large:
+        probs = [i / buckets for i in range(1, buckets)]
+        row = df.agg(
+            *[F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(f"c{i}") for i, c in large.items()]
+        ).first()
+        edges.update({c: sorted(set(row[f"c{i}"] or [])) for i, c in large.items()})
+    return edges
 
 
 def bucket_of(value: Column, edges: list[float]) -> Column:
@@ -56,11 +67,12 @@ def with_cumulative(
 ) -> DataFrame:
     """Adds ``<n>_before`` (rows with a smaller value) and ``<n>_total`` per (by, column)."""
     key = [*by, "column"]
-    bucket = reduce(
-        lambda acc, kv: F.when(F.col("column") == kv[0], bucket_of(F.col("value"), kv[1])).otherwise(acc),
-        edges.items(),
-        F.lit(0),
-    )
+    cut = {c: e for c, e in edges.items() if e}
+    bucket = F.lit(0)
+    if cut:
+        table = F.create_map(*[x for c, e in cut.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in e]))])
+        mine = F.try_element_at(table, F.col("column"))
+        bucket = F.when(mine.isNull(), 0).otherwise(F.size(F.filter(mine, lambda e: e < F.col("value"))))
     counts = counts.withColumn("bucket", bucket)
     totals = counts.groupBy(*key, "bucket").agg(*[F.sum(n).alias(f"{n}_b") for n in n_columns])
     order = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,10 +98,11 @@ def exact_quantiles(
     probs: list[float],
     by: list[str] | None = None,
     buckets: int = BUCKETS,
+    single: int = DISTINCT_IN_ONE_BUCKET,
 ) -> DataFrame:
     """(by..., column, prob, value) with linear interpolation between order statistics."""
     by = by or []
-    edges = bucket_edges(df, columns, buckets)
+    edges = bucket_edges(df, columns, buckets, single)
     ranked = with_cumulative(value_counts_long(df, columns, by), edges, by, ["n"])
     p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("prob")
     pos = F.col("prob") * (F.col("n_total") - 1)
@@ -102,12 +115,14 @@ def exact_quantiles(
     return marked.groupBy(*by, "column", "prob").agg((low + (high - low) * frac).alias("value"))
 
 
-def average_ranks(df: DataFrame, column: str, weights: dict[str, Column]) -> DataFrame:
+def average_ranks(
+    df: DataFrame, column: str, weights: dict[str, Column], single: int = DISTINCT_IN_ONE_BUCKET
+) -> DataFrame:
     """One row per distinct value with counts, counts before it, and its average rank.
 
     ``weights`` adds conditional counts, e.g. ``{"pos": (label == 1).cast("int")}``.
     """
-    edges = bucket_edges(df, [column])
+    edges = bucket_edges(df, [column], single=single)
     counts = (
         df.filter(F.col(column).isNotNull())
         .groupBy(F.lit(column).alias("column"), F.col(column).cast("double").alias("value"))

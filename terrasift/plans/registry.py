@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import importlib.util
 from collections.abc import Callable
@@ -9,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrasift.session import apply_runtime_defaults
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,7 +32,13 @@ def query(name: str, ops: str, sql: str | None = None) -> Callable[[Builder], Bu
     def wrap(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name!r}")
-        QUERIES[name] = Query(name, tuple(ops.split()), fn, sql)
+
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_runtime_defaults(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = Query(name, tuple(ops.split()), build, sql)
         return fn
 
     return wrap

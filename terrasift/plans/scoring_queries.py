@@ -32,8 +32,9 @@ def scoring_input(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_all_factors(df: DataFrame, method: str = "additive", **kw) -> DataFrame:
-    scored = scores.with_factors(df, as_of=F.lit(AS_OF).cast("date"), options=OPTIONS, **kw)
-    return scores.with_aggregate(scored, method)
+    return scores.score_habitat(
+        df, method=method, as_of=F.lit(AS_OF).cast("date"), options=OPTIONS, **kw
+    )
 
 
 @query(
@@ -66,18 +67,18 @@ def factor_scores(spark: SparkSession, d: str) -> DataFrame:
     " winter_c AS winter_severity_confidence, rut_c AS rut_behavior_confidence FROM scored",
 )
 def factor_status(spark: SparkSession, d: str) -> DataFrame:
-    df = scoring_input(spark, d)
-    x = scores.Inputs(df.columns, F.lit(AS_OF).cast("date"), OPTIONS)
-    cols = ["obs_id"]
-    for n in FACTOR_NAMES:
-        s = scores.FACTORS[n][1](x, F.col("date"))
-        cols.append(s["status"].alias(f"{n}_status"))
-        if n in (
-            "snow_conditions", "water_distance", "vegetation_quality",
-            "nutritional_condition", "winter_severity", "rut_behavior",
-        ):
-            cols.append(F.round(s["confidence"], 6).alias(f"{n}_confidence"))
-    return df.select(*cols)
+    out = scores.with_scores(
+        scoring_input(spark, d), as_of=F.lit(AS_OF).cast("date"), options=OPTIONS, fields=("status", "confidence")
+    )
+    varying = [
+        "snow_conditions", "water_distance", "vegetation_quality",
+        "nutritional_condition", "winter_severity", "rut_behavior",
+    ]
+    return out.select(
+        "obs_id",
+        *[f"{n}_status" for n in FACTOR_NAMES],
+        *[F.round(f"{n}_confidence", 6).alias(f"{n}_confidence") for n in varying],
+    )
 
 
 @query(
@@ -103,7 +104,9 @@ def habitat_additive(spark: SparkSession, d: str) -> DataFrame:
         "limiting_factor",
         "best_factor",
         "habitat_quality",
-        F.round(F.col("factors")[0]["contribution_pct"], 6).alias("elevation_contribution_pct"),
+        F.round(
+            F.col("elevation_score") / F.nullif(F.col("total_score"), F.lit(0.0)) * 100, 6
+        ).alias("elevation_contribution_pct"),
     )
 
 
@@ -186,13 +189,13 @@ def model_factor(spark: SparkSession, d: str) -> DataFrame:
             "ml_missing_share": (F.col("obs_id") % 5).cast("double") / 10,
         }
     )
-    s = scores.ml_prediction(scores.Inputs(o.columns), F.col("date"))
+    o = scores.with_scores(o, ["ml_prediction"], fields=scores.FIELDS)
     pct = F.col("security_habitat_percent")
     return o.select(
         "obs_id",
-        F.round(s["score"], 6).alias("score"),
-        F.round(s["confidence"], 6).alias("confidence"),
-        s["status"].alias("status"),
+        F.round("ml_prediction_score", 6).alias("score"),
+        F.round("ml_prediction_confidence", 6).alias("confidence"),
+        F.col("ml_prediction_status").alias("status"),
         F.round(scores.normalize_score(pct, 20, 80), 6).alias("normalized"),
         F.round(scores.normalize_score(pct, 20, 80, inverse=True), 6).alias("normalized_inverse"),
     )
