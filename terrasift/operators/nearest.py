@@ -77,24 +77,37 @@ def _survivors(pairs: DataFrame, level: int, cap_km: float) -> DataFrame:
     return bounded.withColumn("reach", reach).filter(F.col("lower") <= F.col("reach")).drop("lower", "upper", "reach")
 
 
-def candidate_cells(q_cells: DataFrame, f_cells: DataFrame, cap_km: float, max_candidates: int) -> DataFrame:
+def _start_level(reach_km: float) -> int:
+    """Finest level at which the reach spans at most four cells per side."""
+    fits = [k for k in LEVELS if reach_km <= 4 * KM_PER_DEGREE * _size(k)]
+    return max(fits, default=0)
+
+
+def candidate_cells(
+    q_cells: DataFrame, f_cells: DataFrame, cap_km: float, max_candidates: int, slack_km: float = 0.0
+) -> DataFrame:
     """(level, qx, qy, fx, fy): final query cells with their feature cells.
 
-    A final cell without any feature in reach has one row with null ``fx``.
+    A final cell without any feature in reach has one row with null ``fx``. Features
+    may extend up to ``slack_km`` from the cell they are filed under.
     """
-    q = q_cells.groupBy(_up(F.col("ix"), 0).alias("qx"), _up(F.col("iy"), 0).alias("qy")).agg(F.lit(1).alias("one")).drop("one")
-    ky = math.ceil((cap_km + 25.0) / KM_PER_DEGREE)
-    shrink = F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs("qy"), F.abs(F.col("qy") + 1)) + ky, F.lit(89.0)))), F.lit(0.02))
-    kx = F.ceil((cap_km + 25.0) / (KM_PER_DEGREE * shrink)).cast("int")
+    reach = cap_km + slack_km
+    start = _start_level(reach)
+    s = _size(start)
+    q = q_cells.select(_up(F.col("ix"), start).alias("qx"), _up(F.col("iy"), start).alias("qy")).distinct()
+    ky = math.ceil(reach / (KM_PER_DEGREE * s))
+    edge = F.greatest(F.abs(F.col("qy") * s), F.abs((F.col("qy") + 1) * s)) + ky * s
+    shrink = F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01))
+    kx = F.ceil(reach / (KM_PER_DEGREE * s * shrink)).cast("int")
     around = q.select(
         "qx",
         "qy",
         F.explode(F.sequence(F.lit(-ky), F.lit(ky))).alias("dy"),
         F.sequence(-kx, kx).alias("dxs"),
     ).select("qx", "qy", (F.col("qy") + F.col("dy")).alias("fy"), F.explode("dxs").alias("dx"))
-    pairs = around.withColumn("fx", F.col("qx") + F.col("dx")).join(_cell_counts(f_cells, 0, "f"), ["fx", "fy"])
+    pairs = around.withColumn("fx", F.col("qx") + F.col("dx")).join(_cell_counts(f_cells, start, "f"), ["fx", "fy"])
     finals = None
-    for level in LEVELS:
+    for level in range(start, MAX_LEVEL + 1):
         kept = _survivors(pairs.select("qx", "qy", "fx", "fy", "n", "half_km"), level, cap_km)
         per_cell = kept.withColumn("load", F.sum("n").over(Window.partitionBy("qx", "qy")))
         state = q.join(per_cell, ["qx", "qy"], "left").withColumn(
@@ -180,7 +193,8 @@ def nearest(
         .select(_finest(F.col(lon)).alias("ix"), _finest(F.col(lat)).alias("iy"))
         .distinct()
     )
-    finals = cut_lineage(candidate_cells(q_cells, f_cells, cap_km, max_candidates))
+    slack = 6.0 if segments else 0.0
+    finals = cut_lineage(candidate_cells(q_cells, f_cells, cap_km, max_candidates, slack))
     levels = sorted(r["level"] for r in finals.select("level").distinct().collect())  # at most MAX_LEVEL + 1
 
     def keys(x: str, y: str) -> Column:

@@ -221,10 +221,10 @@ def top_variance(spark: SparkSession, d: str) -> DataFrame:
     cte("obs")
     + """
 , s AS (SELECT min(ndvi) AS lo, max(ndvi) AS hi, stddev_samp(ndvi) * pow(count(ndvi), -0.2) AS h, count(ndvi) AS n FROM obs),
-c AS (SELECT least(CAST(floor((ndvi - lo) / (hi - lo) * 800) AS INT), 799) AS cell, count(*) AS k, avg(ndvi) AS at FROM obs, s WHERE ndvi IS NOT NULL GROUP BY 1),
+c AS (SELECT least(CAST(floor((ndvi - lo) / (hi - lo) * 800) AS INT), 799) AS cell, count(*) AS k, avg(ndvi) AS pos FROM obs, s WHERE ndvi IS NOT NULL GROUP BY 1),
 g AS (SELECT CAST(range AS INT) AS i FROM range(100))
 SELECT i, round(any_value(lo + i * ((hi - lo) / 99)), 6) AS x,
-  round(sum(k * exp(-pow((lo + i * ((hi - lo) / 99) - at) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density
+  round(sum(k * exp(-pow((lo + i * ((hi - lo) / 99) - pos) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density
 FROM g, c, s GROUP BY i
 """,
 )
@@ -276,11 +276,11 @@ _AUC = """
     "E14",
     _SCORE_CTE
     + ","
-    + _AUC.format(n="a1", label="elevation_score", v="elevation_s")
+    + _AUC.format(n="a1", label="elevation_score", v="round(elevation_s, 12)")
     + ","
-    + _AUC.format(n="a2", label="snow_conditions_score", v="snow_s")
+    + _AUC.format(n="a2", label="snow_conditions_score", v="round(snow_s, 12)")
     + ","
-    + _AUC.format(n="a3", label="security_habitat_score", v="security_s")
+    + _AUC.format(n="a3", label="security_habitat_score", v="round(security_s, 12)")
     + " SELECT score, round(auc, 6) AS auc, CASE WHEN score = 'elevation_score' THEN 'REVIEW' WHEN auc > 0.55 THEN 'KEEP' ELSE 'DROP' END AS verdict"
     " FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)",
 )
