@@ -153,8 +153,7 @@ def point_segment_distance_m(
     len2 = dx * dx + dy * dy
     t = F.when(len2 > 0, -(ax * dx + ay * dy) / len2).otherwise(F.lit(0.0))
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    px, py = ax + t * dx, ay + t * dy
-    return F.sqrt(px * px + py * py)
+    return F.hypot(ax + t * dx, ay + t * dy)
 
 
 def _ring_terms(ring: Column, term) -> Column:

@@ -14,14 +14,14 @@ UNSUITABLE_LAND_COVER = [11, 12, 21, 22, 23, 24, 31]
 # reduced set used without configuration.
 SEASON_ELEVATION_RULES = {
     "config": [
-        ("winter_high", [12, 1, 2], ">=", 9000.0),
-        ("summer_low", [6, 7, 8], "<=", 6000.0),
-        ("fall_high", [9, 10, 11], ">=", 11000.0),
-        ("fall_low", [9, 10, 11], "<=", 5000.0),
+        ("winter_too_high", [12, 1, 2, 3], ">=", 9000.0),
+        ("summer_too_low", [6, 7, 8], "<=", 6000.0),
+        ("fall_too_high", [9, 10, 11], ">=", 11000.0),
+        ("fall_too_low", [9, 10, 11], "<=", 5000.0),
     ],
     "default": [
-        ("winter_high", [12, 1, 2], ">=", 9000.0),
-        ("summer_low", [6, 7, 8], "<=", 6000.0),
+        ("winter_too_high", [12, 1, 2, 3], ">=", 9000.0),
+        ("summer_too_low", [6, 7, 8], "<=", 6000.0),
     ],
 }
 

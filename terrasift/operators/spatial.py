@@ -75,19 +75,35 @@ def with_wolf_density(points: DataFrame, packs: DataFrame, **kw) -> DataFrame:
 def boundary_distance_km(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
     """Kilometres to a polygon given as (lon, lat) vertices; 0 inside."""
     pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    edges = [
-        point_segment_distance_m(lat, lon, F.lit(a[1]), F.lit(a[0]), F.lit(b[1]), F.lit(b[0]))
-        for a, b in zip(pts, pts[1:])
-    ]
-    literal = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in pts])
-    return F.when(point_in_ring(lon, lat, literal), 0.0).otherwise(F.least(*edges) / 1000.0)
+    edges = F.array(
+        *[
+            F.struct(F.lit(a[0]).alias("x1"), F.lit(a[1]).alias("y1"), F.lit(b[0]).alias("x2"), F.lit(b[1]).alias("y2"))
+            for a, b in zip(pts, pts[1:])
+        ]
+    )
+    metres = F.array_min(
+        F.transform(edges, lambda e: point_segment_distance_m(lat, lon, e["y1"], e["x1"], e["y2"], e["x2"]))
+    )
+    return F.when(inside_literal_ring(lat, lon, pts), 0.0).otherwise(metres / 1000.0)
+
+
+def inside_literal_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
+    """Ray cast against constant (lon, lat) vertices: plain arithmetic, no array walk."""
+    pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+    crossings = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(pts, pts[1:]):
+        if y1 == y2:
+            continue
+        spans = (F.lit(y1) > lat) != (F.lit(y2) > lat)
+        crossings = crossings + F.when(spans & (lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)), 1).otherwise(0)
+    return crossings % 2 == 1
 
 
 def within_shares(df: DataFrame, distance: Column, limits: list[float]) -> DataFrame:
     """Share of rows within each distance of an area."""
-    return df.agg(
+    return df.select(distance.alias("_km")).agg(
         F.count(F.lit(1)).alias("n"),
-        *[(count_if(distance <= k) / F.count(F.lit(1))).alias(f"within_{k:g}_km") for k in limits],
+        *[(count_if(F.col("_km") <= k) / F.count(F.lit(1))).alias(f"within_{k:g}_km") for k in limits],
     )
 
 

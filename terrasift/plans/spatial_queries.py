@@ -131,8 +131,8 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
 SELECT obs_id, elevation_ft BETWEEN 6000 AND 13500 AND slope_degrees < 45 AND water_distance_miles <= 5 AS suitable,
   elevation_ft < 4000 OR elevation_ft > 14000 OR slope_degrees > 60 OR land_cover_code IN (11,12,21,22,23,24,31) OR water_distance_miles > 10 AS unsuitable,
   elevation_ft < 4000 OR slope_degrees >= 45 OR water_distance_miles > 10 AS unsuitable_short,
-  CASE WHEN month(date) IN (12,1,2) AND elevation_ft >= 9000 THEN 'winter_high' WHEN month(date) IN (6,7,8) AND elevation_ft <= 6000 THEN 'summer_low'
-    WHEN month(date) IN (9,10,11) AND elevation_ft >= 11000 THEN 'fall_high' WHEN month(date) IN (9,10,11) AND elevation_ft <= 5000 THEN 'fall_low' END AS season_rule
+  CASE WHEN month(date) IN (12,1,2,3) AND elevation_ft >= 9000 THEN 'winter_too_high' WHEN month(date) IN (6,7,8) AND elevation_ft <= 6000 THEN 'summer_too_low'
+    WHEN month(date) IN (9,10,11) AND elevation_ft >= 11000 THEN 'fall_too_high' WHEN month(date) IN (9,10,11) AND elevation_ft <= 5000 THEN 'fall_too_low' END AS season_rule
 FROM obs
 """,
 )
