@@ -31,18 +31,21 @@ def normalise_fixes(df: DataFrame, utm_zone: int = 12) -> DataFrame:
     east = first_present(df, ["Easting", "easting"])
     north = first_present(df, ["Northing", "northing"])
     if east and north:
-        lat, lon = geo.utm_to_wgs84(F.col(east).try_cast("double"), F.col(north).try_cast("double"), utm_zone)
-        out = df.withColumns({"latitude": lat, "longitude": lon})
-    else:
-        lat_name, lon_name = first_present(df, LAT_NAMES), first_present(df, LON_NAMES)
-        if lat_name is None or lon_name is None:
-            raise ValueError(f"no coordinate columns among {df.columns}")
-        rest = [c for c in df.columns if c not in (lat_name, lon_name)]
-        out = df.select(
-            *rest,
-            F.col(lat_name).try_cast("double").alias("latitude"),
-            F.col(lon_name).try_cast("double").alias("longitude"),
-        )
+        # the inverse projection of any finite pair is a valid position, so the test stays
+        # on the inputs, where the optimizer need not copy the series into the filter
+        e, n = F.col(east).try_cast("double"), F.col(north).try_cast("double")
+        lat, lon = geo.utm_to_wgs84(e, n, utm_zone)
+        finite = e.isNotNull() & n.isNotNull() & ~F.isnan(e) & ~F.isnan(n)
+        return df.filter(finite).withColumns({"latitude": lat, "longitude": lon})
+    lat_name, lon_name = first_present(df, LAT_NAMES), first_present(df, LON_NAMES)
+    if lat_name is None or lon_name is None:
+        raise ValueError(f"no coordinate columns among {df.columns}")
+    rest = [c for c in df.columns if c not in (lat_name, lon_name)]
+    out = df.select(
+        *rest,
+        F.col(lat_name).try_cast("double").alias("latitude"),
+        F.col(lon_name).try_cast("double").alias("longitude"),
+    )
     return out.filter(valid_coordinates(F.col("latitude"), F.col("longitude")))
 
 
