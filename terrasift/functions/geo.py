@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -111,6 +111,24 @@ def utm_to_wgs84(easting: Column, northing: Column, zone: int) -> tuple[Column,
     return F.degrees(phi), F.degrees(lam) + central_meridian(zone)
 
 
+def with_wgs84(df: DataFrame, easting: Column, northing: Column, zone: int) -> DataFrame:
+    """Adds ``latitude`` and ``longitude``; the series runs in steps that reuse columns."""
+    df = df.withColumns({"_xi0": northing / (_K0 * _RADIUS), "_eta0": (easting - _E0) / (_K0 * _RADIUS)})
+    xi, eta = F.col("_xi0"), F.col("_eta0")
+    for j, b in enumerate(_BETA, start=1):
+        xi = xi - b * F.sin(2 * j * F.col("_xi0")) * F.cosh(2 * j * F.col("_eta0"))
+        eta = eta - b * F.cos(2 * j * F.col("_xi0")) * F.sinh(2 * j * F.col("_eta0"))
+    df = df.withColumns({"_xi": xi, "_eta": eta})
+    df = df.withColumn("_chi", F.asin(F.sin("_xi") / F.cosh("_eta")))
+    phi = F.col("_chi")
+    for j, d in enumerate(_DELTA, start=1):
+        phi = phi + d * F.sin(2 * j * F.col("_chi"))
+    lam = F.atan2(F.sinh("_eta"), F.cos("_xi"))
+    return df.withColumns(
+        {"latitude": F.degrees(phi), "longitude": F.degrees(lam) + central_meridian(zone)}
+    ).drop("_xi0", "_eta0", "_xi", "_eta", "_chi")
+
+
 # --- planar geometry -----------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Synodic month and reference new moon.
@@ -88,42 +88,97 @@ def cloud_adjusted(effective: Column, cloud_percent: Column) -> Column:
     return effective * F.exp(-2.5 * cloud_percent / 100.0)
 
 
-def night_summary(
-    lat: Column, lon: Column, date: Column, cloud_percent: Column | None = None, ephemeris: bool = True
-) -> Column:
-    """One struct of night-time moon features over 20:00-05:00.
+def _night_altitudes(df: DataFrame, lat: Column, lon: Column, date: Column) -> DataFrame:
+    """Adds ``_alt``: moon altitude at each night hour.
 
-    Hours after midnight belong to the following calendar day. Ten fixed hours are
-    unrolled, so the whole night stays inside one projection.
+    Each step of the ephemeris is one array column over the ten hours, so no step is
+    copied into the next and generated code stays short.
     """
-    altitudes, lights, clouded = [], [], []
-    for hour in NIGHT_HOURS:
-        day = date if hour >= 12 else F.date_add(date, 1)
-        alt = moon_position(lat, lon, day, F.lit(float(hour)))[0] if ephemeris else rough_altitude(day)
-        altitudes.append(alt)
-        lights.append(effective_illumination(moon_phase(day), alt))
-    n = float(len(NIGHT_HOURS))
-    midnight = NIGHT_HOURS.index(0)
-    fields = [
-        moon_phase(date).alias("moon_phase"),
-        altitudes[midnight].alias("moon_altitude_midnight"),
-        (sum(altitudes[1:], altitudes[0]) / n).alias("moon_altitude_mean"),
-        sum(
-            (F.when(a > 0, 1).otherwise(0) for a in altitudes[1:]),
-            F.when(altitudes[0] > 0, 1).otherwise(0),
-        ).alias("moon_visible_hours"),
-        lights[midnight].alias("effective_illumination_midnight"),
-        (sum(lights[1:], lights[0]) / n).alias("effective_illumination_mean"),
+    base = F.datediff(date, F.to_date(F.lit("2000-01-01"))).cast("double")
+    offsets = [h / 24.0 + (0.0 if h >= 12 else 1.0) - 0.5 for h in NIGHT_HOURS]
+    rad = F.radians
+
+    def turn(start: float, rate: float, d: Column) -> Column:
+        return rad(F.pmod(F.lit(start) + rate * d, F.lit(360.0)))
+
+    def arguments(d: Column) -> Column:
+        return F.struct(
+            d.alias("d"),
+            F.pmod(218.316 + 13.176396 * d, F.lit(360.0)).alias("ml"),
+            turn(134.963, 13.064993, d).alias("an"),
+            turn(93.272, 13.229350, d).alias("nd"),
+            turn(297.850, 12.190749, d).alias("el"),
+            turn(357.529, 0.985600, d).alias("sn"),
+        )
+
+    def ecliptic(x: Column) -> Column:
+        an, el = x["an"], x["el"]
+        lo = rad(
+            x["ml"] + 6.289 * F.sin(an) + 1.274 * F.sin(2 * el - an) + 0.658 * F.sin(2 * el)
+            + 0.214 * F.sin(2 * an) - 0.186 * F.sin(x["sn"])
+        )
+        la = rad(5.128 * F.sin(x["nd"]) + 0.281 * F.sin(an + x["nd"]) + 0.278 * F.sin(an - x["nd"]))
+        return F.struct(x["d"].alias("d"), lo.alias("lo"), la.alias("la"))
+
+    tilt = rad(F.lit(23.4397))
+
+    def equatorial(x: Column) -> Column:
+        lo, la = x["lo"], x["la"]
+        ra = F.atan2(F.sin(lo) * F.cos(tilt) - F.tan(la) * F.sin(tilt), F.cos(lo))
+        dec = F.asin(F.sin(la) * F.cos(tilt) + F.cos(la) * F.sin(tilt) * F.sin(lo))
+        hour_angle = rad(F.pmod(280.46062 + 360.98564737 * x["d"] + lon, F.lit(360.0))) - ra
+        return F.struct(dec.alias("dec"), hour_angle.alias("h"))
+
+    def altitude(x: Column) -> Column:
+        phi = rad(lat)
+        return F.asin(F.sin(phi) * F.sin(x["dec"]) + F.cos(phi) * F.cos(x["dec"]) * F.cos(x["h"]))
+
+    steps = [
+        F.transform(F.array(*[F.lit(o) for o in offsets]), lambda o: arguments(base + o)),
+        F.transform("_alt", ecliptic),
+        F.transform("_alt", equatorial),
+        F.transform("_alt", altitude),
+        F.transform("_alt", lambda a: F.degrees(a - rad(F.lit(0.9507)) * F.cos(a))),
     ]
+    for step in steps:
+        df = df.withColumn("_alt", step)
+    return df
+
+
+def with_night_features(
+    df: DataFrame, lat: Column, lon: Column, date: Column, cloud_percent: Column | None = None, ephemeris: bool = True
+) -> DataFrame:
+    """Night-time moon features over 20:00-05:00 as columns.
+
+    Hours after midnight belong to the following calendar day. Without ``ephemeris`` the
+    altitude is the guess from phase alone.
+    """
+    phases = [moon_phase(date), moon_phase(F.date_add(date, 1))]
+    df = df.withColumns({"_p0": phases[0], "_p1": phases[1]})
+    if ephemeris:
+        df = _night_altitudes(df, lat, lon, date)
+        same_day = moon_position(lat, lon, date, F.lit(0.0))[0]
+    else:
+        guess = [45 * F.col("_p0" if h >= 12 else "_p1") - 10 for h in NIGHT_HOURS]
+        df = df.withColumn("_alt", F.array(*guess))
+        same_day = 45 * F.col("_p0") - 10
+    n = len(NIGHT_HOURS)
+    evening = sum(1 for h in NIGHT_HOURS if h >= 12)
+    phase_at = lambda i: F.when(i < evening, F.col("_p0")).otherwise(F.col("_p1"))
+    df = df.withColumn("_lum", F.transform("_alt", lambda a, i: effective_illumination(phase_at(i), a)))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / n
+    midnight = NIGHT_HOURS.index(0)
+    new = {
+        "moon_phase": F.col("_p0"),
+        "moon_altitude_midnight": F.col("_alt")[midnight],
+        "moon_altitude_mean": mean("_alt"),
+        "moon_visible_hours": F.size(F.filter("_alt", lambda a: a > 0)),
+        "effective_illumination_midnight": F.col("_lum")[midnight],
+        "effective_illumination_mean": mean("_lum"),
+    }
     if cloud_percent is not None:
-        alt0 = (
-            moon_position(lat, lon, date, F.lit(0.0))[0] if ephemeris else rough_altitude(date)
-        )
-        fields.append(
-            cloud_adjusted(effective_illumination(moon_phase(date), alt0), cloud_percent).alias(
-                "cloud_adjusted_illumination"
-            )
-        )
-        clouded = [cloud_adjusted(x, cloud_percent) for x in lights]
-        fields.append((sum(clouded[1:], clouded[0]) / n).alias("cloud_adjusted_illumination_mean"))
-    return F.struct(*fields)
+        # clouds dim every hour alike, so the mean scales with the mean light
+        df = df.withColumns({"_now": same_day, "_cloud": cloud_adjusted(F.lit(1.0), cloud_percent)})
+        new["cloud_adjusted_illumination"] = effective_illumination(F.col("_p0"), F.col("_now")) * F.col("_cloud")
+        new["cloud_adjusted_illumination_mean"] = mean("_lum") * F.col("_cloud")
+    return df.withColumns(new).drop("_p0", "_p1", "_alt", "_lum", "_now", "_cloud")

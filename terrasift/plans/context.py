@@ -177,15 +177,9 @@ def assemble_context(points: DataFrame, layers: Layers) -> DataFrame:
             "bear_data_quality": F.lit(bear[0] if layers.bears is not None else bear[1]),
         }
     )
-    moon = lunar.night_summary(
-        F.col("latitude"), F.col("longitude"), F.col("date"), F.col("cloud_cover_percent"), layers.ephemeris
+    df = lunar.with_night_features(
+        df, F.col("latitude"), F.col("longitude"), F.col("date"), F.col("cloud_cover_percent"), layers.ephemeris
+    )
+    return df.withColumnRenamed("effective_illumination_midnight", "effective_illumination").drop(
+        "moon_altitude_mean", "moon_visible_hours", "effective_illumination_mean", "cloud_adjusted_illumination_mean"
     )
-    df = df.withColumn("_moon", moon)
-    return df.withColumns(
-        {
-            "moon_phase": F.col("_moon.moon_phase"),
-            "moon_altitude_midnight": F.col("_moon.moon_altitude_midnight"),
-            "effective_illumination": F.col("_moon.effective_illumination_midnight"),
-            "cloud_adjusted_illumination": F.col("_moon.cloud_adjusted_illumination"),
-        }
-    ).drop("_moon")

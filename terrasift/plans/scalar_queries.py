@@ -282,10 +282,10 @@ FROM obs JOIN n USING (date, cloud_cover_percent)
 """,
 )
 def moon_night_features(spark: SparkSession, d: str) -> DataFrame:
-    night = lunar.night_summary(
-        F.col("latitude"), F.col("longitude"), F.col("date"), F.col("cloud_cover_percent"), ephemeris=False
-    )
-    out = view(spark, d, "obs").select("obs_id", night.alias("n")).select("obs_id", "n.*")
+    o = view(spark, d, "obs").select("obs_id", "latitude", "longitude", "date", "cloud_cover_percent")
+    out = lunar.with_night_features(
+        o, F.col("latitude"), F.col("longitude"), F.col("date"), F.col("cloud_cover_percent"), ephemeris=False
+    ).drop("latitude", "longitude", "date", "cloud_cover_percent")
     return out.select(
         "obs_id", "moon_visible_hours", *[r6(F.col(c)).alias(c) for c in out.columns if c not in ("obs_id", "moon_visible_hours")]
     )

@@ -34,9 +34,8 @@ def normalise_fixes(df: DataFrame, utm_zone: int = 12) -> DataFrame:
         # the inverse projection of any finite pair is a valid position, so the test stays
         # on the inputs, where the optimizer need not copy the series into the filter
         e, n = F.col(east).try_cast("double"), F.col(north).try_cast("double")
-        lat, lon = geo.utm_to_wgs84(e, n, utm_zone)
-        finite = e.isNotNull() & n.isNotNull() & ~F.isnan(e) & ~F.isnan(n)
-        return df.filter(finite).withColumns({"latitude": lat, "longitude": lon})
+        finite = F.abs(e) + F.abs(n) < 1e12  # false for NaN, null for null
+        return geo.with_wgs84(df.filter(finite), e, n, utm_zone)
     lat_name, lon_name = first_present(df, LAT_NAMES), first_present(df, LON_NAMES)
     if lat_name is None or lon_name is None:
         raise ValueError(f"no coordinate columns among {df.columns}")
