@@ -160,11 +160,14 @@ def point_in_box(lon: Column, lat: Column, min_lon, min_lat, max_lon, max_lat) -
 
 
 def point_segment_distance_m(
-    lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column
+    lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column, shrink: Column | None = None
 ) -> Column:
-    """Distance in metres on a local equirectangular plane centred on the point."""
+    """Distance in metres on a local equirectangular plane centred on the point.
+
+    ``shrink`` passes the cosine of the latitude where it is at hand already.
+    """
     k = EARTH_KM * 1000.0 * math.pi / 180.0
-    shrink = F.cos(F.radians(lat))
+    shrink = F.cos(F.radians(lat)) if shrink is None else shrink
     ax, ay = (lon1 - lon) * shrink * k, (lat1 - lat) * k
     bx, by = (lon2 - lon) * shrink * k, (lat2 - lat) * k
     dx, dy = bx - ax, by - ay

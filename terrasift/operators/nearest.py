@@ -3,7 +3,7 @@
 A fixed grid breaks down where points or features crowd: one cell may hold a third of
 both. Here only *cells* are compared first. Starting at one degree, every query cell
 keeps the feature cells whose lower distance bound does not exceed the best upper bound;
-cells whose surviving feature count is still above ``max_candidates`` are split by four
+cells whose surviving feature count is still above ``max_candidates`` are split in two
 per axis and compared again. The result is one row per final query cell with its short
 candidate array, so each point meets exactly one row: no pairs are emitted, and a hot
 cell is an ordinary skewed equi-join against a unique key, which AQE splits.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from terrasift.functions.geo import EARTH_KM, point_segment_distance_m
 from terrasift.operators.lineage import cut_lineage
 
-SHIFT = 2  # a cell splits into 4 x 4 children
-MAX_LEVEL = 7  # 1 degree / 4**7 is about 7 m
-FINEST = 4**MAX_LEVEL
+SHIFT = 1  # a cell splits into 2 x 2 children
+MAX_LEVEL = 14  # 1 degree / 2**14 is about 7 m
+FINEST = 2**MAX_LEVEL
 KM_PER_DEGREE = 110.57
 LEVELS = range(MAX_LEVEL + 1)
 
@@ -36,7 +36,7 @@ def _finest(value: Column) -> Column:
 
 
 def _size(level: int) -> float:
-    return 1.0 / 4**level
+    return 1.0 / 2**level
 
 
 def _arc_km(hav: Column) -> Column:
@@ -219,7 +219,10 @@ def nearest(
         .groupBy("level", F.col("qx").alias("cx"), F.col("qy").alias("cy"))
         .agg(F.collect_list("item").alias("_candidates"))
     )
-    keyed = points.withColumns({"_ix": _finest(F.col(lon)), "_iy": _finest(F.col(lat))})
+    # what depends on the point alone is computed once, outside the candidate walk
+    keyed = points.withColumns(
+        {"_ix": _finest(F.col(lon)), "_iy": _finest(F.col(lat)), "_shrink": F.cos(F.radians(lat))}
+    )
     if not segments:
         keyed = keyed.withColumns(dict(zip(("_px", "_py", "_pz"), xyz(lat, lon))))
     # every located point matches exactly one of its exploded level keys
@@ -233,19 +236,21 @@ def nearest(
 
     def distance(c: Column) -> Column:
         if segments:
-            return point_segment_distance_m(F.col(lat), F.col(lon), c["lat1"], c["lon1"], c["lat2"], c["lon2"]) / 1000
+            ends = (c["lat1"], c["lon1"], c["lat2"], c["lon2"])
+            return point_segment_distance_m(F.col(lat), F.col(lon), *ends, shrink=F.col("_shrink")) / 1000
         dx, dy, dz = c["x"] - F.col("_px"), c["y"] - F.col("_py"), c["z"] - F.col("_pz")
         return F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) / 2) * (2 * EARTH_KM)
 
     ranked = F.array_min(
-        F.transform("_candidates", lambda c: F.struct(F.round(distance(c), 6).alias("distance_km"), c["who"].alias("who")))
+        F.transform("_candidates", lambda c: F.struct(F.rint(distance(c) * 1e6).alias("mm"), c["who"].alias("who")))
     )
     joined = joined.withColumn("_best", ranked)
     best = F.col("_best")
+    km = best["mm"] / 1e6
     result = F.when(
-        best["distance_km"] <= cap_km,
+        km <= cap_km,
         F.struct(
-            best["distance_km"].alias("distance_km"),
+            km.alias("distance_km"),
             best["who"][feature_id].alias(feature_id),
             *[best["who"][p].alias(p) for p in payload],
         ),
