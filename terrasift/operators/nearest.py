@@ -145,7 +145,7 @@ def nearest(
     lat: str = "latitude",
     lon: str = "longitude",
     out: str = "nearest",
-    max_candidates: int = 64,
+    max_candidates: int = 24,
 ) -> DataFrame:
     """Adds struct ``out`` (distance_km, feature id, payload...), null beyond ``cap_km``.
 
