@@ -77,9 +77,9 @@ def _pick(options: list[int], u: Column) -> Column:
 def _draw_presence(df: DataFrame, presence: DataFrame, key: str, columns: list[str], seed: int, stream: str) -> DataFrame:
     """Attach ``columns`` of a presence row drawn with replacement per candidate."""
     ranked = with_hash_rank(presence.select(key, *columns), [key], seed, stream).withColumnRenamed("rank_total", "_size")
-    size = presence.agg(F.count(F.lit(1)).alias("_n"))
+    size = presence.agg(F.count(F.lit(1))).scalar()
     u = hash_uniform(seed, f"{stream}_pick", F.col("candidate_id"))
-    keyed = df.join(F.broadcast(size), how="cross").withColumn("rank", (F.floor(u * F.col("_n")) + 1).cast("bigint")).drop("_n")
+    keyed = df.withColumn("rank", (F.floor(u * size) + 1).cast("bigint"))
     return keyed.join(ranked.select("rank", *columns), "rank").drop("rank")
 
 
@@ -87,6 +87,12 @@ def _obstacles(presence: DataFrame) -> DataFrame:
     return presence.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 
 
+def _year_span(presence: DataFrame) -> tuple[Column, Column]:
+    """First and last presence year as scalar subqueries."""
+    y = F.year("date")
+    return presence.agg(F.min(y)).scalar(), presence.agg(F.max(y)).scalar()
+
+
 def random_day(year: Column, month: Column, u: Column) -> Column:
     day = F.floor(u * temporal.days_in_month(year, month)) + 1
     return F.make_date(year, month, day.cast("int"))
@@ -138,7 +144,7 @@ def unsuitable_season(
     """
     table = habitat.SEASON_ELEVATION_RULES[rules]
     spark = presence.sparkSession
-    span = presence.agg(F.min(F.year("date")).alias("y0"), F.max(F.year("date")).alias("y1"))
+    first, last = _year_span(presence)
     parts = []
     for i, (name, months, op, feet) in enumerate(table):
         c = candidates(spark, attempts, seed + i + 1)
@@ -155,9 +161,9 @@ def unsuitable_season(
     u = lambda stream: F.conv(
         F.substring(F.md5(F.concat_ws("|", F.col("_seed").cast("string"), F.lit(stream), F.col("candidate_id").cast("string"))), 1, 8), 16, 10
     ).cast("bigint") / F.lit(4294967296.0)
-    year = (F.col("y0") + F.floor(u("year") * (F.col("y1") - F.col("y0") + 1))).cast("int")
-    dated = kept.join(F.broadcast(span), how="cross").withColumn("date", random_day(year, F.col("month"), u("day")))
-    return _finish(dated.drop("y0", "y1", "month", "_seed"), "unsuitable_temporal_environmental", "high")
+    dated = kept.withColumn("_year", (first + F.floor(u("year") * (last - first + 1))).cast("int"))
+    dated = dated.withColumn("date", random_day(F.col("_year"), F.col("month"), u("day")))
+    return _finish(dated.drop("_year", "month", "_seed"), "unsuitable_temporal_environmental", "high")
 
 
 def random_temporal(
@@ -166,12 +172,15 @@ def random_temporal(
     """Uniform place, year, month and day at least ``min_distance_m`` from presences."""
     spark = presence.sparkSession
     far = first_n(beyond_distance(candidates(spark, attempts, seed), _obstacles(presence), min_distance_m), n)
-    span = presence.agg(F.min(F.year("date")).alias("y0"), F.max(F.year("date")).alias("y1"))
+    first, last = _year_span(presence)
     k = F.col("candidate_id")
-    year = (F.col("y0") + F.floor(hash_uniform(seed, "year", k) * (F.col("y1") - F.col("y0") + 1))).cast("int")
-    month = (F.floor(hash_uniform(seed, "month", k) * 12) + 1).cast("int")
-    dated = far.join(F.broadcast(span), how="cross").withColumn("date", random_day(year, month, hash_uniform(seed, "day", k)))
-    return _finish(dated.drop("y0", "y1"), "random_background", "low")
+    dated = far.withColumns(
+        {
+            "_year": (first + F.floor(hash_uniform(seed, "year", k) * (last - first + 1))).cast("int"),
+            "_month": (F.floor(hash_uniform(seed, "month", k) * 12) + 1).cast("int"),
+        }
+    ).withColumn("date", random_day(F.col("_year"), F.col("_month"), hash_uniform(seed, "day", k)))
+    return _finish(dated.drop("_year", "_month"), "random_background", "low")
 
 
 def environmental(
@@ -265,15 +274,15 @@ def validate_separation(presence: DataFrame, absences: DataFrame, cap_km: float
     near = nearest(absences, ids, cap_km, "presence_id", out="_near").select(
         (F.col("_near.distance_km") * 1000).alias("metres")
     )
-    n_presence = presence.agg(F.count(F.lit(1)).alias("n_presence"))
     stats = near.agg(
         F.count(F.lit(1)).alias("n_absence"), F.avg("metres").alias("mean_m"), F.min("metres").alias("min_m")
     )
     median = exact_quantiles(near, ["metres"], [0.5]).select(F.col("value").alias("median_m"))
     ratio = F.col("n_absence") / F.nullif(F.col("n_presence"), F.lit(0))
     return (
-        stats.join(median, how="cross")
-        .join(n_presence, how="cross")
+        stats.withColumns(
+            {"median_m": median.scalar(), "n_presence": presence.agg(F.count(F.lit(1))).scalar()}
+        )
         .withColumns(
             {
                 "class_ratio": ratio,

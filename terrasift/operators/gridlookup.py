@@ -113,16 +113,13 @@ def focal_share(cells: DataFrame, condition: Column, radius: int, out: str = "sh
     counts = runs.select("cell_col", parts.alias("p")).groupBy(F.col("p.cell_row").alias("cell_row"), "cell_col").agg(
         F.sum("p.n").alias("_n")
     )
-    extent = cells.agg(
-        F.min("cell_row").alias("r0"), F.max("cell_row").alias("r1"), F.min("cell_col").alias("c0"), F.max("cell_col").alias("c1")
-    )
+    edge = lambda f, n: cells.agg(f(n)).scalar()
     r, c = F.col("cell_row"), F.col("cell_col")
-    rows = F.least(r + radius, F.col("r1")) - F.greatest(r - radius, F.col("r0")) + 1
-    cols = F.least(c + radius, F.col("c1")) - F.greatest(c - radius, F.col("c0")) + 1
+    rows = F.least(r + radius, edge(F.max, "cell_row")) - F.greatest(r - radius, edge(F.min, "cell_row")) + 1
+    cols = F.least(c + radius, edge(F.max, "cell_col")) - F.greatest(c - radius, edge(F.min, "cell_col")) + 1
     return (
         cells.select("cell_row", "cell_col")
         .join(counts, ["cell_row", "cell_col"])
-        .join(F.broadcast(extent), how="cross")
         .select("cell_row", "cell_col", (F.col("_n") / (rows * cols) * 100).alias(out))
     )
 

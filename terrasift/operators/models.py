@@ -196,7 +196,7 @@ def evaluate(scored: DataFrame, probability: str = "p_present", label: str = TAR
     """One row: confusion counts, accuracy, precision, recall, F1 and AUC."""
     predicted = F.col(probability) >= threshold
     counts = classifier_metrics(confusion(scored, predicted, F.col(label) == 1))
-    return counts.join(roc_auc(scored, probability, label).select("auc"), how="cross")
+    return counts.withColumn("auc", roc_auc(scored, probability, label).select("auc").scalar())
 
 
 def train_test_report(scored: DataFrame, probability: str = "p_present", label: str = TARGET, threshold: float = 0.5) -> DataFrame:

@@ -104,11 +104,15 @@ def exact_quantiles(
     by = by or []
     edges = bucket_edges(df, columns, buckets, single)
     ranked = with_cumulative(value_counts_long(df, columns, by), edges, by, ["n"])
-    p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("prob")
-    pos = F.col("prob") * (F.col("n_total") - 1)
     hit = lambda r: (F.col("n_before") <= r) & (r < F.col("n_before") + F.col("n"))
-    marked = ranked.select("*", p).withColumn("lo", F.floor(pos)).withColumn("hi", F.ceil(pos))
-    marked = marked.filter(hit(F.col("lo")) | hit(F.col("hi")))
+    place = lambda p: p * (F.col("n_total") - 1)
+    # only the few values that some probability needs are kept and multiplied
+    wanted = F.filter(
+        F.array(*[F.lit(float(x)) for x in probs]), lambda p: hit(F.floor(place(p))) | hit(F.ceil(place(p)))
+    )
+    marked = ranked.select("*", F.explode(wanted).alias("prob"))
+    pos = place(F.col("prob"))
+    marked = marked.withColumns({"lo": F.floor(pos), "hi": F.ceil(pos)})
     frac = F.max(F.col("prob") * (F.col("n_total") - 1) - F.col("lo"))
     low = F.max(F.when(hit(F.col("lo")), F.col("value")))
     high = F.max(F.when(hit(F.col("hi")), F.col("value")))

@@ -69,8 +69,8 @@ def sample_with_replacement(
     total = ranked.agg(F.count(F.lit(1)).alias("_size"))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw_id")
     u = hash_uniform(seed, f"{stream}_pick", F.col("draw_id"))
-    picks = draws.join(F.broadcast(total)).withColumn("rank", (F.floor(u * F.col("_size")) + 1).cast("bigint"))
-    return picks.drop("_size").join(ranked, "rank").drop("rank", "rank_total")
+    picks = draws.withColumn("rank", (F.floor(u * total.scalar()) + 1).cast("bigint"))
+    return picks.join(ranked, "rank").drop("rank", "rank_total")
 
 
 def stratified_split(

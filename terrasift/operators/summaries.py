@@ -99,12 +99,13 @@ def value_counts(df: DataFrame, columns: list[str], top: int | None = None) -> D
     """(column, value, n, pct) per category; optionally the ``top`` ones of each column."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    per = Window.partitionBy("column")
-    out = counts.withColumn("pct", F.round(F.col("n") / F.sum("n").over(per) * 100, 6))
-    if top is None:
-        return out
-    rank = F.row_number().over(per.orderBy(F.desc("n"), F.col("value")))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= top)
+    if top is not None:
+        # row limits of this form are applied per partition before the shuffle
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.col("value")))
+        counts = counts.withColumn("rank", rank).filter(F.col("rank") <= top)
+    # every row has one value per column, so a column's counts add up to the table's rows
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.withColumn("pct", F.round(F.col("n") / total * 100, 6))
 
 
 def monthly_stats(df: DataFrame, column: str, date_col: str = "date") -> DataFrame:
@@ -133,7 +134,7 @@ def per_group_counts(df: DataFrame, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("groups"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean")
     )
     median = exact_quantiles(sizes, ["n"], [0.5]).select(F.col("value").alias("median"))
-    return stats.join(median, how="cross")
+    return stats.withColumn("median", median.scalar())
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -168,6 +169,7 @@ def distance_band(value: Column) -> Column:
 
 
 def distance_bands(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Share of each band among all rows of the table; negative distances are left out."""
     banded = df.select(*[distance_band(F.col(c)).alias(c) for c in columns])
     return value_counts(banded, columns).filter(F.col("value").isNotNull())
 
@@ -182,10 +184,10 @@ def grid_means(
     df: DataFrame, x: str, y: str, target: str, bins: int = 10, high: float = 0.6, low: float = 0.4
 ) -> DataFrame:
     """Mean and count of ``target`` on an equal-width ``bins`` x ``bins`` grid."""
-    b = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    binned = df.join(F.broadcast(b), how="cross").select(
-        equal_width_bin(F.col(x), F.col("x0"), F.col("x1"), bins).alias("x_bin"),
-        equal_width_bin(F.col(y), F.col("y0"), F.col("y1"), bins).alias("y_bin"),
+    edge = lambda f, c: df.agg(f(c)).scalar()
+    binned = df.select(
+        equal_width_bin(F.col(x), edge(F.min, x), edge(F.max, x), bins).alias("x_bin"),
+        equal_width_bin(F.col(y), edge(F.min, y), edge(F.max, y), bins).alias("y_bin"),
         F.col(target).alias("t"),
     )
     out = binned.groupBy("x_bin", "y_bin").agg(F.avg("t").alias("mean"), F.count("t").alias("count"))
