@@ -290,8 +290,8 @@ def hunting_season(date: Column, every_year: bool = False) -> Column:
     expr = F.lit(None).cast("string")
     for name, (first, last) in reversed(list(HUNTING_SEASONS.items())):
         if every_year:
-            key = F.date_format(date, "MM-dd")
-            inside = key.between(first[5:], last[5:])
+            key = F.month(date) * 100 + F.dayofmonth(date)
+            inside = key.between(int(first[5:7] + first[8:]), int(last[5:7] + last[8:]))
         else:
             inside = date.between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
         expr = F.when(inside, name).otherwise(expr)

@@ -101,7 +101,13 @@ def fix_counts_daily(spark: SparkSession, d: str) -> DataFrame:
     return incremental.daily_fix_counts_batch(view(spark, d, "fixes"))
 
 
-@query("fix_stream", "I6")
+@query(
+    "fix_stream",
+    "I6",
+    cte("fixes")
+    + """SELECT animal_id, CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT DISTINCT animal_id, ts FROM fixes)
+WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM fixes) GROUP BY 1, 2""",
+)
 def fix_stream(spark: SparkSession, d: str) -> DataFrame:
     """The streaming form over the events file; open windows stay out until the watermark passes."""
     base = f"{lineage.shared_folder(spark)}/fixes-{uuid.uuid4().hex}"
@@ -112,4 +118,4 @@ def fix_stream(spark: SparkSession, d: str) -> DataFrame:
         .select(F.col("user_id").alias("animal_id"), F.col("ts").cast("timestamp").alias("ts"))
     )
     incremental.run_available(incremental.daily_fix_counts(events), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").withColumn("day", F.to_date("day"))

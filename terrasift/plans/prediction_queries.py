@@ -178,9 +178,34 @@ def prediction_days(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, ["score"])
 
 
-@query("prediction_hotspots", "Q4 Q5 T2 R4")
+@query(
+    "prediction_hotspots",
+    "Q4 Q5 T2 R4",
+    _SCORED.replace("WITH areas", "WITH RECURSIVE areas", 1)
+    + """
+, pt AS (SELECT t.obs_id // 10000 AS request_id, t.latitude AS la, t.longitude AS lo, t.date AS d, round(t.total_score, 9) AS s, limiting_factor, best_factor,
+    printf('%.0f', elevation_ft) || 'ft elevation' || CASE WHEN security_s > 7 THEN ', secure terrain' ELSE '' END || CASE WHEN vegetation_s > 7 THEN ', good forage' ELSE '' END AS description
+   FROM totals t JOIN scored USING (obs_id, date)),
+loc AS (SELECT request_id, la, lo, max(s) AS s, arg_max(d, (s, DATE '2100-01-01' - d)) AS d FROM pt GROUP BY 1, 2, 3),
+walk AS (SELECT DISTINCT request_id, 0 AS k, CAST([] AS STRUCT(la DOUBLE, lo DOUBLE, d DATE)[]) AS seeds FROM loc
+  UNION ALL SELECT w.request_id, any_value(w.k) + 1, list_append(any_value(w.seeds), arg_max({'la': l.la, 'lo': l.lo, 'd': l.d}, (l.s, DATE '2100-01-01' - l.d, -l.la, -l.lo)))
+  FROM walk w JOIN loc l ON l.request_id = w.request_id
+  WHERE w.k < 10 AND NOT coalesce(list_bool_or(list_transform(w.seeds, lambda t: sqrt(pow(t.la - l.la, 2) + pow(t.lo - l.lo, 2)) <= 0.03)), false) GROUP BY w.request_id),
+fin AS (SELECT request_id, arg_max(seeds, k) AS seeds FROM walk GROUP BY 1),
+sd AS (SELECT request_id, unnest(range(1, len(seeds) + 1)) AS rank, unnest(seeds) AS p FROM fin),
+cl AS (SELECT sd.request_id, sd.rank, any_value(sd.p) AS p, count(*) AS n, avg(pt.s) AS m FROM sd JOIN pt ON pt.request_id = sd.request_id
+   AND sqrt(pow(sd.p.la - pt.la, 2) + pow(sd.p.lo - pt.lo, 2)) <= 0.03 GROUP BY 1, 2),
+el AS (SELECT *, (2 + m / 100 * 8) * (n * 0.25 / 640) AS e FROM cl)
+SELECT CAST(el.request_id AS INT) AS request_id, CAST(rank AS INT) AS rank, 'hotspot_' || rank AS id, round(p.la, 6) AS latitude, round(p.lo, 6) AS longitude,
+  CAST(n * 0.25 AS DOUBLE) AS area_acres, round(m, 6) AS score, greatest(1, CAST(floor(e * 0.8) AS BIGINT)) AS elk_min,
+  greatest(1, CAST(floor(e * 0.8) AS BIGINT), CAST(floor(e * 1.2) AS BIGINT)) AS elk_max, greatest(1, CAST(floor(e) AS BIGINT)) AS elk_mean,
+  pt.description, pt.limiting_factor, pt.best_factor
+FROM el JOIN pt ON pt.request_id = el.request_id AND pt.la = p.la AND pt.lo = p.lo AND pt.d = p.d
+""",
+)
 def prediction_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(predict.hotspots(scored_grid(spark, d), radius=0.03), ["score"])
+    scored = scored_grid(spark, d).withColumn("total_score", F.round("total_score", 9))
+    return rounded(predict.hotspots(scored, radius=0.03), ["score", "latitude", "longitude"])
 
 
 @query(
