@@ -278,7 +278,7 @@ def absence_assembly(spark: SparkSession, d: str) -> DataFrame:
     cte("obs")
     + f"""
 , a AS (SELECT obs_id, latitude, longitude FROM obs WHERE elk_present = 0), p AS (SELECT latitude AS lat, longitude AS lon FROM obs WHERE elk_present = 1),
-m AS (SELECT o.obs_id, min({HAV.format(f='f.', p='o.')}) * 1000 AS m FROM a o, p f WHERE abs(f.lat - o.latitude) < 0.1 AND abs(f.lon - o.longitude) < 0.14 GROUP BY 1)
+m AS (SELECT o.obs_id, nullif(least(min({HAV.format(f='f.', p='o.')}), 100.000001), 100.000001) * 1000 AS m FROM a o LEFT JOIN p f ON abs(f.lat - o.latitude) < 0.91 AND abs(f.lon - o.longitude) < 1.3 GROUP BY 1)
 SELECT count(*) AS n_absence, round(avg(m), 3) AS mean_m, round(min(m), 3) AS min_m, round(quantile_cont(m, 0.5), 3) AS median_m,
   (SELECT count(*) FROM p) AS n_presence, round(count(*) / (SELECT count(*) FROM p), 6) AS class_ratio, avg(m) >= 1000 AS separated,
   count(*) / (SELECT count(*) FROM p) BETWEEN 0.5 AND 2 AS balanced FROM m
