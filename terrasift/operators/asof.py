@@ -66,17 +66,16 @@ def expand_days(requests: DataFrame, start: str, end: str, out: str = "date") ->
 def containing_range(
     requests: DataFrame, cached: DataFrame, key: list[str], request_id: str, start: str = "start", end: str = "end"
 ) -> DataFrame:
-    """Widest cached range that contains each request's range, or null.
+    """Widest cached range that contains each request's range (smallest id on ties), or null.
 
-    Per key only cached ranges not contained in a wider one starting no later matter;
-    they are kept as one array per key (distinct starts within one key), so a request
-    meets a single row.
+    Per key and start only the latest end matters; those rows form one array per key,
+    at most one element per calendar day, so a request meets a single row.
     """
     ranges = (
         cached.groupBy(*key, F.col(start).alias("c_start"))
-        .agg(F.max(F.struct(F.col(end).alias("c_end"), F.col("cache_id"))).alias("m"))
+        .agg(F.max(F.struct(F.col(end).alias("c_end"), (-F.col("cache_id")).alias("neg_id"))).alias("m"))
         .groupBy(*key)
-        .agg(F.collect_list(F.struct("c_start", F.col("m.c_end").alias("c_end"), F.col("m.cache_id").alias("cache_id"))).alias("_r"))
+        .agg(F.collect_list(F.struct("c_start", F.col("m.c_end").alias("c_end"), F.col("m.neg_id").alias("neg_id"))).alias("_r"))
     )
     joined = requests.join(ranges, key, "left")
     fits = F.filter("_r", lambda r: (r["c_start"] <= F.col(start)) & (r["c_end"] >= F.col(end)))
@@ -84,7 +83,7 @@ def containing_range(
         F.transform(
             fits,
             lambda r: F.struct(
-                F.datediff(r["c_end"], r["c_start"]).alias("span"), (-r["cache_id"]).alias("neg_id"),
+                F.datediff(r["c_end"], r["c_start"]).alias("span"), r["neg_id"].alias("neg_id"),
                 r["c_start"].alias("c_start"), r["c_end"].alias("c_end"),
             ),
         )
