@@ -12,7 +12,7 @@ from terrasift.plans.aggregate_queries import rounded
 from terrasift.plans.join_queries import GRID
 from terrasift.plans.registry import query
 from terrasift.plans.scoring_queries import OPTIONS
-from terrasift.plans.scoring_sql import FACTOR_CTES, FACTOR_NAMES, LONG_CTES
+from terrasift.plans.scoring_sql import FACTOR_CTES, LONG_CTES
 from terrasift.sources.surrogates import cte, view
 from terrasift.plans.spatial_queries import _areas
 
