@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrasift.llm.divergence import judge
 from terrasift.llm.divergence_sql import judge_sql
+from terrasift.llm.packing import pack
 from terrasift.llm.simhash import near_copies
 from terrasift.llm.token_counts import token_lengths
 
@@ -25,6 +26,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "words", limit=2048)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir), bits=4, words=4, seed=42)
 
@@ -32,6 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op8_token_counts": op8_token_counts,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 

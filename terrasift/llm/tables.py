@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from terrasift.operators.lineage import shared_folder
@@ -38,7 +39,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of text each, one row at least."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         if size and size + (n or 0) > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
