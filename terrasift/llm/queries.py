@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrasift.operators.lineage import shared_folder
 from terrasift.llm.divergence import judge
 from terrasift.llm.divergence_sql import judge_sql
+from terrasift.llm.huffman import read_digests, write_documents
 from terrasift.llm.packing import pack
 from terrasift.llm.simhash import near_copies
 from terrasift.llm.token_counts import token_lengths
@@ -22,6 +25,12 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).drop("lang")
 
 
+def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/huffman-{uuid.uuid4().hex}"
+    write_documents(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_digests(spark, path)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "words", limit=2048)
 
@@ -36,6 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
+    "op2_huffman": op2_huffman,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
