@@ -8,13 +8,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasift.operators.lineage import shared_folder
 from terrasift.llm.divergence import judge
 from terrasift.llm.divergence_sql import judge_sql
 from terrasift.llm.huffman import read_digests, write_documents
 from terrasift.llm.packing import pack
 from terrasift.llm.simhash import near_copies
 from terrasift.llm.token_counts import token_lengths
+from terrasift.llm.url_rules import apply_rules, apply_rules_sql
+from terrasift.operators.lineage import shared_folder
+
+
+# host, path, verdict
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +41,11 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return apply_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "words", limit=2048)
 
@@ -46,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op2_huffman": op2_huffman,
+    "op4_url_rules": op4_url_rules,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
@@ -53,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_divergence": judge_sql(),
+    "op4_url_rules": apply_rules_sql(URL_RULES),
 }
