@@ -12,6 +12,7 @@ from terrasift.llm.divergence import judge
 from terrasift.llm.divergence_sql import judge_sql
 from terrasift.llm.huffman import read_digests, write_documents
 from terrasift.llm.packing import pack
+from terrasift.llm.role_repair import repair
 from terrasift.llm.simhash import near_copies
 from terrasift.llm.token_counts import token_lengths
 from terrasift.llm.url_rules import apply_rules, apply_rules_sql
@@ -46,6 +47,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("part", "seg", "pos")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "words", limit=2048)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op2_huffman": op2_huffman,
     "op4_url_rules": op4_url_rules,
+    "op5_role_repair": op5_role_repair,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
