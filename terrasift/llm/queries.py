@@ -14,6 +14,7 @@ from terrasift.llm.huffman import read_digests, write_documents
 from terrasift.llm.packing import pack
 from terrasift.llm.role_repair import repair
 from terrasift.llm.simhash import near_copies
+from terrasift.llm.templates import find_leaks, find_leaks_sql
 from terrasift.llm.token_counts import token_lengths
 from terrasift.llm.url_rules import apply_rules, apply_rules_sql
 from terrasift.operators.lineage import shared_folder
@@ -51,6 +52,10 @@ def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("part", "seg", "pos")
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "words", limit=2048)
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_huffman": op2_huffman,
     "op4_url_rules": op4_url_rules,
     "op5_role_repair": op5_role_repair,
+    "op7_templates": op7_templates,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
@@ -76,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_divergence": judge_sql(),
     "op4_url_rules": apply_rules_sql(URL_RULES),
+    "op7_templates": find_leaks_sql(),
 }
