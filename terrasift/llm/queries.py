@@ -12,6 +12,7 @@ from terrasift.llm.divergence import judge
 from terrasift.llm.divergence_sql import judge_sql
 from terrasift.llm.huffman import read_digests, write_documents
 from terrasift.llm.packing import pack
+from terrasift.llm.repeats import removal_digests
 from terrasift.llm.role_repair import repair
 from terrasift.llm.simhash import near_copies
 from terrasift.llm.templates import find_leaks, find_leaks_sql
@@ -52,6 +53,10 @@ def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("part", "seg", "pos")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(documents(spark, sf_dir), window=400)
+
+
 def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_huffman": op2_huffman,
     "op4_url_rules": op4_url_rules,
     "op5_role_repair": op5_role_repair,
+    "op6_repeats": op6_repeats,
     "op7_templates": op7_templates,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
