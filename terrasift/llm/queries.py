@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrasift.llm.divergence import judge
 from terrasift.llm.divergence_sql import judge_sql
 from terrasift.llm.huffman import read_digests, write_documents
+from terrasift.llm.interpolation import score
 from terrasift.llm.packing import pack
 from terrasift.llm.repeats import removal_digests
 from terrasift.llm.role_repair import repair
@@ -44,6 +45,10 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op3_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir), order=2)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return apply_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -76,6 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op2_huffman": op2_huffman,
+    "op3_interpolation": op3_interpolation,
     "op4_url_rules": op4_url_rules,
     "op5_role_repair": op5_role_repair,
     "op6_repeats": op6_repeats,
