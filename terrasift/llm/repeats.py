@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.bwt import repeated_windows, runs
 from terrasift.llm.superstrings import superstrings
-from terrasift.llm.tables import by_bytes, forget, keep
+from terrasift.llm.tables import by_bytes, forget, keep, unused
 
 CONTENT = ["name", "c1", "c2"]
 TEXT = ["k1", "k2"]
@@ -152,12 +152,11 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, text_column: str) -> DataFrame:
-    """Input rows with their text's spans beside them."""
-    k1, k2 = text_keys(docs[text_column])
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(
-        spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"}), ["_k1", "_k2"], "left"
-    )
+def with_spans(docs: DataFrame, spans: DataFrame, text_column: str, name: str) -> DataFrame:
+    """Input rows with their text's spans beside them, as column ``name`` (null: none)."""
+    k1, k2 = (unused(docs, f"text_{k}") for k in TEXT)
+    keyed = docs.withColumns(dict(zip((k1, k2), text_keys(docs[text_column]))))
+    return keyed.join(spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(name)), [k1, k2], "left").drop(k1, k2)
 
 
 def removal_digests(
@@ -171,12 +170,12 @@ def removal_digests(
     rows; other columns are ignored.
     """
     own = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    rows = without_spans(own, repeated_spans(docs, window, text_column, **options), "text").select("doc_id", "text", "_spans")
+    rows = with_spans(own, repeated_spans(docs, window, text_column, **options), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 data, spans = (text or "").encode(), merged(found)
                 out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -193,7 +192,8 @@ def drop_repeats(docs: DataFrame, window: int = 400, text_column: str = "text",
     Spans shrink to whole characters, and a text that loses all of its characters leaves with
     its row.
     """
-    rows = without_spans(docs, repeated_spans(docs, window, text_column, **options), text_column)
+    name = unused(docs, "spans")
+    rows = with_spans(docs, repeated_spans(docs, window, text_column, **options), text_column, name)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -214,6 +214,6 @@ def drop_repeats(docs: DataFrame, window: int = 400, text_column: str = "text",
             out.append(kept_bytes(data, whole).decode())
         return type(texts)(out, dtype=object)
 
-    touched = rows.where("_spans IS NOT NULL").withColumn(text_column, cut(F.col(text_column), F.col("_spans")))
-    left = touched.where(F.length(text_column) > 0).select(*docs.columns)
-    return rows.where("_spans IS NULL").select(*docs.columns).unionByName(left)
+    text = F.when(F.col(name).isNull(), F.col(text_column)).otherwise(cut(F.col(text_column), F.col(name)))
+    left = rows.withColumn(text_column, text).where(F.col(name).isNull() | (F.length(text_column) > 0))
+    return left.select(*docs.columns)

@@ -46,3 +46,11 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterato
         size += n or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
