@@ -133,7 +133,7 @@ def with_wgs84(df: DataFrame, easting: Column, northing: Column, zone: int) -> D
 
 
 def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Even-odd ray cast against a closed or open ``array<struct<lon,lat>>`` ring."""
+    """Strictly inside a closed or open ``array<struct<lon,lat>>`` ring: even-odd ray cast, edges excluded."""
     n = F.size(ring)
     crossings = F.transform(
         F.sequence(F.lit(1), n),
@@ -151,8 +151,15 @@ def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
         )
         return F.when(spans & (lon < x_at), 1).otherwise(0)
 
+    def touches(edge: Column) -> Column:
+        a, b = edge["a"], edge["b"]
+        turn = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+        beside = lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"]))
+        level = lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
+        return (turn == 0) & beside & level
+
     total = F.aggregate(crossings, F.lit(0), lambda acc, e: acc + flips(e))
-    return total % 2 == 1
+    return (total % 2 == 1) & ~F.exists(crossings, touches)
 
 
 def point_in_box(lon: Column, lat: Column, min_lon, min_lat, max_lon, max_lat) -> Column:

@@ -15,10 +15,10 @@ def hash_hex(seed: int, stream: str, *keys: Column) -> Column:
 
 
 def hash_int(seed: int, stream: str, *keys: Column) -> Column:
-    """Unsigned 32-bit integer as bigint."""
-    return F.conv(F.substring(hash_hex(seed, stream, *keys), 1, 8), 16, 10).cast("bigint")
+    """Unsigned 52-bit integer as bigint; every value is exact as a double."""
+    return F.conv(F.substring(hash_hex(seed, stream, *keys), 1, 13), 16, 10).cast("bigint")
 
 
 def hash_uniform(seed: int, stream: str, *keys: Column) -> Column:
     """Uniform double in [0, 1)."""
-    return hash_int(seed, stream, *keys) / F.lit(4294967296.0)
+    return hash_int(seed, stream, *keys) / F.lit(4503599627370496.0)

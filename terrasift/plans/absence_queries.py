@@ -15,7 +15,7 @@ from terrasift.sources.surrogates import cte, view
 
 
 def _u(seed, stream: str, key: str) -> str:
-    return f"(CAST(('0x' || substr(md5('{seed}|{stream}|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    return f"(CAST(('0x' || substr(md5('{seed}|{stream}|' || {key}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
 def _candidates(seed: int) -> str:

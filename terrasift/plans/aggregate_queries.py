@@ -386,7 +386,7 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     "T4 G9",
     cte("obs")
     + ", h AS (SELECT obs_id, date, row_number() OVER (ORDER BY md5('42|draw|' || obs_id)) AS rank, count(*) OVER () AS size FROM obs),"
-    " d AS (SELECT range AS draw_id, CAST(('0x' || substr(md5('42|draw_pick|' || range), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM range(500))"
+    " d AS (SELECT range AS draw_id, CAST(('0x' || substr(md5('42|draw_pick|' || range), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(500))"
     " SELECT draw_id, obs_id, date FROM d JOIN h ON h.rank = CAST(floor(u * size) AS BIGINT) + 1",
 )
 def sample_with_replacement(spark: SparkSession, d: str) -> DataFrame:

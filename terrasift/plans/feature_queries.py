@@ -97,6 +97,7 @@ def optimised_features(spark: SparkSession, d: str) -> DataFrame:
 SELECT elk_present, elevation_ft, NULL::DOUBLE AS slope_degrees, obs_id FROM obs WHERE dataset = 'north'
 UNION ALL SELECT elk_present, NULL, slope_degrees, obs_id FROM obs WHERE dataset = 'south'
 UNION ALL SELECT elk_present, elevation_ft, slope_degrees, obs_id FROM obs WHERE dataset = 'gye'
+UNION ALL SELECT elk_present, elevation_ft, NULL, obs_id FROM obs WHERE dataset = 'refuge'
 """,
 )
 def combined_table(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +107,7 @@ def combined_table(spark: SparkSession, d: str) -> DataFrame:
             o.filter("dataset = 'north'").select("obs_id", "elk_present", "elevation_ft"),
             o.filter("dataset = 'south'").select("slope_degrees", "obs_id", "elk_present"),
             o.filter("dataset = 'gye'").select("obs_id", "elevation_ft", "elk_present", "slope_degrees"),
+            o.filter("dataset = 'refuge'").select("elevation_ft", "elk_present", "obs_id"),
         ]
     )
 

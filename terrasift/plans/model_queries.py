@@ -15,7 +15,7 @@ FEATURES = ["elevation_ft", "slope_degrees", "canopy_cover_percent", "water_dist
 # small forests keep the registered runs short; the defaults of the library stay
 QUICK = {"maxIter": 5, "maxDepth": 3}
 
-_P = "CAST(('0x' || substr(md5('7|p|' || obs_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+_P = "CAST(('0x' || substr(md5('7|p|' || obs_id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
 _SCORED = f", s AS (SELECT obs_id, elk_present AS y, ({_P}) * 0.7 + elk_present * 0.2 AS p, year(date) AS year FROM obs)"
 
 

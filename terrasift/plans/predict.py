@@ -154,6 +154,7 @@ def day_ranking(scored: DataFrame, requests: DataFrame, factors: list[str], as_o
 
 HOTSPOT_RADIUS_DEG = 0.01
 ACRES_PER_POINT = 0.25
+SLICES = 64
 
 
 def _near(lat: Column, lon: Column, seed: Column, radius: float) -> Column:
@@ -166,9 +167,10 @@ def hotspot_seeds(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADI
 
     Locations are reduced to their best day once. Each round takes the best location not
     within ``radius`` of an earlier seed: one aggregate over that table per round, with
-    the seeds (at most ``top`` per request) kept in a small table.
+    the seeds (at most ``top`` per request) kept in a small table. A request's locations are
+    first reduced in ``SLICES`` parts, so the join above can be split for a large polygon.
     """
-    order = F.struct("total_score", -F.datediff("date", F.lit("1970-01-01")), -F.col("latitude"), -F.col("longitude"))
+    order = F.struct("total_score", -F.datediff("date", F.lit("1970-01-01")), -F.col("longitude"), -F.col("latitude"))
     details = ["latitude", "longitude", "date", "total_score", "limiting_factor", "best_factor", "description"]
     best = scored.filter(F.col("total_score").isNotNull()).groupBy("request_id", "latitude", "longitude").agg(
         F.max_by(F.struct(*details), order).alias("p")
@@ -182,7 +184,9 @@ def hotspot_seeds(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADI
             joined = locations.join(lists, "request_id", "left")
             taken = F.exists("_s", lambda s: _near(F.col("latitude"), F.col("longitude"), s, radius))
             open_rows = joined.filter(~F.coalesce(taken, F.lit(False))).drop("_s")
-        pick = open_rows.groupBy("request_id").agg(F.max_by(F.struct(*details), order).alias("p")).select(
+        part = F.pmod(F.xxhash64("latitude", "longitude"), F.lit(SLICES)).alias("slice")
+        first = open_rows.groupBy("request_id", part).agg(F.max_by(F.struct(*details), order).alias("p")).select("request_id", "p.*")
+        pick = first.groupBy("request_id").agg(F.max_by(F.struct(*details), order).alias("p")).select(
             "request_id", F.lit(k).alias("rank"), "p.*"
         )
         seeds = cut_lineage(pick if seeds is None else seeds.unionByName(pick))
@@ -196,9 +200,13 @@ def hotspots(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADIUS_DE
     lists = seeds.groupBy("request_id").agg(F.collect_list(F.struct("rank", "latitude", "longitude")).alias("_s"))
     near = F.filter("_s", lambda s: _near(F.col("latitude"), F.col("longitude"), s, radius))
     members = scored.select("request_id", "latitude", "longitude", "total_score").join(lists, "request_id").select(
-        "request_id", "total_score", F.explode(F.transform(near, lambda s: s["rank"])).alias("rank")
+        "request_id",
+        "total_score",
+        F.pmod(F.xxhash64("latitude", "longitude"), F.lit(SLICES)).alias("slice"),
+        F.explode(F.transform(near, lambda s: s["rank"])).alias("rank"),
     )
-    stats = members.groupBy("request_id", "rank").agg(F.count(F.lit(1)).alias("points"), F.avg("total_score").alias("score"))
+    sums = members.groupBy("request_id", "rank", "slice").agg(F.count(F.lit(1)).alias("points"), F.sum("total_score").alias("sum"))
+    stats = sums.groupBy("request_id", "rank").agg(F.sum("points").alias("points"), (F.sum("sum") / F.sum("points")).alias("score"))
     acres = F.col("points") * ACRES_PER_POINT
     elk = lambda share: F.floor(density(F.col("score")) * share * (acres / ACRES_PER_SQ_MILE))
     low = F.greatest(F.lit(1), elk(0.8))

@@ -26,7 +26,7 @@ _GRID_SQL = (
 , req AS (SELECT area_id AS request_id, min_lat, max_lat, min_lon, max_lon, CAST(DATE '2026-08-20' + CAST(area_id * 10 AS INT) AS DATE) AS start FROM areas),
 g AS (SELECT request_id, start, i.i, j.j, min_lat + i.i * {_STEP} AS latitude, min_lon + j.j * {_STEP} AS longitude FROM req,
    (SELECT unnest(range(40)) AS i) i, (SELECT unnest(range(40)) AS j) j
-   WHERE i.i < ceil((max_lat - min_lat) / {_STEP}) AND j.j < ceil((max_lon - min_lon) / {_STEP})),
+   WHERE i.i > 0 AND j.j > 0 AND i.i < ceil((max_lat - min_lat) / {_STEP}) AND j.j < ceil((max_lon - min_lon) / {_STEP})),
 pd AS (SELECT g.*, CAST(start + k AS DATE) AS date FROM g, (SELECT unnest(range(3))::INT AS k)),
 c AS (SELECT pd.*, v.value FROM pd LEFT JOIN raster_cells v ON v.cell_row = CAST(floor((latitude - 45) / -0.1) AS INT) AND v.cell_col = CAST(floor((longitude + 111) / 0.14) AS INT)),
 x AS (SELECT request_id, CAST(request_id * 10000 + i * 100 + j AS BIGINT) AS obs_id, date, latitude, longitude, DATE '{AS_OF}' AS as_of,
@@ -188,7 +188,7 @@ def prediction_days(spark: SparkSession, d: str) -> DataFrame:
    FROM totals t JOIN scored USING (obs_id, date)),
 loc AS (SELECT request_id, la, lo, max(s) AS s, arg_max(d, (s, DATE '2100-01-01' - d)) AS d FROM pt GROUP BY 1, 2, 3),
 walk AS (SELECT DISTINCT request_id, 0 AS k, CAST([] AS STRUCT(la DOUBLE, lo DOUBLE, d DATE)[]) AS seeds FROM loc
-  UNION ALL SELECT w.request_id, any_value(w.k) + 1, list_append(any_value(w.seeds), arg_max({'la': l.la, 'lo': l.lo, 'd': l.d}, (l.s, DATE '2100-01-01' - l.d, -l.la, -l.lo)))
+  UNION ALL SELECT w.request_id, any_value(w.k) + 1, list_append(any_value(w.seeds), arg_max({'la': l.la, 'lo': l.lo, 'd': l.d}, (l.s, DATE '2100-01-01' - l.d, -l.lo, -l.la)))
   FROM walk w JOIN loc l ON l.request_id = w.request_id
   WHERE w.k < 10 AND NOT coalesce(list_bool_or(list_transform(w.seeds, lambda t: sqrt(pow(t.la - l.la, 2) + pow(t.lo - l.lo, 2)) <= 0.03)), false) GROUP BY w.request_id),
 fin AS (SELECT request_id, arg_max(seeds, k) AS seeds FROM walk GROUP BY 1),

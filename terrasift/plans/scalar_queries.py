@@ -333,7 +333,7 @@ def moon_position(spark: SparkSession, d: str) -> DataFrame:
     + """
 SELECT obs_id,
   sha256(printf('%.4f', latitude) || '|' || printf('%.4f', longitude) || '|' || CAST(date AS VARCHAR)) AS cell_key,
-  round(CAST(('0x' || substr(md5('42|shuffle|' || obs_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE, 9) AS draw
+  round(CAST(('0x' || substr(md5('42|shuffle|' || obs_id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE, 9) AS draw
 FROM obs
 """,
 )

@@ -171,7 +171,7 @@ def habitat_ranking(spark: SparkSession, d: str) -> DataFrame:
     "H11 F25",
     cte("obs")
     + """
-, a AS (SELECT obs_id, CAST(('0x' || substr(md5('7|p|' || obs_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS p,
+, a AS (SELECT obs_id, CAST(('0x' || substr(md5('7|p|' || obs_id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS p,
   CAST(obs_id % 5 AS DOUBLE) / 10 AS miss, security_habitat_percent AS pct FROM obs),
 b AS (SELECT *, miss > 0.3 AS bad, abs(p - 0.5) * 2 * CASE WHEN miss > 0 THEN 1 - miss ELSE 1 END AS c FROM a)
 SELECT obs_id, round(CASE WHEN bad THEN 5 ELSE p * 10 END, 6) AS score, round(CASE WHEN bad THEN 0.1 ELSE c END, 6) AS confidence,

@@ -27,7 +27,7 @@ def _areas(spark: SparkSession, d: str) -> DataFrame:
     cte("obs", "areas")
     + """
 , m AS (SELECT obs_id, arg_min((area_id, pack_size, elk_count), area_id) AS b FROM obs JOIN areas
-   ON longitude >= min_lon AND longitude < max_lon AND latitude >= min_lat AND latitude < max_lat GROUP BY 1)
+   ON longitude > min_lon AND longitude < max_lon AND latitude > min_lat AND latitude < max_lat GROUP BY 1)
 SELECT obs_id, round(CASE WHEN b IS NULL THEN 0.5 ELSE b[2] / b[3] * 1000 END, 6) AS wolves_per_1000_elk FROM obs LEFT JOIN m USING (obs_id)
 """,
 )

@@ -343,7 +343,7 @@ def presence_rate_by_month(spark: SparkSession, d: str) -> DataFrame:
     cte("obs")
     + """
 , m AS (SELECT quantile_cont(ndvi, 0.5) FILTER (elk_present = 1) AS m1, quantile_cont(ndvi, 0.5) FILTER (elk_present = 0) AS m0 FROM obs),
-x AS (SELECT elk_present = 1 AS y, CAST(('0x' || substr(md5('42|baseline|' || obs_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.5 AS rnd,
+x AS (SELECT elk_present = 1 AS y, CAST(('0x' || substr(md5('42|baseline|' || obs_id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < 0.5 AS rnd,
   coalesce(CASE WHEN m1 >= m0 THEN ndvi > (m1 + m0) / 2 ELSE NOT (ndvi > (m1 + m0) / 2) END, false) AS one FROM obs, m)
 SELECT 'random' AS baseline, round(count(*) FILTER (rnd = y) / count(*), 6) AS accuracy FROM x
 UNION ALL SELECT 'majority', round(greatest(count(*) FILTER (y), count(*) FILTER (NOT y)) / count(*), 6) FROM x
