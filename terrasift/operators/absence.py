@@ -3,7 +3,8 @@
 Candidates are numbered rows whose coordinates, dates and picks are hashes of that
 number, so results do not depend on partitioning or retries. Each strategy filters its
 candidates and keeps the first ``n`` by number through bucketed ranks, never through one
-task. Fewer than ``n`` rows come back only when the candidates run out.
+task. Further ranges of numbers are drawn until there are ``n``; a range without a single
+acceptable candidate raises, as the rules then leave no room.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from terrasift.functions import temporal
 from terrasift.functions.rng import hash_uniform
 from terrasift.operators import habitat
 from terrasift.operators.features import STUDY_AREA, TARGET
+from terrasift.operators.lineage import cut_lineage
 from terrasift.operators.nearest import beyond_distance
 from terrasift.operators.sampling import sample_rows, shuffle_order, with_group_rank, with_hash_rank
 
@@ -27,7 +29,6 @@ RANK_BUCKET_ROWS = 4096
 STRATEGY_SHARES = {"environmental": 0.40, "unsuitable": 0.30, "background": 0.20, "temporal": 0.10}
 # Month offset per dataset where it differs from six.
 SEASON_OFFSETS = {"southern_gye": 4}
-JITTER_FROM_DATES = 100
 NO_WATER_MILES = 20.0
 
 
@@ -37,22 +38,16 @@ def targets(n_presence: int, ratio: float = 1.0, shares: dict[str, float] = STRA
     return {k: int(total * v) for k, v in shares.items()}
 
 
-def attempt_budget(n_presence: int, n: int) -> int:
-    """Candidates tried for ``n`` samples, growing with the presence table."""
-    if n_presence > 50000:
-        scale = max(3.0, n / 5000.0)
-    elif n_presence > 10000:
-        scale = max(2.0, n / 10000.0)
-    else:
-        scale = max(1.0, n / 10000.0)
-    return min(int(10000 * scale), 1000000)
+def first_range(n: int) -> int:
+    """Candidates drawn at first for ``n`` samples."""
+    return max(10_000, 2 * n)
 
 
-def candidates(spark: SparkSession, count: int, seed: int, box: dict[str, float] = STUDY_AREA) -> DataFrame:
-    """``count`` uniform locations in the study box."""
+def candidates(spark: SparkSession, low: int, high: int, seed: int, box: dict[str, float] = STUDY_AREA) -> DataFrame:
+    """Uniform locations in the study box for the candidate numbers from ``low`` to ``high - 1``."""
     k = F.col("candidate_id")
     return (
-        spark.range(count)
+        spark.range(low, high)
         .withColumnRenamed("id", "candidate_id")
         .withColumns(
             {
@@ -70,6 +65,24 @@ def first_n(df: DataFrame, n: int, group: list[str] | None = None) -> DataFrame:
     return ranked.filter(F.col("rank") <= n).drop("rank", "rank_total")
 
 
+def fill(n: int, accept: Callable[[int, int], DataFrame]) -> DataFrame:
+    """The first ``n`` accepted candidates; ``accept(low, high)`` filters a range of numbers.
+
+    Ranges double, and what a range yields is written before the next is drawn.
+    """
+    low, high = 0, first_range(n)
+    kept = cut_lineage(accept(low, high))
+    have = kept.count()
+    while have < n:
+        low, high = high, 2 * high
+        more = cut_lineage(accept(low, high))
+        found = more.count()
+        if not found:
+            raise ValueError(f"no acceptable candidate among {high - low}; {have} of {n} found")
+        kept, have = kept.unionByName(more), have + found
+    return first_n(kept, n)
+
+
 def _pick(options: list[int], u: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(u * len(options)) + 1).cast("int"))
 
@@ -98,22 +111,41 @@ def random_day(year: Column, month: Column, u: Column) -> Column:
     return F.make_date(year, month, day.cast("int"))
 
 
+def _far_ranges(presence: DataFrame, seed: int, metres: float) -> Callable[[int, int], DataFrame]:
+    """Ranges of candidates at least ``metres`` from every presence."""
+    spark, obstacles = presence.sparkSession, _obstacles(presence)
+    return lambda low, high: beyond_distance(candidates(spark, low, high, seed), obstacles, metres)
+
+
+def _calendar(df: DataFrame) -> DataFrame:
+    """Year, month, day of year and season of ``date``."""
+    return df.withColumns(
+        {
+            "year": F.year("date"),
+            "month": F.month("date"),
+            "day_of_year": F.dayofyear("date"),
+            "season": temporal.season_code(F.month("date")),
+        }
+    )
+
+
 def temporally_matched(
-    presence: DataFrame, n: int, key: str, attempts: int, seed: int = 42, min_distance_m: float = 2000.0, jitter: bool = True
+    presence: DataFrame, n: int, key: str, seed: int = 42, min_distance_m: float = 2000.0, jitter: bool = True
 ) -> DataFrame:
-    """Random places far from presences, dated and labelled like a drawn presence row.
+    """Random places far from presences with a drawn presence date.
 
-    ``jitter`` moves the day by up to three within its month, meant for presence tables
-    with more than 100 dates.
+    ``jitter`` moves the day by up to three within its month; callers leave it off for
+    presence tables of 100 dates or fewer. The dataset is drawn on its own, by its share of
+    the presence rows.
     """
-    spark = presence.sparkSession
-    far = beyond_distance(candidates(spark, attempts, seed), _obstacles(presence), min_distance_m)
-    picked = _draw_presence(first_n(far, n), presence, key, ["date", "dataset"], seed, "date")
+    placed = fill(n, _far_ranges(presence, seed, min_distance_m))
+    dated = _draw_presence(placed, presence, key, ["date"], seed, "date")
+    picked = _draw_presence(dated, presence, key, ["dataset"], seed, "dataset")
     if jitter:
         shift = F.floor(hash_uniform(seed, "jitter", F.col("candidate_id")) * 7) - 3
         day = F.least(F.greatest(F.dayofmonth("date") + shift, F.lit(1)), F.dayofmonth(F.last_day("date")))
         picked = picked.withColumn("date", F.make_date(F.year("date"), F.month("date"), day.cast("int")))
-    return _finish(picked, "temporal_matched", "medium")
+    return _finish(_calendar(picked), "temporal_matched", "medium")
 
 
 def seasonal_segregation(
@@ -135,7 +167,7 @@ def seasonal_segregation(
 
 
 def unsuitable_season(
-    presence: DataFrame, n: int, attempts: int, elevation: Callable[[DataFrame], DataFrame] | None, seed: int = 42, rules: str = "config"
+    presence: DataFrame, n: int, elevation: Callable[[DataFrame], DataFrame] | None, seed: int = 42, rules: str = "config"
 ) -> DataFrame:
     """Places too high or too low for the season; ``n // rules`` rows per rule.
 
@@ -147,31 +179,31 @@ def unsuitable_season(
     first, last = _year_span(presence)
     parts = []
     for i, (name, months, op, feet) in enumerate(table):
-        c = candidates(spark, attempts, seed + i + 1)
-        if elevation is not None:
-            c = elevation(c)
-            e = F.col("elevation_ft")
-            c = c.filter(F.coalesce((e >= feet) if op == ">=" else (e <= feet), F.lit(True)))
-        k = F.col("candidate_id")
-        month = _pick(months, hash_uniform(seed + i + 1, "month", k))
-        c = c.withColumns({"rule": F.lit(name), "month": month})
-        parts.append(c.withColumn("_seed", F.lit(seed + i + 1)))
-    every = reduce(lambda a, b: a.unionByName(b), parts)
-    kept = first_n(every, n // len(table), ["rule"])
+
+        def accept(low: int, high: int, i=i, name=name, months=months, op=op, feet=feet) -> DataFrame:
+            c = candidates(spark, low, high, seed + i + 1)
+            if elevation is not None:
+                c = elevation(c)
+                e = F.col("elevation_ft")
+                c = c.filter(F.coalesce((e >= feet) if op == ">=" else (e <= feet), F.lit(True)))
+            month = _pick(months, hash_uniform(seed + i + 1, "month", F.col("candidate_id")))
+            return c.withColumns({"rule": F.lit(name), "month": month, "_seed": F.lit(seed + i + 1)})
+
+        parts.append(fill(n // len(table), accept))
+    kept = reduce(lambda a, b: a.unionByName(b), parts)
     u = lambda stream: F.conv(
-        F.substring(F.md5(F.concat_ws("|", F.col("_seed").cast("string"), F.lit(stream), F.col("candidate_id").cast("string"))), 1, 8), 16, 10
-    ).cast("bigint") / F.lit(4294967296.0)
+        F.substring(F.md5(F.concat_ws("|", F.col("_seed").cast("string"), F.lit(stream), F.col("candidate_id").cast("string"))), 1, 13), 16, 10
+    ).cast("bigint") / F.lit(4503599627370496.0)
     dated = kept.withColumn("_year", (first + F.floor(u("year") * (last - first + 1))).cast("int"))
     dated = dated.withColumn("date", random_day(F.col("_year"), F.col("month"), u("day")))
     return _finish(dated.drop("_year", "month", "_seed"), "unsuitable_temporal_environmental", "high")
 
 
 def random_temporal(
-    presence: DataFrame, n: int, attempts: int, seed: int = 42, min_distance_m: float = 500.0
+    presence: DataFrame, n: int, seed: int = 42, min_distance_m: float = 500.0
 ) -> DataFrame:
     """Uniform place, year, month and day at least ``min_distance_m`` from presences."""
-    spark = presence.sparkSession
-    far = first_n(beyond_distance(candidates(spark, attempts, seed), _obstacles(presence), min_distance_m), n)
+    far = fill(n, _far_ranges(presence, seed, min_distance_m))
     first, last = _year_span(presence)
     k = F.col("candidate_id")
     dated = far.withColumns(
@@ -184,29 +216,31 @@ def random_temporal(
 
 
 def environmental(
-    presence: DataFrame, n: int, attempts: int, context: Callable[[DataFrame], DataFrame], seed: int = 42, min_distance_m: float = 2000.0
+    presence: DataFrame, n: int, context: Callable[[DataFrame], DataFrame], seed: int = 42, min_distance_m: float = 2000.0
 ) -> DataFrame:
     """Suitable habitat without presences; ``context`` adds elevation, slope and water."""
-    far = beyond_distance(candidates(presence.sparkSession, attempts, seed), _obstacles(presence), min_distance_m)
-    ok = context(far).filter(habitat.suitable(F.col("elevation_ft"), F.col("slope_degrees"), F.col("water_distance_miles")))
-    return _finish(first_n(ok, n), "environmental", None)
+    far = _far_ranges(presence, seed, min_distance_m)
+    ok = habitat.suitable(F.col("elevation_ft"), F.col("slope_degrees"), F.col("water_distance_miles"))
+    return _finish(fill(n, lambda low, high: context(far(low, high)).filter(ok)), "environmental", None)
 
 
 def unsuitable_habitat(
-    presence: DataFrame, n: int, attempts: int, context: Callable[[DataFrame], DataFrame], seed: int = 42,
+    presence: DataFrame, n: int, context: Callable[[DataFrame], DataFrame], seed: int = 42,
     min_distance_m: float = 500.0, variant: str = "full",
 ) -> DataFrame:
-    far = beyond_distance(candidates(presence.sparkSession, attempts, seed), _obstacles(presence), min_distance_m)
-    rows = context(far)
-    cover = F.col("land_cover_code") if "land_cover_code" in rows.columns else None
-    water = F.coalesce("water_distance_miles", F.lit(NO_WATER_MILES))
-    bad = habitat.unsuitable(F.col("elevation_ft"), F.col("slope_degrees"), water, cover, variant)
-    return _finish(first_n(rows.filter(bad), n), "unsuitable", None)
+    far = _far_ranges(presence, seed, min_distance_m)
+
+    def accept(low: int, high: int) -> DataFrame:
+        rows = context(far(low, high))
+        cover = F.col("land_cover_code") if "land_cover_code" in rows.columns else None
+        water = F.coalesce("water_distance_miles", F.lit(NO_WATER_MILES))
+        return rows.filter(habitat.unsuitable(F.col("elevation_ft"), F.col("slope_degrees"), water, cover, variant))
 
+    return _finish(fill(n, accept), "unsuitable", None)
 
-def random_background(presence: DataFrame, n: int, attempts: int, seed: int = 42, min_distance_m: float = 500.0) -> DataFrame:
-    far = beyond_distance(candidates(presence.sparkSession, attempts, seed), _obstacles(presence), min_distance_m)
-    return _finish(first_n(far, n), "background", None)
+
+def random_background(presence: DataFrame, n: int, seed: int = 42, min_distance_m: float = 500.0) -> DataFrame:
+    return _finish(fill(n, _far_ranges(presence, seed, min_distance_m)), "background", None)
 
 
 def opposite_season_date(date: Column, u: Column) -> Column:
@@ -238,20 +272,25 @@ def opposite_season(presence: DataFrame, n: int, key: str, seed: int = 42) -> Da
 def with_presence_dates(absences: DataFrame, presence: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Date, year, month, day of year and season drawn from the presence dates."""
     dated = _draw_presence(absences, presence.filter(F.col("date").isNotNull()), key, ["date"], seed, "metadata")
-    return dated.withColumns(
-        {
-            "year": F.year("date"),
-            "month": F.month("date"),
-            "day_of_year": F.dayofyear("date"),
-            "season": temporal.season_code(F.month("date")),
-        }
-    )
+    return _calendar(dated)
+
+
+def mix(presence: DataFrame, n_presence: int, key: str, context: Callable[[DataFrame], DataFrame], seed: int = 42) -> dict[str, DataFrame]:
+    """All strategies of the default mix at their shares, each with as many rows as wanted."""
+    wanted = targets(n_presence)
+    dated = lambda df: with_presence_dates(df, presence, key, seed)
+    return {
+        "environmental": dated(environmental(presence, wanted["environmental"], context, seed)),
+        "unsuitable": dated(unsuitable_habitat(presence, wanted["unsuitable"], context, seed)),
+        "background": dated(random_background(presence, wanted["background"], seed)),
+        "temporal": opposite_season(presence, wanted["temporal"], key, seed),
+    }
 
 
 def _finish(df: DataFrame, strategy: str, confidence: str | None) -> DataFrame:
     new = {"absence_strategy": F.lit(strategy), TARGET: F.lit(0)}
     if confidence:
-        new["absence_confidence"] = F.lit(confidence)
+        new["confidence"] = F.lit(confidence)
     return df.withColumns(new)
 
 

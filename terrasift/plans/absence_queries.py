@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def _u(seed, stream: str, key: str) -> str:
 def _candidates(seed: int) -> str:
     return (
         f"SELECT candidate_id, 41 + {_u(seed, 'lat', 'candidate_id')} * 4 AS latitude, -111 + {_u(seed, 'lon', 'candidate_id')} * 7 AS longitude"
-        " FROM (SELECT unnest(range(2 * (SELECT count(*) FROM obs))) AS candidate_id)"
+        " FROM (SELECT unnest(range(greatest(10000, 4 * (SELECT count(*) FROM obs)))) AS candidate_id)"
     )
 
 
@@ -29,19 +31,21 @@ def _far(metres: int, seed: int = 42) -> str:
     return f"""
 , cand AS ({_candidates(seed)}),
 pr AS (SELECT obs_id, latitude AS lat, longitude AS lon, latitude, longitude, date, dataset FROM obs WHERE elk_present = 1),
-near AS (SELECT DISTINCT o.candidate_id FROM cand o, pr f WHERE abs(f.lat - o.latitude) < 0.02 AND abs(f.lon - o.longitude) < 0.03
-   AND {HAV.format(f='f.', p='o.')} * 1000 < {metres}),
+steps AS (SELECT y.k AS dy, x.k AS dx FROM (VALUES (-1), (0), (1)) y(k), (VALUES (-1), (0), (1)) x(k)),
+near AS (SELECT DISTINCT o.candidate_id
+   FROM (SELECT *, CAST(floor(latitude / 0.03) AS INT) + dy AS cy, CAST(floor(longitude / 0.03) AS INT) + dx AS cx FROM cand, steps) o
+   JOIN (SELECT *, CAST(floor(lat / 0.03) AS INT) AS cy, CAST(floor(lon / 0.03) AS INT) AS cx FROM pr) f USING (cy, cx)
+   WHERE {HAV.format(f='f.', p='o.')} * 1000 < {metres}),
 far AS (SELECT * FROM cand WHERE candidate_id NOT IN (SELECT candidate_id FROM near)),
 np AS (SELECT count(*) AS n, min(year(date)) AS y0, max(year(date)) AS y1 FROM pr)
 """
 
 
-def _presence(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
-    """(presence rows, their number, candidates to try)."""
+def _presence(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Presence rows and their number."""
     o = view(spark, d, "obs").select("obs_id", "latitude", "longitude", "date", "dataset", "elk_present")
-    total = o.count()
     p = o.filter("elk_present = 1").drop("elk_present")
-    return p, p.count(), 2 * total
+    return p, p.count()
 
 
 @query(
@@ -50,17 +54,20 @@ def _presence(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
     cte("obs")
     + _far(2000)
     + f"""
-, kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM far) WHERE rn <= (SELECT n // 10 FROM np)),
-rk AS (SELECT date, dataset, row_number() OVER (ORDER BY md5('42|date|' || obs_id)) AS rank FROM pr),
-j AS (SELECT k.*, rk.date AS d0, rk.dataset FROM kept k, np, rk WHERE rk.rank = CAST(floor({_u(42, 'date_pick', 'candidate_id')} * n) AS BIGINT) + 1)
-SELECT candidate_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, dataset,
-  make_date(year(d0), month(d0), CAST(least(greatest(day(d0) + floor({_u(42, 'jitter', 'candidate_id')} * 7) - 3, 1), day(last_day(d0))) AS BIGINT)) AS date,
-  'temporal_matched' AS absence_strategy, 'medium' AS absence_confidence, 0 AS elk_present FROM j
+, kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM far) WHERE rn <= (SELECT n FROM np)),
+rk AS (SELECT date, row_number() OVER (ORDER BY md5('42|date|' || obs_id)) AS rank FROM pr),
+rd AS (SELECT dataset, row_number() OVER (ORDER BY md5('42|dataset|' || obs_id)) AS rank FROM pr),
+j AS (SELECT k.*, rk.date AS d0, rd.dataset FROM kept k, np, rk, rd WHERE rk.rank = CAST(floor({_u(42, 'date_pick', 'candidate_id')} * n) AS BIGINT) + 1
+  AND rd.rank = CAST(floor({_u(42, 'dataset_pick', 'candidate_id')} * n) AS BIGINT) + 1),
+dd AS (SELECT *, make_date(year(d0), month(d0), CAST(least(greatest(day(d0) + floor({_u(42, 'jitter', 'candidate_id')} * 7) - 3, 1), day(last_day(d0))) AS BIGINT)) AS date FROM j)
+SELECT candidate_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, dataset, date, year(date) AS year, month(date) AS month,
+  dayofyear(date) AS day_of_year, CASE WHEN month(date) IN (12,1,2) THEN 'wi' WHEN month(date) IN (3,4,5) THEN 'sp' WHEN month(date) IN (6,7,8) THEN 'su' ELSE 'fa' END AS season,
+  'temporal_matched' AS absence_strategy, 'medium' AS confidence, 0 AS elk_present FROM dd
 """,
 )
 def absence_temporally_matched(spark: SparkSession, d: str) -> DataFrame:
-    p, n, attempts = _presence(spark, d)
-    return rounded(absence.temporally_matched(p, n // 10, "obs_id", attempts), ["latitude", "longitude"])
+    p, n = _presence(spark, d)
+    return rounded(absence.temporally_matched(p, n, "obs_id"), ["latitude", "longitude"])
 
 
 @query(
@@ -72,13 +79,13 @@ def absence_temporally_matched(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, row_number() OVER (ORDER BY md5('42|season|' || obs_id)) AS rn FROM pr)
 SELECT obs_id, date AS original_date, dataset AS source_dataset,
   CAST(date + CASE WHEN dataset = 'gye' THEN INTERVAL 4 MONTH ELSE INTERVAL 6 MONTH END AS DATE) AS date,
-  'seasonal_segregation' AS absence_strategy, 'high' AS absence_confidence FROM s WHERE rn <= (SELECT count(*) * 3 // 10 FROM pr)
+  'seasonal_segregation' AS absence_strategy, 'high' AS confidence FROM s
 """,
 )
 def absence_seasonal(spark: SparkSession, d: str) -> DataFrame:
-    p, n, _ = _presence(spark, d)
-    out = absence.seasonal_segregation(p, n * 3 // 10, "obs_id", offsets={"gye": 4})
-    return out.select("obs_id", "original_date", "source_dataset", "date", "absence_strategy", "absence_confidence")
+    p, n = _presence(spark, d)
+    out = absence.seasonal_segregation(p, n, "obs_id", offsets={"gye": 4})
+    return out.select("obs_id", "original_date", "source_dataset", "date", "absence_strategy", "confidence")
 
 
 def _layers(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
@@ -120,15 +127,15 @@ def _rule_sql(i: int, name: str, months: list[int], test: str) -> str:
         ]
     )
     + f"""),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY candidate_id) AS rn FROM every) WHERE rn <= (SELECT (n // 5) // 4 FROM np)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY candidate_id) AS rn FROM every) WHERE rn <= (SELECT n // 4 FROM np)),
 y AS (SELECT k.*, CAST(y0 + floor({_u("' || seed || '", 'year', 'candidate_id')} * (y1 - y0 + 1)) AS BIGINT) AS yy FROM k, np)
 SELECT rule, candidate_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
   make_date(yy, m, CAST(floor({_u("' || seed || '", 'day', 'candidate_id')} * day(last_day(make_date(yy, m, 1)))) AS BIGINT) + 1) AS date FROM y
 """,
 )
 def absence_unsuitable_season(spark: SparkSession, d: str) -> DataFrame:
-    p, n, attempts = _presence(spark, d)
-    out = absence.unsuitable_season(p, n // 5, attempts, lambda c: _layers(spark, d, c))
+    p, n = _presence(spark, d)
+    out = absence.unsuitable_season(p, n, lambda c: _layers(spark, d, c))
     return rounded(out.select("rule", "candidate_id", "latitude", "longitude", "date"), ["latitude", "longitude"])
 
 
@@ -138,30 +145,28 @@ def absence_unsuitable_season(spark: SparkSession, d: str) -> DataFrame:
     cte("obs")
     + _far(500)
     + f"""
-, kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM far) WHERE rn <= (SELECT n // 10 FROM np)),
+, kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM far) WHERE rn <= (SELECT n FROM np)),
 y AS (SELECT kept.*, CAST(y0 + floor({_u(42, 'year', 'candidate_id')} * (y1 - y0 + 1)) AS BIGINT) AS yy, CAST(floor({_u(42, 'month', 'candidate_id')} * 12) AS BIGINT) + 1 AS m FROM kept, np)
 SELECT candidate_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
   make_date(yy, m, CAST(floor({_u(42, 'day', 'candidate_id')} * day(last_day(make_date(yy, m, 1)))) AS BIGINT) + 1) AS date,
-  'random_background' AS absence_strategy, 'low' AS absence_confidence, 0 AS elk_present FROM y
+  'random_background' AS absence_strategy, 'low' AS confidence, 0 AS elk_present FROM y
 """,
 )
 def absence_random_temporal(spark: SparkSession, d: str) -> DataFrame:
-    p, n, attempts = _presence(spark, d)
-    return rounded(absence.random_temporal(p, n // 10, attempts), ["latitude", "longitude"])
+    p, n = _presence(spark, d)
+    return rounded(absence.random_temporal(p, n), ["latitude", "longitude"])
 
 
 _WATER = f"""
 , fl AS ({_LAYERS.format(src='far')}),
 wn AS (SELECT o.candidate_id, min({HAV.format(f='f.', p='o.')}) AS km FROM fl o, water_features f WHERE abs(f.lat - o.latitude) < 0.91 GROUP BY 1),
-ctx AS (SELECT fl.*, CASE WHEN km <= 100 THEN km * 1000 / 1609.34 ELSE 10 END * 4 AS water FROM fl LEFT JOIN wn USING (candidate_id))
+ctx AS (SELECT fl.*, CASE WHEN km <= 100 THEN km * 1000 / 1609.34 ELSE 10 END AS water FROM fl LEFT JOIN wn USING (candidate_id))
 """
 
 
 def _context(spark: SparkSession, d: str):
     def add(points: DataFrame) -> DataFrame:
-        p = with_water(_layers(spark, d, points), view(spark, d, "water_features"))
-        # stretched so that the distance rules have something to decide
-        return p.withColumn("water_distance_miles", F.col("water_distance_miles") * 4)
+        return with_water(_layers(spark, d, points), view(spark, d, "water_features"))
 
     return add
 
@@ -174,12 +179,12 @@ def _context(spark: SparkSession, d: str):
     + _WATER
     + """
 , ok AS (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM ctx WHERE elevation_ft BETWEEN 6000 AND 13500 AND slope_degrees < 45 AND water <= 5)
-SELECT candidate_id, elevation_ft, slope_degrees, round(water, 4) AS water_distance_miles FROM ok WHERE rn <= (SELECT n // 10 FROM np)
+SELECT candidate_id, elevation_ft, slope_degrees, round(water, 4) AS water_distance_miles FROM ok WHERE rn <= (SELECT CAST(floor(n * 0.4::DOUBLE) AS BIGINT) FROM np)
 """,
 )
 def absence_environmental(spark: SparkSession, d: str) -> DataFrame:
-    p, n, attempts = _presence(spark, d)
-    out = absence.environmental(p, n // 10, attempts, _context(spark, d))
+    p, n = _presence(spark, d)
+    out = absence.environmental(p, absence.targets(n)["environmental"], _context(spark, d))
     return rounded(out.select("candidate_id", "elevation_ft", "slope_degrees", "water_distance_miles"), ["water_distance_miles"], 4)
 
 
@@ -191,12 +196,12 @@ def absence_environmental(spark: SparkSession, d: str) -> DataFrame:
     + _WATER
     + """
 , ok AS (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM ctx WHERE elevation_ft < 4000 OR elevation_ft > 14000 OR slope_degrees > 60 OR water > 10)
-SELECT candidate_id, elevation_ft, slope_degrees, round(water, 4) AS water_distance_miles FROM ok WHERE rn <= (SELECT n // 10 FROM np)
+SELECT candidate_id, elevation_ft, slope_degrees, round(water, 4) AS water_distance_miles FROM ok WHERE rn <= (SELECT CAST(floor(n * 0.3::DOUBLE) AS BIGINT) FROM np)
 """,
 )
 def absence_unsuitable_habitat(spark: SparkSession, d: str) -> DataFrame:
-    p, n, attempts = _presence(spark, d)
-    out = absence.unsuitable_habitat(p, n // 10, attempts, _context(spark, d))
+    p, n = _presence(spark, d)
+    out = absence.unsuitable_habitat(p, absence.targets(n)["unsuitable"], _context(spark, d))
     return rounded(out.select("candidate_id", "elevation_ft", "slope_degrees", "water_distance_miles"), ["water_distance_miles"], 4)
 
 
@@ -206,7 +211,7 @@ def absence_unsuitable_habitat(spark: SparkSession, d: str) -> DataFrame:
     cte("obs")
     + _far(500)
     + f"""
-, kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM far) WHERE rn <= (SELECT n // 10 FROM np)),
+, kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY candidate_id) AS rn FROM far) WHERE rn <= (SELECT CAST(floor(n * 0.2::DOUBLE) AS BIGINT) FROM np)),
 rk AS (SELECT date, row_number() OVER (ORDER BY md5('42|metadata|' || obs_id)) AS rank FROM pr)
 SELECT candidate_id, rk.date, year(rk.date) AS year, month(rk.date) AS month, dayofyear(rk.date) AS day_of_year,
   CASE WHEN month(rk.date) IN (12,1,2) THEN 'wi' WHEN month(rk.date) IN (3,4,5) THEN 'sp' WHEN month(rk.date) IN (6,7,8) THEN 'su' ELSE 'fa' END AS season
@@ -214,8 +219,8 @@ FROM kept, np, rk WHERE rk.rank = CAST(floor({_u(42, 'metadata_pick', 'candidate
 """,
 )
 def absence_background(spark: SparkSession, d: str) -> DataFrame:
-    p, n, attempts = _presence(spark, d)
-    out = absence.with_presence_dates(absence.random_background(p, n // 10, attempts), p, "obs_id")
+    p, n = _presence(spark, d)
+    out = absence.with_presence_dates(absence.random_background(p, absence.targets(n)["background"]), p, "obs_id")
     return out.select("candidate_id", "date", "year", "month", "day_of_year", "season")
 
 
@@ -226,15 +231,15 @@ def absence_background(spark: SparkSession, d: str) -> DataFrame:
     + f"""
 , pr AS (SELECT * FROM obs WHERE elk_present = 1),
 s AS (SELECT *, row_number() OVER (ORDER BY md5('42|opposite|' || obs_id)) AS rn, {_u(42, 'opposite_month', 'obs_id')} AS u, month(date) AS m, year(date) AS y FROM pr),
-w AS (SELECT *, list_extract([12, 1, 2], CAST(floor(u * 3) AS INT) + 1) AS wm, list_extract([6, 7, 8], CAST(floor(u * 3) AS INT) + 1) AS sm FROM s WHERE rn <= (SELECT count(*) // 10 FROM pr))
+w AS (SELECT *, list_extract([12, 1, 2], CAST(floor(u * 3) AS INT) + 1) AS wm, list_extract([6, 7, 8], CAST(floor(u * 3) AS INT) + 1) AS sm FROM s WHERE rn <= (SELECT CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) FROM pr))
 SELECT obs_id, date AS original_date, make_date(
   CASE WHEN m IN (6,7,8) THEN CASE WHEN wm = 12 THEN y ELSE y + 1 END WHEN m IN (12,1,2) THEN y ELSE y + CASE WHEN m > 6 THEN 1 ELSE 0 END END,
   CASE WHEN m IN (6,7,8) THEN wm WHEN m IN (12,1,2) THEN sm ELSE (m + 6) % 12 END, least(day(date), 28)) AS date FROM w
 """,
 )
 def absence_opposite_season(spark: SparkSession, d: str) -> DataFrame:
-    p, n, _ = _presence(spark, d)
-    return absence.opposite_season(p, n // 10, "obs_id").select("obs_id", "original_date", "date")
+    p, n = _presence(spark, d)
+    return absence.opposite_season(p, absence.targets(n)["temporal"], "obs_id").select("obs_id", "original_date", "date")
 
 
 @query(
@@ -243,14 +248,15 @@ def absence_opposite_season(spark: SparkSession, d: str) -> DataFrame:
     cte("obs")
     + """
 , n AS (SELECT count(*) AS n FROM obs WHERE elk_present = 1), s(strategy, share) AS (VALUES ('environmental', 0.4), ('unsuitable', 0.3), ('background', 0.2), ('temporal', 0.1))
-SELECT strategy, CAST(floor(n * share::DOUBLE) AS BIGINT) AS target,
-  CAST(least(floor(10000 * greatest(CASE WHEN n > 50000 THEN 3 WHEN n > 10000 THEN 2 ELSE 1 END, floor(n * share::DOUBLE) / CASE WHEN n > 50000 THEN 5000 ELSE 10000 END)), 1000000) AS BIGINT) AS attempts FROM s, n
+SELECT strategy, CAST(floor(n * share::DOUBLE) AS BIGINT) AS target, CAST(floor(n * share::DOUBLE) AS BIGINT) AS produced FROM s, n
 """,
 )
 def strategy_mix(spark: SparkSession, d: str) -> DataFrame:
-    _, n, _ = _presence(spark, d)
-    rows = [(k, v, absence.attempt_budget(n, v)) for k, v in absence.targets(n).items()]
-    return spark.createDataFrame(rows, "strategy string, target bigint, attempts bigint")
+    """Rows wanted and drawn by each strategy of the whole mix."""
+    p, n = _presence(spark, d)
+    parts = absence.mix(p, n, "obs_id", _context(spark, d))
+    counted = [df.agg(F.lit(k).alias("strategy"), F.lit(absence.targets(n)[k]).cast("bigint").alias("target"), F.count(F.lit(1)).alias("produced")) for k, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), counted)
 
 
 @query(
@@ -258,17 +264,19 @@ def strategy_mix(spark: SparkSession, d: str) -> DataFrame:
     "G12 U1 U4",
     cte("obs")
     + """
-, pr AS (SELECT * FROM obs WHERE elk_present = 1),
-a AS (SELECT obs_id, row_number() OVER (ORDER BY md5('42|season|' || obs_id)) AS r1, row_number() OVER (ORDER BY md5('42|opposite|' || obs_id)) AS r2 FROM pr),
-l AS (SELECT NULL AS absence_strategy, 1 AS elk_present, obs_id FROM pr UNION ALL
-  SELECT 'seasonal_segregation', 0, obs_id FROM a WHERE r1 <= 300 UNION ALL SELECT 'temporal', 0, obs_id FROM a WHERE r2 <= 100)
-SELECT absence_strategy, elk_present, count(*) AS n, CAST(sum(obs_id) AS BIGINT) AS key_sum FROM l GROUP BY 1, 2
+, n AS (SELECT count(*) AS n FROM obs WHERE elk_present = 1), s(absence_strategy, share) AS (VALUES ('environmental', 0.4), ('unsuitable', 0.3), ('background', 0.2), ('temporal', 0.1)),
+pr AS (SELECT * FROM obs WHERE elk_present = 1),
+t AS (SELECT obs_id, row_number() OVER (ORDER BY md5('42|opposite|' || obs_id)) AS r FROM pr)
+SELECT NULL AS absence_strategy, 1 AS elk_present, count(*) AS n, CAST(sum(obs_id) AS BIGINT) AS key_sum FROM pr
+UNION ALL SELECT absence_strategy, 0, CAST(floor(n * share::DOUBLE) AS BIGINT),
+  CASE WHEN absence_strategy = 'temporal' THEN (SELECT CAST(sum(obs_id) AS BIGINT) FROM t WHERE r <= floor((SELECT n FROM n) * 0.1::DOUBLE)) END FROM s, n
 """,
 )
 def absence_assembly(spark: SparkSession, d: str) -> DataFrame:
-    p, _, _ = _presence(spark, d)
-    parts = [absence.seasonal_segregation(p, 300, "obs_id"), absence.opposite_season(p, 100, "obs_id")]
-    table = absence.assemble(p, parts, ["obs_id", "date"])
+    """Presence rows and the whole mix in one table, counted by strategy."""
+    p, n = _presence(spark, d)
+    parts = list(absence.mix(p, n, "obs_id", _context(spark, d)).values())
+    table = absence.assemble(p, parts, ["obs_id", "candidate_id", "date"])
     return table.groupBy("absence_strategy", "elk_present").agg(F.count(F.lit(1)).alias("n"), F.sum("obs_id").alias("key_sum"))
 
 

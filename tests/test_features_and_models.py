@@ -58,9 +58,7 @@ def test_context_station_snow(spark):
 
 
 def test_absence_budget():
-    assert absence.attempt_budget(100, 500) == 10000
-    assert absence.attempt_budget(60000, 50000) == 100000
-    assert absence.attempt_budget(60000, 10**9) == 1000000
+    assert absence.first_range(100) == 10000 and absence.first_range(10**9) == 2 * 10**9
     assert absence.targets(1000) == {"environmental": 400, "unsuitable": 300, "background": 200, "temporal": 100}
 
 
