@@ -5,8 +5,9 @@ both. Here only *cells* are compared first. Starting at one degree, every query
 keeps the feature cells whose lower distance bound does not exceed the best upper bound;
 cells whose surviving feature count is still above ``max_candidates`` are split in two
 per axis and compared again. The result is one row per final query cell with its short
-candidate array, so each point meets exactly one row: no pairs are emitted, and a hot
-cell is an ordinary skewed equi-join against a unique key, which AQE splits.
+candidate array. Which level a point's cell ended at is settled on a table of cells, so the
+point itself is joined once by its cell and once with the candidates: no pairs are emitted,
+and a hot cell is an ordinary skewed equi-join against a unique key, which AQE splits.
 """
 
 from __future__ import annotations
@@ -225,14 +226,15 @@ def nearest(
     )
     if not segments:
         keyed = keyed.withColumns(dict(zip(("_px", "_py", "_pz"), xyz(lat, lon))))
-    # every located point matches exactly one of its exploded level keys
-    k = F.explode_outer(F.when(located, keys("_ix", "_iy")))
-    joined = (
-        keyed.withColumn("_k", k)
-        .select("*", "_k.level", "_k.cx", "_k.cy")
-        .join(index, ["level", "cx", "cy"], "left")
-        .filter(F.col("_candidates").isNotNull() | ~located)
+    # levels are settled on the narrow cells: each finest cell lies in exactly one final cell,
+    # so a point is joined once by its own cell and never copied per level
+    final_cells = finals.select("level", F.col("qx").alias("cx"), F.col("qy").alias("cy")).distinct()
+    settled = (
+        q_cells.select("ix", "iy", F.explode(keys("ix", "iy")).alias("k"))
+        .select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "k.level", "k.cx", "k.cy")
+        .join(final_cells, ["level", "cx", "cy"], "left_semi")
     )
+    joined = keyed.join(settled, ["_ix", "_iy"], "left").join(index, ["level", "cx", "cy"], "left")
 
     def distance(c: Column) -> Column:
         if segments:
@@ -244,7 +246,7 @@ def nearest(
     ranked = F.array_min(
         F.transform("_candidates", lambda c: F.struct(F.rint(distance(c) * 1e6).alias("mm"), c["who"].alias("who")))
     )
-    joined = joined.withColumn("_best", ranked)
+    joined = joined.withColumn("_best", F.when(located, ranked))
     best = F.col("_best")
     km = best["mm"] / 1e6
     result = F.when(

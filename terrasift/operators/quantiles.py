@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-# Above this many distinct values per column the value axis is cut into buckets.
-DISTINCT_IN_ONE_BUCKET = 2_000_000
 
 
 def value_counts_long(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -28,26 +26,12 @@ def value_counts_long(df: DataFrame, columns: list[str], by: list[str] | None =
     )
 
 
-def bucket_edges(
-    df: DataFrame, columns: list[str], buckets: int = BUCKETS, single: int = DISTINCT_IN_ONE_BUCKET
-) -> dict[str, list[float]]:
-    """Approximate quantile edges for columns with more than ``single`` distinct values.
-
-    One row of counts and at most ``buckets`` doubles per column reach the driver; the
-    other columns keep an empty edge list, their distinct values being few enough to be
-    ordered by one task.
-    """
+def bucket_edges(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
+    """Approximate quantile edges of every column; at most ``buckets`` doubles each reach the driver."""
     names = dict(enumerate(columns))
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in names.items()]).first()
-    large = {i: c for i, c in names.items() if sizes[f"c{i}"] > single}
-    edges: dict[str, list[float]] = {c: [] for c in columns}
-    if large:
-        probs = [i / buckets for i in range(1, buckets)]
-        row = df.agg(
-            *[F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(f"c{i}") for i, c in large.items()]
-        ).first()
-        edges.update({c: sorted(set(row[f"c{i}"] or [])) for i, c in large.items()})
-    return edges
+    probs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(f"c{i}") for i, c in names.items()]).first()
+    return {c: sorted(set(row[f"c{i}"] or [])) for i, c in names.items()}
 
 
 def bucket_of(value: Column, edges: list[float]) -> Column:
@@ -98,11 +82,10 @@ def exact_quantiles(
     probs: list[float],
     by: list[str] | None = None,
     buckets: int = BUCKETS,
-    single: int = DISTINCT_IN_ONE_BUCKET,
 ) -> DataFrame:
     """(by..., column, prob, value) with linear interpolation between order statistics."""
     by = by or []
-    edges = bucket_edges(df, columns, buckets, single)
+    edges = bucket_edges(df, columns, buckets)
     ranked = with_cumulative(value_counts_long(df, columns, by), edges, by, ["n"])
     hit = lambda r: (F.col("n_before") <= r) & (r < F.col("n_before") + F.col("n"))
     place = lambda p: p * (F.col("n_total") - 1)
@@ -119,14 +102,12 @@ def exact_quantiles(
     return marked.groupBy(*by, "column", "prob").agg((low + (high - low) * frac).alias("value"))
 
 
-def average_ranks(
-    df: DataFrame, column: str, weights: dict[str, Column], single: int = DISTINCT_IN_ONE_BUCKET
-) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, weights: dict[str, Column]) -> DataFrame:
     """One row per distinct value with counts, counts before it, and its average rank.
 
     ``weights`` adds conditional counts, e.g. ``{"pos": (label == 1).cast("int")}``.
     """
-    edges = bucket_edges(df, [column], single=single)
+    edges = bucket_edges(df, [column])
     counts = (
         df.filter(F.col(column).isNotNull())
         .groupBy(F.lit(column).alias("column"), F.col(column).cast("double").alias("value"))
