@@ -17,19 +17,20 @@ from terrasift.sources.surrogates import cte, view
 from terrasift.plans.spatial_queries import _areas
 
 AS_OF = "2026-10-05"
-SPACING = 2000.0
-_STEP = "(2000.0::DOUBLE / 111139)"
+SPACING = 500.0
+RADIUS = 0.01
+_STEP = "(500.0::DOUBLE / 111139)"
 
 _GRID_SQL = (
     cte("areas", "raster_cells")
     + f"""
 , req AS (SELECT area_id AS request_id, min_lat, max_lat, min_lon, max_lon, CAST(DATE '2026-08-20' + CAST(area_id * 10 AS INT) AS DATE) AS start FROM areas),
 g AS (SELECT request_id, start, i.i, j.j, min_lat + i.i * {_STEP} AS latitude, min_lon + j.j * {_STEP} AS longitude FROM req,
-   (SELECT unnest(range(40)) AS i) i, (SELECT unnest(range(40)) AS j) j
+   (SELECT unnest(range(1000)) AS i) i, (SELECT unnest(range(1000)) AS j) j
    WHERE i.i > 0 AND j.j > 0 AND i.i < ceil((max_lat - min_lat) / {_STEP}) AND j.j < ceil((max_lon - min_lon) / {_STEP})),
 pd AS (SELECT g.*, CAST(start + k AS DATE) AS date FROM g, (SELECT unnest(range(3))::INT AS k)),
 c AS (SELECT pd.*, v.value FROM pd LEFT JOIN raster_cells v ON v.cell_row = CAST(floor((latitude - 45) / -0.1) AS INT) AND v.cell_col = CAST(floor((longitude + 111) / 0.14) AS INT)),
-x AS (SELECT request_id, CAST(request_id * 10000 + i * 100 + j AS BIGINT) AS obs_id, date, latitude, longitude, DATE '{AS_OF}' AS as_of,
+x AS (SELECT request_id, CAST(request_id * 1000000 + i * 1000 + j AS BIGINT) AS obs_id, date, latitude, longitude, DATE '{AS_OF}' AS as_of,
   coalesce(value, 8500) AS elevation_ft, coalesce(value % 60, 15) AS slope_degrees, coalesce(value % 100, 30) AS canopy_cover_percent,
   greatest(CASE WHEN month(date) IN (12,1,2) THEN (coalesce(value, 8500)-6000)/100 WHEN month(date) IN (3,4) THEN (coalesce(value, 8500)-7000)/150
     WHEN month(date) IN (10,11) THEN (coalesce(value, 8500)-9000)/200 ELSE (coalesce(value, 8500)-10000)/100 END, 0::DOUBLE) AS snow_depth_inches,
@@ -109,7 +110,7 @@ def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
     "prediction_scores",
     "Q2 H12 H15",
     _SCORED
-    + "SELECT obs_id // 10000 AS request_id, date, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(total_score, 6) AS total_score, limiting_factor, best_factor FROM totals",
+    + "SELECT obs_id // 1000000 AS request_id, date, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(total_score, 6) AS total_score, limiting_factor, best_factor FROM totals",
 )
 def prediction_scores(spark: SparkSession, d: str) -> DataFrame:
     out = scored_grid(spark, d).select(
@@ -125,7 +126,7 @@ def prediction_scores(spark: SparkSession, d: str) -> DataFrame:
     + ", "
     + _AREA
     + """
-, m AS (SELECT obs_id // 10000 AS request_id, avg(total_score) AS s FROM totals GROUP BY 1)
+, m AS (SELECT obs_id // 1000000 AS request_id, avg(total_score) AS s FROM totals GROUP BY 1)
 SELECT CAST(m.request_id AS INT) AS request_id, round(s, 6) AS score, CASE WHEN s >= 75 THEN 'high' WHEN s >= 60 THEN 'medium' ELSE 'low' END AS confidence_level,
   CAST(floor((2 + s / 100 * 8) * sq) AS BIGINT) AS estimated_population, round(2 + s / 100 * 8, 6) AS population_density,
   CASE WHEN s >= 80 THEN 'excellent' WHEN s >= 65 THEN 'good' WHEN s >= 50 THEN 'fair' ELSE 'poor' END AS habitat_quality FROM m JOIN sq USING (request_id)
@@ -140,9 +141,9 @@ def prediction_overall(spark: SparkSession, d: str) -> DataFrame:
     "Q6 A22 F33",
     _SCORED
     + """
-, f AS (SELECT obs_id // 10000 AS request_id, factor, avg(score) AS score FROM long GROUP BY 1, 2),
+, f AS (SELECT obs_id // 1000000 AS request_id, factor, avg(score) AS score FROM long GROUP BY 1, 2),
 st AS (SELECT request_id, factor, arg_min(status, (-n, status)) AS status FROM
-   (SELECT obs_id // 10000 AS request_id, factor, status, count(*) AS n FROM long GROUP BY 1, 2, 3) GROUP BY 1, 2)
+   (SELECT obs_id // 1000000 AS request_id, factor, status, count(*) AS n FROM long GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT CAST(request_id AS INT) AS request_id, factor, round(score, 6) AS score, 1.0::DOUBLE AS weight, round(score, 6) AS contribution, status,
   array_to_string(list_transform(string_split(factor, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ' is ' ||
   CASE status WHEN 'excellent' THEN 'optimal' WHEN 'good' THEN 'favorable' WHEN 'fair' THEN 'acceptable' ELSE 'limiting' END AS note
@@ -161,8 +162,8 @@ def prediction_factors(spark: SparkSession, d: str) -> DataFrame:
     + ", "
     + _AREA
     + """
-, dd AS (SELECT obs_id // 10000 AS request_id, date, avg(total_score) AS s FROM totals GROUP BY 1, 2),
-fm AS (SELECT obs_id // 10000 AS request_id, date, factor, ordinal, avg(score) AS m FROM long GROUP BY 1, 2, 3, 4),
+, dd AS (SELECT obs_id // 1000000 AS request_id, date, avg(total_score) AS s FROM totals GROUP BY 1, 2),
+fm AS (SELECT obs_id // 1000000 AS request_id, date, factor, ordinal, avg(score) AS m FROM long GROUP BY 1, 2, 3, 4),
 fb AS (SELECT request_id, date, replace(arg_min(factor, (-m, ordinal)), '_', ' ') AS best, replace(arg_min(factor, (m, ordinal)), '_', ' ') AS worst FROM fm GROUP BY 1, 2)
 SELECT CAST(request_id AS INT) AS request_id, date, round(s, 6) AS score, CAST(floor((2 + s / 100 * 8) * sq) AS BIGINT) AS estimated_population,
   CASE WHEN s >= 80 THEN 'Excellent conditions - ' || best || ' is optimal' WHEN s >= 65 THEN 'Good conditions overall'
@@ -183,18 +184,18 @@ def prediction_days(spark: SparkSession, d: str) -> DataFrame:
     "Q4 Q5 T2 R4",
     _SCORED.replace("WITH areas", "WITH RECURSIVE areas", 1)
     + """
-, pt AS (SELECT t.obs_id // 10000 AS request_id, t.latitude AS la, t.longitude AS lo, t.date AS d, round(t.total_score, 9) AS s, limiting_factor, best_factor,
+, pt AS (SELECT t.obs_id // 1000000 AS request_id, t.latitude AS la, t.longitude AS lo, t.date AS d, round(t.total_score, 9) AS s, limiting_factor, best_factor,
     printf('%.0f', elevation_ft) || 'ft elevation' || CASE WHEN security_s > 7 THEN ', secure terrain' ELSE '' END || CASE WHEN vegetation_s > 7 THEN ', good forage' ELSE '' END AS description
    FROM totals t JOIN scored USING (obs_id, date)),
 loc AS (SELECT request_id, la, lo, max(s) AS s, arg_max(d, (s, DATE '2100-01-01' - d)) AS d FROM pt GROUP BY 1, 2, 3),
 walk AS (SELECT DISTINCT request_id, 0 AS k, CAST([] AS STRUCT(la DOUBLE, lo DOUBLE, d DATE)[]) AS seeds FROM loc
   UNION ALL SELECT w.request_id, any_value(w.k) + 1, list_append(any_value(w.seeds), arg_max({'la': l.la, 'lo': l.lo, 'd': l.d}, (l.s, DATE '2100-01-01' - l.d, -l.lo, -l.la)))
   FROM walk w JOIN loc l ON l.request_id = w.request_id
-  WHERE w.k < 10 AND NOT coalesce(list_bool_or(list_transform(w.seeds, lambda t: sqrt(pow(t.la - l.la, 2) + pow(t.lo - l.lo, 2)) <= 0.03)), false) GROUP BY w.request_id),
+  WHERE w.k < 10 AND NOT coalesce(list_bool_or(list_transform(w.seeds, lambda t: sqrt(pow(t.la - l.la, 2) + pow(t.lo - l.lo, 2)) <= 0.01)), false) GROUP BY w.request_id),
 fin AS (SELECT request_id, arg_max(seeds, k) AS seeds FROM walk GROUP BY 1),
 sd AS (SELECT request_id, unnest(range(1, len(seeds) + 1)) AS rank, unnest(seeds) AS p FROM fin),
 cl AS (SELECT sd.request_id, sd.rank, any_value(sd.p) AS p, count(*) AS n, avg(pt.s) AS m FROM sd JOIN pt ON pt.request_id = sd.request_id
-   AND sqrt(pow(sd.p.la - pt.la, 2) + pow(sd.p.lo - pt.lo, 2)) <= 0.03 GROUP BY 1, 2),
+   AND sqrt(pow(sd.p.la - pt.la, 2) + pow(sd.p.lo - pt.lo, 2)) <= 0.01 GROUP BY 1, 2),
 el AS (SELECT *, (2 + m / 100 * 8) * (n * 0.25 / 640) AS e FROM cl)
 SELECT CAST(el.request_id AS INT) AS request_id, CAST(rank AS INT) AS rank, 'hotspot_' || rank AS id, round(p.la, 6) AS latitude, round(p.lo, 6) AS longitude,
   CAST(n * 0.25 AS DOUBLE) AS area_acres, round(m, 6) AS score, greatest(1, CAST(floor(e * 0.8) AS BIGINT)) AS elk_min,
@@ -205,7 +206,7 @@ FROM el JOIN pt ON pt.request_id = el.request_id AND pt.la = p.la AND pt.lo = p.
 )
 def prediction_hotspots(spark: SparkSession, d: str) -> DataFrame:
     scored = scored_grid(spark, d).withColumn("total_score", F.round("total_score", 9))
-    return rounded(predict.hotspots(scored, radius=0.03), ["score", "latitude", "longitude"])
+    return rounded(predict.hotspots(scored, radius=RADIUS), ["score", "latitude", "longitude"])
 
 
 @query(
