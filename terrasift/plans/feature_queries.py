@@ -91,7 +91,7 @@ def optimised_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "combined_table",
-    "U2 U3 U1",
+    "U1 U2 U3",
     cte("obs")
     + """
 SELECT elk_present, elevation_ft, NULL::DOUBLE AS slope_degrees, obs_id FROM obs WHERE dataset = 'north'
@@ -119,27 +119,43 @@ _CTX_NEAR = (
 
 @query(
     "assembled_context",
-    "J23 J1 J2 J13 J4 J5 J24 F17",
-    cte("obs", "raster_cells", "water_features", "areas", "scenes", "climate_cells")
+    "J23 J1 J2 J3 J4 J5 J13 J24 F17",
+    cte("obs", "raster_cells", "water_features", "road_lines", "hydro", "areas", "stations", "station_series", "scenes")
     + f"""
 , o AS (SELECT obs_id, obs_id % 100 AS tile_id, latitude + CASE WHEN obs_id % 50 = 0 THEN 10 ELSE 0 END AS latitude, longitude, date FROM obs),
 b AS (SELECT *, latitude BETWEEN 41 AND 45 AND longitude BETWEEN -111 AND -104 AS inside,
    CAST(floor((latitude - 45) / -0.1) AS INT) AS r, CAST(floor((longitude + 111) / 0.14) AS INT) AS c FROM o),
 w AS (SELECT obs_id, min(round({_CTX_NEAR}, 6)) AS km FROM o, water_features f WHERE abs(f.lat - o.latitude) < 0.91 GROUP BY 1),
-p AS (SELECT obs_id, arg_min(pack_size / elk_count * 1000, area_id) AS wolves FROM o JOIN areas ON longitude >= min_lon AND longitude < max_lon AND latitude >= min_lat AND latitude < max_lat GROUP BY 1),
+hy AS (SELECT obs_id, min(round({_CTX_NEAR}, 6)) AS trail_km, min(round({_CTX_NEAR}, 6)) FILTER (ftype = 999) AS bear_km FROM o, hydro f WHERE abs(f.lat - o.latitude) < 0.91 GROUP BY 1),
+rp AS (SELECT obs_id, (lon1 - longitude) * cos(radians(latitude)) * k AS ax, (lat1 - latitude) * k AS ay, (lon2 - longitude) * cos(radians(latitude)) * k AS bx, (lat2 - latitude) * k AS by_
+   FROM o, road_lines, (SELECT 6371000.0::DOUBLE * pi() / 180.0 AS k) WHERE abs(lat1 - latitude) < 0.95),
+rt AS (SELECT *, greatest(0, least(1, -(ax*(bx-ax) + ay*(by_-ay)) / (pow(bx-ax,2) + pow(by_-ay,2)))) AS t FROM rp),
+rd AS (SELECT obs_id, min(round(sqrt(pow(ax + t*(bx-ax), 2) + pow(ay + t*(by_-ay), 2)) / 1000, 6)) AS road_km FROM rt GROUP BY 1),
+sc_ AS (SELECT o.obs_id, o.date, f.station_id, f.name, f.has_data, round({_CTX_NEAR}, 6) AS dist FROM o, stations f WHERE abs(f.lat - o.latitude) < 0.91),
+st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY has_data DESC, dist, station_id) AS rn FROM sc_ WHERE dist <= 100) WHERE rn = 1),
+sn AS (SELECT st.obs_id, any_value(st.name) AS name, arg_min(s.depth_in, (abs(s.date - st.date), s.date)) AS depth FROM st
+   JOIN station_series s ON s.station_id = st.station_id AND abs(s.date - st.date) <= 7 GROUP BY 1),
+p AS (SELECT obs_id, arg_min(pack_size / elk_count * 1000, area_id) AS wolves FROM o JOIN areas ON longitude > min_lon AND longitude < max_lon AND latitude > min_lat AND latitude < max_lat GROUP BY 1),
 s AS (SELECT o.obs_id, arg_min((ndvi, cloud_cover), (cloud_cover, scene_date, ndvi)) AS sc FROM o JOIN scenes USING (tile_id)
    WHERE cloud_cover < 50 AND scene_date >= date - 21 AND scene_date < date + 21 GROUP BY 1),
 x AS (SELECT b.*, CASE WHEN inside THEN coalesce(value, 8500) END AS elevation, CASE WHEN inside THEN coalesce(value % 60, 15) END AS slope,
-   CASE WHEN inside THEN greatest(0, least(100, coalesce(value % 130, 30))) END AS canopy, month(date) AS m FROM b LEFT JOIN raster_cells v ON v.cell_row = b.r AND v.cell_col = b.c),
+   CASE WHEN inside THEN greatest(0, least(100, coalesce(value % 130, 30))) END AS canopy, coalesce(value % 101, 35) AS security, month(date) AS m
+   FROM b LEFT JOIN raster_cells v ON v.cell_row = b.r AND v.cell_col = b.c),
 e AS (SELECT *, CASE WHEN m IN (12,1,2) THEN (coalesce(elevation, 8500) - 6000) / 100 WHEN m IN (3,4) THEN (coalesce(elevation, 8500) - 7000) / 150
-   WHEN m IN (10,11) THEN (coalesce(elevation, 8500) - 9000) / 200 ELSE (coalesce(elevation, 8500) - 10000) / 100 END AS snow FROM x)
-SELECT obs_id, elevation AS elevation_ft, slope AS slope_degrees, canopy AS canopy_cover_percent,
-  round(CASE WHEN km <= 100 THEN km * 1000 / 1609.34 ELSE 10 END, 5) AS water_distance_miles, 2.0::DOUBLE AS road_distance_miles, 1.5::DOUBLE AS trail_distance_miles,
-  round(coalesce(wolves, 0.5), 6) AS wolves_per_1000_elk, 0.75::DOUBLE AS wolf_data_quality, 5.0::DOUBLE AS bear_activity_distance_miles, 0.5::DOUBLE AS bear_data_quality,
-  round(greatest(snow, 0), 6) AS snow_depth_inches, 'estimate' AS snow_data_source,
+   WHEN m IN (10,11) THEN (coalesce(elevation, 8500) - 9000) / 200 ELSE (coalesce(elevation, 8500) - 10000) / 100 END AS snow FROM x),
+wx AS (SELECT station_id AS tile_id, date, temperature_f, swe_in, depth_in FROM station_series)
+SELECT obs_id, elevation AS elevation_ft, slope AS slope_degrees, canopy AS canopy_cover_percent, security AS security_habitat_percent,
+  round(CASE WHEN km <= 100 THEN km * 1000 / 1609.34 ELSE 10 END, 5) AS water_distance_miles,
+  round(CASE WHEN road_km <= 100 THEN road_km * 1000 / 1609.34 ELSE 10 END, 5) AS road_distance_miles,
+  round(CASE WHEN trail_km <= 100 THEN trail_km * 1000 / 1609.34 ELSE 10 END, 5) AS trail_distance_miles,
+  round(CASE WHEN bear_km <= 100 THEN bear_km * 1000 / 1609.34 ELSE 10 END, 5) AS bear_activity_distance_miles,
+  round(coalesce(wolves, 0.5), 6) AS wolves_per_1000_elk, 0.75::DOUBLE AS wolf_data_quality, 0.65::DOUBLE AS bear_data_quality,
+  round(coalesce(depth, greatest(snow, 0)), 6) AS snow_depth_inches, CASE WHEN depth IS NULL THEN 'estimate' ELSE 'snotel' END AS snow_data_source, sn.name AS snow_station_name,
+  coalesce(wx.temperature_f, 45)::DOUBLE AS temperature_f, round(coalesce(wx.swe_in, 0), 6)::DOUBLE AS precip_last_7_days_inches,
   round(coalesce(sc[1], CASE WHEN m IN (6,7,8) THEN 0.70 WHEN m IN (9,10) THEN 0.55 WHEN m IN (11,12,1,2,3) THEN 0.30 ELSE 0.50 END::DOUBLE), 6) AS ndvi,
-  coalesce(sc[2], 20)::DOUBLE AS cloud_cover_percent, 0.9::DOUBLE AS pregnancy_rate
-FROM e LEFT JOIN w USING (obs_id) LEFT JOIN p USING (obs_id) LEFT JOIN s USING (obs_id)
+  coalesce(sc[2], wx.depth_in, 20)::DOUBLE AS cloud_cover_percent, 0.9::DOUBLE AS pregnancy_rate
+FROM e LEFT JOIN w USING (obs_id) LEFT JOIN hy USING (obs_id) LEFT JOIN rd USING (obs_id) LEFT JOIN sn USING (obs_id) LEFT JOIN p USING (obs_id) LEFT JOIN s USING (obs_id)
+  LEFT JOIN wx ON wx.tile_id = e.tile_id AND wx.date = e.date
 """,
 )
 def assembled_context(spark: SparkSession, d: str) -> DataFrame:
@@ -168,18 +184,32 @@ def assembled_context(spark: SparkSession, d: str) -> DataFrame:
             )
         ),
     )
+    hydro = view(spark, d, "hydro").select("feature_id", "lat", "lon", "ftype")
+    series = view(spark, d, "station_series")
     layers = Layers(
         rasters=rasters,
         grid=GRID,
         water=view(spark, d, "water_features"),
+        roads=view(spark, d, "road_lines").select(F.col("road_id").alias("feature_id"), "lat1", "lon1", "lat2", "lon2"),
+        trails=hydro.drop("ftype"),
+        bears=hydro.where("ftype = 999").drop("ftype"),
         packs=_areas(spark, d),
+        security=view(spark, d, "raster_cells").select("cell_row", "cell_col", (v % 101).alias("share")),
+        stations=view(spark, d, "stations"),
+        station_series=series,
+        weather=series.select(
+            F.col("station_id").alias("tile_id"), "date", F.col("temperature_f").alias("temp"),
+            F.col("swe_in").alias("precip_7d"), F.col("depth_in").alias("cloud_cover"),
+        ),
+        weather_key=["tile_id"],
         scenes=view(spark, d, "scenes"),
         max_cloud=50.0,
     )
     out = assemble_context(o, layers).select(
-        "obs_id", "elevation_ft", "slope_degrees", "canopy_cover_percent", "water_distance_miles", "road_distance_miles",
-        "trail_distance_miles", "wolves_per_1000_elk", "wolf_data_quality", "bear_activity_distance_miles", "bear_data_quality",
-        "snow_depth_inches", "snow_data_source", "ndvi", "cloud_cover_percent", "pregnancy_rate",
+        "obs_id", "elevation_ft", "slope_degrees", "canopy_cover_percent", "security_habitat_percent", "water_distance_miles",
+        "road_distance_miles", "trail_distance_miles", "bear_activity_distance_miles", "wolves_per_1000_elk", "wolf_data_quality",
+        "bear_data_quality", "snow_depth_inches", "snow_data_source", "snow_station_name", "temperature_f",
+        "precip_last_7_days_inches", "ndvi", "cloud_cover_percent", "pregnancy_rate",
     )
-    out = rounded(out, ["wolves_per_1000_elk", "snow_depth_inches", "ndvi"])
-    return rounded(out, ["water_distance_miles"], 5)
+    out = rounded(out, ["wolves_per_1000_elk", "snow_depth_inches", "precip_last_7_days_inches", "ndvi"])
+    return rounded(out, [f"{k}_distance_miles" for k in ("water", "road", "trail", "bear_activity")], 5)
