@@ -6,20 +6,53 @@ import functools
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
 # A space between two other characters always starts a byte-level token.
 _TWO_SPACES = re.compile(r"\s\s")
+NO_SPACE = " "
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
 def byte_level_pieces(text: str) -> list[str]:
-    """Pieces that a byte-level tokenizer encodes as it does the whole text."""
+    """Names of pieces that a byte-level tokenizer encodes as it does the whole text.
+
+    A piece that begins with its only space is named by what follows; any other name is its
+    piece behind a ``NO_SPACE`` mark.
+    """
     if _TWO_SPACES.search(text):
-        return _BEFORE_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[f" {x}" for x in rest]]
+        return [NO_SPACE + p for p in _BEFORE_SPACE.split(text)]
+    pieces = text.split(" ")
+    pieces[0] = NO_SPACE + pieces[0]
+    return pieces
+
+
+def byte_level_text(name: str) -> str:
+    return name[1:] if name[:1] == NO_SPACE else " " + name
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: bytes that print stand for themselves, the others for 256 and on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def byte_level_word(name: str) -> str | None:
+    """A space and a word of Latin letters in the byte-level alphabet; None for other pieces.
+
+    Such a piece is one word to the model, so it needs no search for word ends.
+    """
+    if name.isascii():
+        return "\u0120" + name if name.isalpha() else None
+    if name.isalpha() and max(name) < "\u0250":
+        return (" " + name).encode().decode("latin-1").translate(_BYTE_LETTERS)
+    return None
 
 
 def word_pieces(text: str) -> list[bytes]:
@@ -39,73 +72,110 @@ def stretches(text: str, most: int = 1 << 20) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+class _Index(dict):
+    """Numbers names in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, name) -> int:
+        self[name] = n = len(self)
+        self.new.append(name)
+        return n
+
+
 class PieceEncoder:
     """Token ids of texts by way of their distinct pieces.
 
     Pieces seen before are looked up, the others go to the library in batches of about
-    ``batch_bytes``. At ``limit`` pieces the memory starts afresh, so it stays bounded.
+    ``batch_bytes``. Beyond ``limit`` pieces only those used again are remembered, or none if
+    they are too many, so memory stays bounded.
     """
 
-    def __init__(self, path: str, split: Callable, limit: int = 800_000, batch_bytes: int = 1 << 18, ids: bool = True):
+    def __init__(self, path: str, split: Callable, text: Callable, limit: int = 1_500_000, batch_bytes: int = 1 << 18, ids: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split, self.limit, self.batch_bytes, self.with_ids = split, limit, batch_bytes, ids
+        self.model = Tokenizer(self.tokenizer.model) if split is byte_level_pieces else None
+        self.split, self.text, self.limit, self.batch_bytes, self.with_ids = split, text, limit, batch_bytes, ids
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict = {}
+        self.index = _Index()
         self.lengths = np.zeros(1 << 14, np.int64)
         self.starts = np.zeros(1 << 14, np.int64)
+        self.used = np.zeros(1 << 14, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.n_ids = 0
-
-    def _add(self, new: list) -> None:
-        batch, size = [], 0
-        for piece in new:
-            batch.append(piece)
-            size += len(piece)
-            if size >= self.batch_bytes:
-                self._encode(batch)
-                batch, size = [], 0
-        if batch:
-            self._encode(batch)
-
-    def _encode(self, batch: list) -> None:
-        texts = [p.decode() if isinstance(p, bytes) else p for p in batch]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = len(self.index)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        if n + len(found) > len(self.lengths):
-            grow = max(len(self.lengths), len(found))
-            self.lengths = np.concatenate([self.lengths, np.zeros(grow, np.int64)])
-            self.starts = np.concatenate([self.starts, np.zeros(grow, np.int64)])
-        self.lengths[n : n + len(found)] = lengths
+        self.n = self.n_ids = 0
+
+    def _shrink(self) -> None:
+        """Forgets the pieces that were used once."""
+        again = np.flatnonzero(self.used[: self.n] > 1)
+        if len(again) > self.limit // 2:
+            return self._clear()
+        names = list(self.index)
+        lengths = self.lengths[again]
+        if self.with_ids:
+            self.ids = self.ids[_ranges(self.starts[again], lengths)]
+            self.n_ids = len(self.ids)
+        self.index = _Index()
+        self.index.update(zip([names[i] for i in again.tolist()], range(len(again))))
+        self.lengths, self.starts, self.used = lengths, np.cumsum(lengths) - lengths, np.ones(len(again), np.int64)
+        self.n = len(again)
+
+    def _encode(self, names: list) -> None:
+        run = lambda coder, texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [byte_level_word(x) for x in names] if self.model else [None]
+        if any(words):
+            plain = iter(run(self.model, [w for w in words if w is not None]))
+            other = iter(run(self.tokenizer, [self.text(x) for x, w in zip(names, words) if w is None]))
+            found = [next(other) if w is None else next(plain) for w in words]
+        else:
+            found = run(self.tokenizer, [self.text(x) for x in names])
+        n, more = self.n, len(found)
+        lengths = np.fromiter(map(len, found), np.int64, more)
+        if n + more > len(self.lengths):
+            grow = max(len(self.lengths), more)
+            self.lengths, self.starts, self.used = (np.concatenate([x, np.zeros(grow, np.int64)]) for x in (self.lengths, self.starts, self.used))
+        self.lengths[n : n + more] = lengths
         if self.with_ids:
             total = int(lengths.sum())
             if self.n_ids + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
-            self.starts[n : n + len(found)] = self.n_ids + np.cumsum(lengths) - lengths
-            self.ids[self.n_ids : self.n_ids + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.starts[n : n + more] = self.n_ids + np.cumsum(lengths) - lengths
+            self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
             self.n_ids += total
-        self.index.update(zip(batch, range(n, n + len(batch))))
+        self.n += more
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the texts' pieces in the memory, and each text's number of pieces."""
+        if self.n > self.limit:
+            self._shrink()
         pieces: list = []
         counts = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             found = self.split(text)
             pieces += found
             counts[i] = len(found)
-        distinct = set(pieces)
-        new = [p for p in distinct if p not in self.index]
-        if len(self.index) + len(new) > self.limit:
-            self._clear()
-            new = list(distinct)
-        self._add(new)
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces)), counts
+        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        batch, size = [], 0
+        for name in self.index.new:
+            batch.append(name)
+            size += len(name)
+            if size >= self.batch_bytes:
+                self._encode(batch)
+                batch, size = [], 0
+        if batch:
+            self._encode(batch)
+        self.index.new = []
+        self.used[: self.n] += np.bincount(rows, minlength=self.n)
+        return rows, counts
 
     def _sums(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         ends = np.concatenate([[0], np.cumsum(values)])[np.cumsum(counts)]
@@ -124,12 +194,11 @@ class PieceEncoder:
         rows, counts = self._rows([s for p in parts for s in p])
         lengths = self.lengths[rows]
         each = self._sums(self._sums(lengths, counts), np.fromiter(map(len, parts), np.int64, len(parts)))
-        total = int(lengths.sum())
-        place = np.repeat(self.starts[rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
-        return self.ids[place], each
+        return self.ids[_ranges(self.starts[rows], lengths)], each
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, kind: str, ids: bool = True) -> PieceEncoder:
     """One encoder for each Python worker; it outlives a task."""
-    return PieceEncoder(path, {"bytes": byte_level_pieces, "words": word_pieces}[kind], ids=ids)
+    ways = {"bytes": (byte_level_pieces, byte_level_text), "words": (word_pieces, bytes.decode)}
+    return PieceEncoder(path, *ways[kind], ids=ids)
