@@ -70,7 +70,7 @@ def training_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "optimised_features",
-    "P3 F24 P1 S12",
+    "P3 F24 P1",
     cte("obs")
     + """
 , q AS (SELECT quantile_cont(snow_depth_inches, 0.95) AS cap, min(temperature_f) AS t0 FROM obs)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from terrasift.operators import batching, lineage
 from terrasift.plans.aggregate_queries import rounded
+from terrasift.plans.context import Layers, assemble_context
+from terrasift.plans.join_queries import GRID
 from terrasift.plans.registry import query
-from terrasift.sources.surrogates import cte, table, view
+from terrasift.plans.spatial_queries import _areas
+from terrasift.sources.feeds import write_table
+from terrasift.sources.surrogates import VIEWS, cte, table, view
 from terrasift.streaming import incremental
 
 
@@ -63,16 +67,32 @@ _GOOD = "o_orderkey % 17 <> 0"
 
 @query(
     "resumable_enrichment",
-    "I1 I2",
-    f"SELECT o_orderkey, month(o_orderdate) AS month, round(o_totalprice * 0.5, 4) AS half FROM orders WHERE {_GOOD}",
+    "I1 I2 J23",
+    cte("obs", "raster_cells", "areas")
+    + f"""
+, o AS (SELECT obs_id, latitude, longitude, date FROM obs JOIN orders ON o_orderkey = obs_id WHERE {_GOOD}),
+p AS (SELECT obs_id, arg_min(pack_size / elk_count * 1000, area_id) AS wolves FROM o JOIN areas ON longitude > min_lon AND longitude < max_lon AND latitude > min_lat AND latitude < max_lat GROUP BY 1),
+x AS (SELECT o.*, coalesce(value, 8500) AS elevation_ft, month(date) AS m FROM o LEFT JOIN raster_cells v
+   ON v.cell_row = CAST(floor((latitude - 45) / -0.1) AS INT) AND v.cell_col = CAST(floor((longitude + 111) / 0.14) AS INT))
+SELECT obs_id, date, elevation_ft, round(coalesce(wolves, 0.5), 6) AS wolves_per_1000_elk,
+  round(greatest(0, CASE WHEN m IN (12,1,2) THEN (elevation_ft - 6000) / 100 WHEN m IN (3,4) THEN (elevation_ft - 7000) / 150
+    WHEN m IN (10,11) THEN (elevation_ft - 9000) / 200 ELSE (elevation_ft - 10000) / 100 END), 6) AS snow_depth_inches
+FROM x LEFT JOIN p USING (obs_id)
+""",
 )
 def resumable_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    """Runs the stream over the orders file twice; the second run finds nothing left."""
+    """Observations enriched with their context as a stream of files, run twice; the second run finds nothing left."""
     base = f"{lineage.shared_folder(spark)}/enrichment-{uuid.uuid4().hex}"
     schema = table(spark, d, "orders").schema
-    enrich = lambda b: b.select(
-        "o_orderkey", F.month("o_orderdate").alias("month"), F.round(F.col("o_totalprice") * 0.5, 4).alias("half")
-    )
+    cells = view(spark, d, "raster_cells").select("cell_row", "cell_col", F.lit("elevation_ft").alias("layer"), "value")
+    layers = Layers(rasters=cells, grid=GRID, packs=_areas(spark, d))
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        points = batch.selectExpr(*[e.replace("VARCHAR(10)", "STRING") for e in VIEWS["obs"][1]])
+        out = assemble_context(points.select("obs_id", "latitude", "longitude", "date"), layers)
+        out = out.select("obs_id", "date", "elevation_ft", "wolves_per_1000_elk", "snow_depth_inches")
+        return rounded(out, ["wolves_per_1000_elk", "snow_depth_inches"])
+
     for _ in range(2):
         incremental.enrich_available(
             spark, d, schema, enrich, F.expr(_GOOD), f"{base}/out", f"{base}/bad", f"{base}/state",
@@ -81,6 +101,21 @@ def resumable_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+@query(
+    "written_table",
+    "S12",
+    cte("obs") + "SELECT dataset, obs_id, round(latitude, 3) AS latitude, round(longitude, 3) AS longitude, date, elk_present FROM obs",
+)
+def written_table(spark: SparkSession, d: str) -> DataFrame:
+    """The observation table written as headed CSV by dataset, and read back."""
+    path = f"{lineage.shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    o = view(spark, d, "obs").select("obs_id", "latitude", "longitude", "date", "elk_present", "dataset")
+    write_table(rounded(o, ["latitude", "longitude"], 3), path, "csv")
+    schema = "obs_id bigint, latitude double, longitude double, date date, elk_present int, dataset string"
+    back = spark.read.option("header", True).schema(schema).csv(path)
+    return back.select("dataset", "obs_id", "latitude", "longitude", "date", "elk_present")
+
+
 @query(
     "quarantined_rows",
     "I2",
