@@ -337,7 +337,19 @@ def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.autocorrelation(m), ["acf"])
 
 
-@query("partial_autocorrelation", "W4")
+@query(
+    "partial_autocorrelation",
+    "W4",
+    _ACF.replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT a.feature", "\n, acf AS (SELECT a.feature", 1).replace("round(sum(a.dev * b.dev) / max(var), 6)", "sum(a.dev * b.dev) / max(var)").rstrip()
+    + """),
+r AS (SELECT feature, list(acf ORDER BY lag) AS r FROM acf GROUP BY 1),
+pac AS (SELECT feature, r, 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1::DOUBLE AS last FROM r
+  UNION ALL SELECT feature, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - nl * phi[k + 1 - j]), nl), nl FROM (
+    SELECT feature, r, k, phi, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0))
+      / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])), 0)) AS nl FROM pac WHERE k + 1 < len(r)))
+SELECT feature, CAST(k AS INT) AS lag, round(last, 6) AS pacf FROM pac
+""",
+)
 def partial_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     m = series.monthly_means(view(spark, d, "obs"), ["ndvi", "temperature_f"])
     return rounded(series.partial_autocorrelation(series.autocorrelation(m)), ["pacf"])

@@ -87,7 +87,22 @@ def t_statistics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.t_statistics(g).select("feature", "t", "dof"), ["t"], 5)
 
 
-@query("t_test_p_values", "E4")
+@query(
+    "t_test_p_values",
+    "E4",
+    cte("obs")
+    + f", g AS ({_GROUPS})"
+    # two-sided p as a ratio of integrals of cos^(dof - 1) over u / sqrt(dof), by Simpson's rule
+    + """
+, t AS (SELECT feature, (mean1 - mean2) / sqrt(((n1-1)*std1*std1 + (n2-1)*std2*std2) / (n1+n2-2) * (1/n1 + 1/n2)) AS t, (n1 + n2 - 2)::DOUBLE AS dof FROM g),
+b AS (SELECT *, sqrt(dof) * atan(abs(t) / sqrt(dof)) AS a, least(sqrt(dof) * pi() / 2, 45) AS z FROM t),
+i AS (SELECT feature, any_value(t) AS t,
+    sum(w * pow(greatest(cos((a + (z - a) * k / 4000) / sqrt(dof)), 0), dof - 1)) * any_value(z - a) AS tail,
+    sum(w * pow(greatest(cos(z * k / 4000 / sqrt(dof)), 0), dof - 1)) * any_value(z) AS whole
+  FROM b, (SELECT k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(range(4001)) AS k)) GROUP BY 1)
+SELECT feature, round(t, 6) AS t, round(tail / whole, 6) AS p_value, tail / whole < 0.01 AS significant FROM i
+""",
+)
 def t_test_p_values(spark: SparkSession, d: str) -> DataFrame:
     g = stats.presence_effects(view(spark, d, "obs"), NUMERIC)
     out = stats.with_p_values(stats.t_statistics(g)).select("feature", "t", "p_value", "significant")
@@ -164,7 +179,29 @@ def variance_inflation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.variance_inflation(view(spark, d, "obs"), ["slope_degrees", "snow_depth_inches"]), ["vif"])
 
 
-@query("variance_inflation_many", "E7")
+_NAMES = "[" + ", ".join(f"'{c}'" for c in NUMERIC) + "]"
+
+
+@query(
+    "variance_inflation_many",
+    "E7",
+    cte("obs").replace("WITH ", "WITH RECURSIVE ", 1)
+    # the scaled Gram matrix is inverted in place, one pivot a step
+    + f"""
+, o AS (SELECT obs_id, [{", ".join(f"CAST({c} AS DOUBLE)" for c in NUMERIC)}] AS v FROM obs WHERE {" AND ".join(f"{c} IS NOT NULL" for c in NUMERIC)}),
+ij AS (SELECT i, j FROM (SELECT unnest(range(1, {len(NUMERIC) + 1})) AS i), (SELECT unnest(range(1, {len(NUMERIC) + 1})) AS j)),
+gram AS (SELECT i, j, sum(v[i] * v[j]) AS g FROM o, ij GROUP BY 1, 2),
+unit AS (SELECT g.i, g.j, g.g / sqrt(a.g * b.g) AS m FROM gram g JOIN gram a ON a.i = g.i AND a.j = g.i JOIN gram b ON b.i = g.j AND b.j = g.j),
+mat AS (SELECT 0 AS k, list(m ORDER BY i, j) AS m FROM unit
+  UNION ALL SELECT k + 1, list_transform(range(0, {len(NUMERIC)} * {len(NUMERIC)}), lambda x: CASE
+      WHEN x // {len(NUMERIC)} = k AND x % {len(NUMERIC)} = k THEN 1 / m[k * {len(NUMERIC)} + k + 1]
+      WHEN x // {len(NUMERIC)} = k THEN m[x + 1] / m[k * {len(NUMERIC)} + k + 1]
+      WHEN x % {len(NUMERIC)} = k THEN -m[x + 1] / m[k * {len(NUMERIC)} + k + 1]
+      ELSE m[x + 1] - m[x // {len(NUMERIC)} * {len(NUMERIC)} + k + 1] * m[k * {len(NUMERIC)} + x % {len(NUMERIC)} + 1] / m[k * {len(NUMERIC)} + k + 1] END)
+  FROM mat WHERE k < {len(NUMERIC)})
+SELECT {_NAMES}[i] AS feature, round(m[(i - 1) * {len(NUMERIC)} + i], 4) AS vif FROM mat, (SELECT unnest(range(1, {len(NUMERIC) + 1})) AS i) WHERE k = {len(NUMERIC)}
+""",
+)
 def variance_inflation_many(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.variance_inflation(view(spark, d, "obs"), NUMERIC), ["vif"], 4)
 
