@@ -351,7 +351,27 @@ def trail_ways_json(spark: SparkSession, d: str) -> DataFrame:
     return vector.trail_ways(docs).select("osm_id", "name", "highway", "route", F.size("vertices").alias("n_vertices"))
 
 
-@query("simplified_lines", "F13")
+def _off(q: int, a: int, b: int) -> str:
+    """Distance of vertex ``q`` from the segment between vertices ``a`` and ``b``."""
+    dx, dy, ex, ey = (f"(p[{i}].{c} - p[{a}].{c})" for i, c in ((b, "x"), (b, "y"), (q, "x"), (q, "y")))
+    t = f"greatest(0, least(1, ({ex} * {dx} + {ey} * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"sqrt(pow({ex} - {t} * {dx}, 2) + pow({ey} - {t} * {dy}, 2))"
+
+
+# routes have two to four vertices, so the recursion can be written out
+@query(
+    "simplified_lines",
+    "F13",
+    cte("route_ends")
+    + _VERTICES
+    + f"""
+, ln AS (SELECT route_id, list({{'x': lon, 'y': lat}} ORDER BY point_index) AS p FROM vx GROUP BY 1)
+SELECT route_id, CAST(CASE len(p) WHEN 2 THEN 2 WHEN 3 THEN CASE WHEN {_off(2, 1, 3)} > 0.002 THEN 3 ELSE 2 END
+  ELSE CASE WHEN greatest({_off(2, 1, 4)}, {_off(3, 1, 4)}) <= 0.002 THEN 2
+    WHEN {_off(2, 1, 4)} >= {_off(3, 1, 4)} THEN CASE WHEN {_off(3, 2, 4)} > 0.002 THEN 4 ELSE 3 END
+    ELSE CASE WHEN {_off(2, 1, 3)} > 0.002 THEN 4 ELSE 3 END END END AS INT) AS n_vertices FROM ln
+""",
+)
 def simplified_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = _routes(spark, d).select("route_id", F.col("parts")[0].alias("vertices"))
     out = vector.simplify_lines(lines, "route_id", 0.002)
