@@ -20,10 +20,11 @@ def _u(seed, stream: str, key: str) -> str:
     return f"(CAST(('0x' || substr(md5('{seed}|{stream}|' || {key}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
-def _candidates(seed: int) -> str:
+def _candidates(seed: int, least: int = 10_000) -> str:
+    """Candidate numbers of the SQL twins: more than any strategy draws on the test tables."""
     return (
         f"SELECT candidate_id, 41 + {_u(seed, 'lat', 'candidate_id')} * 4 AS latitude, -111 + {_u(seed, 'lon', 'candidate_id')} * 7 AS longitude"
-        " FROM (SELECT unnest(range(greatest(10000, 4 * (SELECT count(*) FROM obs)))) AS candidate_id)"
+        f" FROM (SELECT unnest(range(greatest({least}, 4 * (SELECT count(*) FROM obs)))) AS candidate_id)"
     )
 
 
@@ -110,7 +111,7 @@ _LAYERS = """SELECT c.*, coalesce(value * 2 - 4000, 8500) AS elevation_ft, coale
 def _rule_sql(i: int, name: str, months: list[int], test: str) -> str:
     seed = 43 + i
     return f"""SELECT '{name}' AS rule, {seed} AS seed, candidate_id, latitude, longitude,
-   list_extract({months}, CAST(floor({_u(seed, 'month', 'candidate_id')} * {len(months)}) AS INT) + 1) AS m FROM ({_LAYERS.format(src=f'({_candidates(seed)})')}) WHERE {test}"""
+   list_extract({months}, CAST(floor({_u(seed, 'month', 'candidate_id')} * {len(months)}) AS INT) + 1) AS m FROM ({_LAYERS.format(src=f'({_candidates(seed, 400_000)})')}) WHERE {test}"""
 
 
 @query(
