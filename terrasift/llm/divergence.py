@@ -159,7 +159,7 @@ def distance(counts: Column, reference: Column) -> Column:
 
     terms = F.zip_with(F.transform(counts, lambda x: x / whole), reference, lambda p, q: part(p, q) + part(q, p))
     half = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
-    return F.when(whole > 0, F.sqrt(F.greatest(half, F.lit(0.0))))
+    return F.when((whole > 0) & reference.isNotNull(), F.sqrt(F.greatest(half, F.lit(0.0))))
 
 
 def judge(
