@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,10 +68,10 @@ MOVES = {(r, s): moves(r, s) for r in range(4) for s in range(4)}
 ENDS = {s: INSERT * len(INSERTS[s, ASSISTANT]) for s in range(4)}
 
 
-def transfer(roles: list[int]) -> list[list[int]]:
+def transfer(roles: list[int], entries: tuple = (START, SYSTEM, USER, ASSISTANT)) -> list[list[int]]:
     """Least cost from every entry state to every exit state over a run of turns."""
     rows = []
-    for entry in range(4):
+    for entry in entries:
         cost = [FAR] * 4
         cost[entry] = 0
         for role in roles:
@@ -110,12 +111,34 @@ def _role(column: Column) -> Column:
     return F.coalesce(rank, F.lit(0)).cast("int")
 
 
+ACTION = "action string, new_role string, inserted_before string, inserted_after string, cost bigint"
+PLACED = ["conv_id", "turn", "role", "text", "code", "part", "seg", "pos"]
+
+
+def actions(roles: list[int], entry: int, leave: int, last: bool) -> list[tuple]:
+    """The ``ACTION`` columns of a run of turns between two states."""
+    steps = path(roles, entry, leave)
+    ends = INSERTS[leave, ASSISTANT] if last else ()
+    out = []
+    for k, (cost, _, action, role, before) in enumerate(steps):
+        after = ends if k == len(steps) - 1 else ()
+        names = (" ".join(STATES[x] for x in way) for way in (before, after))
+        out.append((action, STATES[role], *names, cost + INSERT * len(after)))
+    return out
+
+
+def best_end(costs: dict[int, int]) -> int:
+    return min(sorted(costs), key=lambda s: costs[s] + ENDS[s])
+
+
 def ordered(turns: DataFrame, segment: int, conv_column: str, turn_column: str, role_column: str, text_column: str) -> DataFrame:
-    """Turns with (part, seg, pos): their place in the order of conversations and turns.
+    """Turns with (part, seg, pos), their place in the order of conversations and turns, and
+    their actions where a task sees the whole conversation.
 
     Rows are dealt by ranges of (conversation, turn, role, hash of the text), so one long
     conversation is spread over tasks; ties in all of these are copies. A segment is at most
-    ``segment`` turns of one conversation in one task.
+    ``segment`` turns of one conversation in one task. A segment that may go on elsewhere has
+    no actions; its first row holds the costs between its states.
     """
     own = turns.select(
         turns[conv_column].alias("conv_id"),
@@ -125,31 +148,51 @@ def ordered(turns: DataFrame, segment: int, conv_column: str, turn_column: str,
     ).withColumns({"code": _role(F.col("role")), "mark": F.xxhash64("role", "text")})
     keys = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "code", "mark")]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = own.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, pos, seg = TaskContext.get().partitionId(), None, 0, -1
-        for frame in frames:
-            segs, places = [], []
-            for conv in frame["conv_id"].astype(object).where(frame["conv_id"].notna(), None).tolist():
-                if seg < 0 or conv != last or pos == segment:
-                    seg, pos, last = seg + 1, 0, conv
-                segs.append(seg)
-                places.append(pos)
-                pos += 1
-            yield frame.assign(part=part, seg=segs, pos=places)[["conv_id", "turn", "role", "text", "code", "part", "seg", "pos"]]
+    sorted_rows = own.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("mark")
+    names = [*PLACED, *[c.split()[0] for c in ACTION.split(", ")], "costs"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seg, held, out = TaskContext.get().partitionId(), 0, [], []
+        fits, first = False, True  # does the held segment begin its conversation; is it the task's first one
+
+        def close(complete: bool) -> None:
+            nonlocal seg
+            codes = [r[4] for r in held]
+            solved, costs = [(None,) * 5] * len(held), None
+            if complete and fits and not first:
+                ends = {s: c for s, c in enumerate(transfer(codes, (START,))[0]) if c < FAR}
+                solved = actions(codes, START, best_end(ends), True)
+            else:
+                costs = sum(transfer(codes), [])
+            out.extend((*r, part, seg, k, *a, costs if k == 0 else None) for k, (r, a) in enumerate(zip(held, solved)))
+            seg += 1
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in ("conv_id", "turn")] + [pa.string()] * 2 + [pa.int32()] + [pa.int64()] * 3
+            kinds += [pa.string()] * 4 + [pa.int64(), pa.list_(pa.int64())]
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and row[0] != held[-1][0]:
+                    close(True)
+                    held, fits, first = [], True, False
+                elif len(held) == segment:
+                    close(False)
+                    held, fits = [], False
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                out = []
+        if held:
+            close(False)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     kind = {c: own.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return sorted_rows.mapInPandas(
-        place, f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, text string, code int, part bigint, seg bigint, pos bigint"
+    return sorted_rows.mapInArrow(
+        place,
+        f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, text string, code int, part bigint, seg bigint, pos bigint, "
+        f"{ACTION}, costs array<bigint>",
     )
 
 
-def _segment_costs(frame: pd.DataFrame) -> pd.DataFrame:
-    roles = frame.sort_values("pos")["code"].tolist()
-    return pd.DataFrame([(int(frame["part"].iat[0]), int(frame["seg"].iat[0]), sum(transfer(roles), []))], columns=["part", "seg", "costs"])
-
-
 def _join_segments(segments: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int]]:
     """(part, seg, entry, leave) of one conversation's segments along a cheapest way."""
     cost, back = {START: 0}, []
@@ -163,7 +206,7 @@ def _join_segments(segments: list[tuple[int, int, list[int]]]) -> list[tuple[int
                     after[t], step[t] = c, s
         cost = after
         back.append(step)
-    state = min(sorted(cost), key=lambda s: cost[s] + ENDS[s])
+    state = best_end(cost)
     out = []
     for (part, seg, _), step in zip(reversed(segments), reversed(back)):
         out.append((part, seg, step[state], state))
@@ -190,48 +233,28 @@ def repair(
     broken up so that they can't be read as turns.
     """
     placed, _ = keep(ordered(turns, segment, conv_column, turn_column, role_column, text_column))
-    bounds = placed.groupBy("part", "seg").agg(F.first("conv_id").alias("conv_id"))
-    costs = placed.select("part", "seg", "pos", "code").groupBy("part", "seg").applyInPandas(
-        _segment_costs, "part bigint, seg bigint, costs array<bigint>"
-    )
-    found, _ = keep(costs.join(bounds, ["part", "seg"]))
+    found = placed.where("costs IS NOT NULL").select("conv_id", "part", "seg", "costs")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values(["part", "seg"])
         joined = _join_segments(list(zip(rows["part"], rows["seg"], [list(c) for c in rows["costs"]])))
-        return pd.DataFrame(
-            [(*x, k == len(joined) - 1, k == 0) for k, x in enumerate(joined)], columns=["part", "seg", "entry", "leave", "last", "first"]
-        )
+        return pd.DataFrame([(*x, k == len(joined) - 1) for k, x in enumerate(joined)], columns=["part", "seg", "entry", "leave", "last"])
 
     # one row of 16 numbers for each segment of a conversation
-    states = found.groupBy("conv_id").applyInPandas(
-        solve, "part bigint, seg bigint, entry int, leave int, last boolean, first boolean"
-    )
+    states = found.groupBy("conv_id").applyInPandas(solve, "part bigint, seg bigint, entry int, leave int, last boolean")
 
     def act(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
-        steps = path(frame["code"].tolist(), int(frame["entry"].iat[0]), int(frame["leave"].iat[0]))
-        ends = INSERTS[int(frame["leave"].iat[0]), ASSISTANT] if frame["last"].iat[0] else ()
-        n = len(steps)
-        after = [()] * (n - 1) + [ends]
-        return pd.DataFrame(
-            {
-                "part": frame["part"].to_numpy(), "seg": frame["seg"].to_numpy(), "pos": frame["pos"].to_numpy(),
-                "action": [m[2] for m in steps],
-                "new_role": [STATES[m[3]] for m in steps],
-                "inserted_before": [" ".join(STATES[x] for x in m[4]) for m in steps],
-                "inserted_after": [" ".join(STATES[x] for x in a) for a in after],
-                "cost": [m[0] + INSERT * len(a) for m, a in zip(steps, after)],
-            }
-        )
-
-    codes = placed.select("part", "seg", "pos", "code").join(states, ["part", "seg"])
-    actions = codes.groupBy("part", "seg").applyInPandas(
-        act,
-        "part bigint, seg bigint, pos bigint, action string, new_role string, inserted_before string, inserted_after string, cost bigint",
-    )
-    done = placed.select("conv_id", "turn", "role", "text", "part", "seg", "pos").join(actions, ["part", "seg", "pos"])
-    return done.withColumn("piece", rendered_piece()).drop("text")
+        entry, leave, last = (frame[c].iat[0] for c in ("entry", "leave", "last"))
+        done = pd.DataFrame(actions(frame["code"].tolist(), int(entry), int(leave), bool(last)), columns=[c.split()[0] for c in ACTION.split(", ")])
+        return pd.concat([frame[["part", "seg", "pos"]].reset_index(drop=True), done], axis=1)
+
+    names = [c.split()[0] for c in ACTION.split(", ")]
+    rest = placed.where("action IS NULL").drop(*names, "costs")
+    acted = rest.select("part", "seg", "pos", "code").join(states, ["part", "seg"]).groupBy("part", "seg")
+    late = rest.join(acted.applyInPandas(act, f"part bigint, seg bigint, pos bigint, {ACTION}"), ["part", "seg", "pos"])
+    done = placed.where("action IS NOT NULL").drop("costs").unionByName(late)
+    return done.drop("code").withColumn("piece", rendered_piece()).drop("text")
 
 
 def rendered_piece() -> Column:
