@@ -258,8 +258,8 @@ def score(
     order: int = 2,
     id_column: str = "doc_id",
     text_column: str = "text",
-    chunk_tokens: int = 1 << 22,
-    bucket_keys: int = 1 << 22,
+    chunk_tokens: int = 1 << 21,
+    bucket_keys: int = 1 << 21,
 ) -> DataFrame:
     """One row for each document: ``held_out``, tokens, known tokens, training tokens, and both scores.
 
