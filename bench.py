@@ -24,12 +24,12 @@ HEADLINE = [
     "nearest_station", "station_snow_asof", "clearest_scene", "vegetation_features", "summer_ndvi", "winter_index",
     "weather_source", "result_match", "containing_range", "area_of_observation", "assembled_context",
     # sampling
-    "absence_temporally_matched", "absence_seasonal", "absence_unsuitable_season", "separation_check", "stratified_split",
+    "absence_temporally_matched", "absence_seasonal", "absence_unsuitable_season", "strategy_mix", "separation_check", "stratified_split",
     # reports
     "numeric_summary", "rule_report", "issue_list", "readiness_by_dataset", "quality_score", "iqr_outliers",
     "effect_sizes_pooled", "correlation_matrix", "score_auc", "moments", "duplicate_rows", "category_counts",
     # prediction, rasters, training tables
-    "prediction_overall", "prediction_factors", "prediction_days", "slope_aspect", "steep_share_nearby",
+    "prediction_overall", "prediction_factors", "prediction_days", "prediction_hotspots", "slope_aspect", "steep_share_nearby",
     "training_features", "optimised_features", "f1_threshold", "batch_sweep", "resumable_enrichment",
 ]
 
