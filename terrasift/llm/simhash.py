@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.components import components
-from terrasift.llm.tables import keep
+from terrasift.llm.tables import keep, unused
 from terrasift.llm.words import word_blocks
 
 SEGMENTS = 32
@@ -208,5 +208,9 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     id_column = options.get("id_column", "doc_id")
     found, _ = keep(near_copies(docs, **options))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    here = docs.join(first, docs[id_column].eqNullSafe(first["doc_id"]), "left_semi")
-    return here.dropDuplicates([id_column])
+    # null-safe keys spelled out, so that the join's partitioning serves the deduplication, too
+    missing, key = unused(docs, "id_missing"), unused(docs, "id_key")
+    zero = F.lit("0").cast(docs.schema[id_column].dataType)
+    keyed = lambda c: {missing: c.isNull(), key: F.coalesce(c, zero)}
+    here = docs.withColumns(keyed(docs[id_column])).join(first.withColumns(keyed(F.col("doc_id"))).drop("doc_id"), [missing, key], "left_semi")
+    return here.dropDuplicates([missing, key]).drop(missing, key)
