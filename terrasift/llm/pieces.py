@@ -97,7 +97,7 @@ class PieceEncoder:
     they are too many, so memory stays bounded.
     """
 
-    def __init__(self, path: str, split: Callable, text: Callable, limit: int = 1_500_000, batch_bytes: int = 1 << 18, ids: bool = True):
+    def __init__(self, path: str, split: Callable, text: Callable, limit: int = 1_200_000, batch_bytes: int = 1 << 18, ids: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 

@@ -36,7 +36,7 @@ def stretches(docs: DataFrame, window: int, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", 2 << 20):
                 texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text").cast(pa.binary())]
                 raw = b"".join(texts)
                 bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
