@@ -3,8 +3,8 @@
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed
 slots; what remains is lower-cased and stripped of punctuation. Windows of the resulting
 templates meet in a hash join, the templates themselves confirm, and the slots decide: within
-a document and an item every item value has to stand for one document value, so a question
-with other numbers or names is caught and a chance meeting of templates is not.
+an occurrence, or a document, every value of an item has to stand for one document value, so a
+question with other numbers or names is caught and a chance meeting of templates is not.
 """
 
 from __future__ import annotations
@@ -45,30 +45,53 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def plain_text(text: Column) -> Column:
+    """Lower-cased words without punctuation and slots; word for word beside ``rich_text``."""
+    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\x01 \t-\r]+", ""))
+
+
 WINDOWS = "array<struct<size:int,pos:int,hash:bigint>>"
+WHOLE = -(1 << 30)  # stands for the whole document among the alignments
 
 
-def _hashes(tokens: Column, size: int) -> Column:
-    """Array of (size, position, hash) of all windows of ``size`` words."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - size + 1)
+def _hashes(tokens: Column, size: int, starts: Column | None = None) -> Column:
+    """Array of (size, position, hash) of all windows of ``size`` words, or of those at ``starts``."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - size + 1) if starts is None else starts
     each = F.transform(
         starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(tokens, i, size)).alias("hash"))
     )
     return F.when(F.size(tokens) >= size, each).otherwise(F.array().cast(WINDOWS))
 
 
+def _around_slots(tokens: Column, size: int) -> Column:
+    """Starts of the windows of ``size`` words that hold a slot; the others are plain already."""
+    places = F.filter(F.transform(tokens, lambda w, i: F.when(F.contains(w, F.lit(SLOT)), i + 1)), lambda i: i.isNotNull())
+    last = F.size(tokens) - size + 1
+    near = lambda i: F.filter(F.sequence(F.greatest(F.lit(1), i - size + 1), i), lambda k: k <= last)
+    return F.array_distinct(F.flatten(F.transform(places, near)))
+
+
 def item_windows(items: DataFrame, window: int, least_words: int, least_literals: int) -> DataFrame:
-    """``(item_id, size, pos, hash, template, rich)`` of the windows that hold enough plain words."""
+    """``(item_id, size, pos, kind, hash, key, rich)`` of all windows.
+
+    Windows that hold enough plain words beside their slots have a row of kind t, by their
+    template; the others have one of kind p, by their plain words.
+    """
     own = (
-        items.select("item_id", rich_text(F.col("text")).alias("rich_text"))
-        .select("item_id", words(template_text(F.col("rich_text"))).alias("template"), words(F.col("rich_text")).alias("rich"))
-        .where(F.size("template") >= least_words)
+        items.select("item_id", rich_text(F.col("text")).alias("rich_text"), words(plain_text(F.col("text"))).alias("plain"))
+        .select("item_id", words(template_text(F.col("rich_text"))).alias("template"), words(F.col("rich_text")).alias("rich"), "plain")
+        .where(F.size("template") > 0)
+        .withColumn("length", F.size("template"))
         .withColumn("size", F.least(F.lit(window), F.size("template")))
         .withColumn("pos", F.explode(F.sequence(F.lit(1), F.size("template") - F.col("size") + 1)))
-        .withColumns({c: F.slice(c, F.col("pos"), F.col("size")) for c in ("template", "rich")})
+        .withColumns({c: F.slice(c, F.col("pos"), F.col("size")) for c in ("template", "rich", "plain")})
     )
     literals = F.size(F.filter("template", lambda w: ~F.contains(w, F.lit(SLOT))))
-    return own.where(literals >= F.least(F.lit(least_literals), F.col("size"))).withColumn("hash", F.xxhash64("template"))
+    enough = (F.col("length") >= least_words) & (literals >= F.least(F.lit(least_literals), F.col("size")))
+    form = lambda df, kind, key: df.select(
+        "item_id", "size", "pos", F.lit(kind).alias("kind"), F.xxhash64(key).alias("hash"), F.col(key).alias("key"), "rich"
+    )
+    return form(own.where(enough), "t", "template")
 
 
 def find_leaks(
@@ -85,62 +108,84 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document row: its best item and whether it is contaminated by it.
 
-    ``matched`` counts the item's windows found with consistent slots, ``share`` their part of
-    the item's windows, ``other_values`` tells that slots hold other values than the item's.
-    A document is contaminated from ``least_share`` on; the best item has the largest share,
-    then most windows, then the smallest id. Items of fewer than ``least_words`` words and
-    windows of fewer than ``least_literals`` plain words are too common to tell and count
-    for nothing. Null and empty texts match nothing, null item ids are left out, null document
-    ids and repeated rows stay, empty tables give no rows or no matches, other columns are
-    ignored.
+    ``matched`` counts the item's windows found with consistent slots or word for word;
+    ``share`` is their part of the item's windows, ``other_values`` tells that slots hold
+    other values than the item's. Slots have to be consistent in the whole document
+    or in one occurrence (windows equally far from their place in the item), whichever gives
+    more. A document is contaminated from ``least_share`` on; the best item has the largest
+    share, then most windows, then the smallest id. Items of fewer than ``least_words`` words
+    and windows of fewer than ``least_literals`` plain words are too common as templates and
+    count word for word only; the share is of all windows or of those with templates,
+    whichever is larger. Null and empty texts match nothing, null item ids are left out, null
+    document ids and repeated rows stay, empty tables give no rows or no matches, other columns
+    are ignored.
     """
     items = benchmark.select(benchmark[item_id_column].alias("item_id"), benchmark[item_text_column].cast("string").alias("text"))
     probes, _ = keep(item_windows(items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), window, least_words, least_literals))
-    sizes = sorted(r[0] for r in probes.select("size").distinct().collect())  # at most ``window`` values
+    forms = sorted(map(tuple, probes.select("kind", "size").distinct().collect()))  # at most ``window`` sizes
+    sizes, exact_sizes = sorted({n for _, n in forms}), [n for kind, n in forms if kind == "p"]
     row = F.xxhash64(docs[id_column], docs[text_column].cast("string"))
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"), row.alias("row"))
-    tokens = words(template_text(rich_text(F.coalesce("text", F.lit("")))))
-    seen = (
-        rows.select("row", tokens.alias("tokens"))
-        .select("row", F.explode(F.concat(F.array().cast(WINDOWS), *[_hashes(F.col("tokens"), n) for n in sizes])).alias("w"))
-        .select("row", "w.*")
-    )
+    text = F.coalesce("text", F.lit(""))
+    both = rows.select("row", words(template_text(rich_text(text))).alias("tokens"), words(plain_text(text)).alias("plain"))
+    found = [_hashes(F.col("tokens"), n) for n in sizes]
+    found += [_hashes(F.col("plain"), n, _around_slots(F.col("tokens"), n)) for n in exact_sizes]
+    seen = both.select("row", F.explode(F.concat(F.array().cast(WINDOWS), *found)).alias("w")).select("row", "w.*")
     met, _ = keep(seen.join(probes.select("hash").distinct(), "hash", "left_semi").distinct())
     # the texts of documents with a meeting, once for each row key
     places = met.groupBy("row").agg(F.collect_set(F.struct("size", "pos", "hash")).alias("places"))
     again = rows.select("row", "text").join(places, "row").dropDuplicates(["row"])
+    part = lambda c, p: F.slice(c, p["pos"], p["size"])
     cut = (
-        again.select("row", "places", rich_text(F.col("text")).alias("r"))
-        .select("row", "places", words(F.col("r")).alias("rich"), words(template_text(F.col("r"))).alias("template"))
+        again.select("row", "places", rich_text(F.col("text")).alias("r"), words(plain_text(F.col("text"))).alias("plain"))
+        .select("row", "places", words(F.col("r")).alias("rich"), words(template_text(F.col("r"))).alias("template"), "plain")
         .select(
             "row",
             F.explode(
                 F.transform(
                     "places",
-                    lambda p: F.struct(p["hash"].alias("hash"), F.slice("template", p["pos"], p["size"]).alias("template"), F.slice("rich", p["pos"], p["size"]).alias("doc_rich")),
+                    lambda p: F.struct(
+                        p["hash"].alias("hash"), p["pos"].alias("at"), part("template", p).alias("template"), part("rich", p).alias("doc_rich"), part("plain", p).alias("plain")
+                    ),
                 )
             ).alias("w"),
         )
         .select("row", "w.*")
     )
-    pairs = cut.join(probes.withColumnRenamed("template", "item_template"), "hash").where("template = item_template")
-    pairs, _ = keep(pairs.select("row", "item_id", "pos", "rich", "doc_rich").distinct())
+    same = F.col("key") == F.when(F.col("kind") == "t", F.col("template")).otherwise(F.col("plain"))
+    pairs = cut.join(probes, "hash").where(same)
+    pairs, _ = keep(pairs.select("row", "item_id", "kind", "pos", (F.col("at") - F.col("pos")).alias("run"), "rich", "doc_rich").distinct())
     slots = F.filter(F.zip_with("rich", "doc_rich", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda x: F.contains(x["item"], F.lit(SLOT)))
-    filled = pairs.withColumn("slots", slots)
-    votes = filled.select("row", "item_id", F.explode("slots").alias("s")).groupBy("row", "item_id", "s.item", "s.doc").count()
-    ranked = Window.partitionBy("row", "item_id", "item").orderBy(F.desc("count"), "doc")
+    runs = pairs.where("kind = 't'").withColumn("run", F.explode(F.array(F.lit(WHOLE), F.col("run"))))
+    filled = runs.drop("kind").distinct().withColumn("slots", slots)
+    group = ["row", "item_id", "run"]
+    votes = filled.select(*group, F.explode("slots").alias("s")).groupBy(*group, "s.item", "s.doc").count()
+    ranked = Window.partitionBy(*group, "item").orderBy(F.desc("count"), "doc")
     chosen = votes.withColumn("k", F.row_number().over(ranked)).where("k = 1")
-    meaning = chosen.groupBy("row", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("item", "doc"))).alias("meaning"))
+    meaning = chosen.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("item", "doc"))).alias("meaning"))
     fits = F.forall("slots", lambda s: F.coalesce(F.element_at("meaning", s["item"]) == s["doc"], F.lit(False)))
     agreed = (
-        filled.join(meaning, ["row", "item_id"], "left")
+        filled.join(meaning, group, "left")
         .where(fits)
-        .groupBy("row", "item_id")
-        .agg(F.countDistinct("pos").alias("matched"), F.max(F.exists("slots", lambda s: s["item"] != s["doc"])).alias("other_values"))
+        .groupBy(*group)
+        .agg(F.collect_set("pos").alias("fitting"), F.max(F.exists("slots", lambda s: s["item"] != s["doc"])).alias("other_values"))
+    )
+    exact = pairs.where("kind = 'p'").groupBy("row", "item_id").agg(F.collect_set("pos").alias("exact"))
+    whole = probes.groupBy("item_id").agg(F.countDistinct("pos").alias("windows"), F.collect_set(F.when(F.col("kind") == "t", F.col("pos"))).alias("rich_pos"))
+    none = F.array().cast("array<int>")
+    hits = agreed.join(exact, ["row", "item_id"], "full").withColumn("hits", F.array_union(F.coalesce("fitting", none), F.coalesce("exact", none)))
+    # the share of all windows, and of those with templates
+    ways = F.array(
+        F.struct((F.size("hits") / F.col("windows")).alias("share"), F.size("hits").cast("bigint").alias("matched")),
+        F.struct(
+            F.coalesce(F.size(F.array_intersect("hits", "rich_pos")) / F.nullif(F.size("rich_pos"), F.lit(0)), F.lit(0.0)).alias("share"),
+            F.size(F.array_intersect("hits", "rich_pos")).cast("bigint").alias("matched"),
+        ),
+    )
+    shares = hits.join(whole, "item_id").withColumn("way", F.array_max(ways)).select(
+        "row", "item_id", "way.matched", F.round("way.share", 6).alias("share"), F.coalesce("other_values", F.lit(False)).alias("other_values"), F.coalesce("run", F.lit(WHOLE)).alias("run")
     )
-    whole = probes.groupBy("item_id").agg(F.count("*").alias("windows"))
-    shares = agreed.join(whole, "item_id").withColumn("share", F.round(F.col("matched") / F.col("windows"), 6))
-    order = F.struct(F.col("share"), F.col("matched"), -F.col("item_id"))
+    order = F.struct(F.col("share"), F.col("matched"), -F.col("item_id"), (F.col("run") == WHOLE), ~F.col("other_values"), -F.col("run"))
     best = shares.groupBy("row").agg(F.max_by(F.struct("item_id", "matched", "share", "other_values"), order).alias("b"))
     return rows.select("doc_id", "row").join(best, "row", "left").select(
         "doc_id",
