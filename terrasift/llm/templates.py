@@ -91,7 +91,7 @@ def item_windows(items: DataFrame, window: int, least_words: int, least_literals
     form = lambda df, kind, key: df.select(
         "item_id", "size", "pos", F.lit(kind).alias("kind"), F.xxhash64(key).alias("hash"), F.col(key).alias("key"), "rich"
     )
-    return form(own.where(enough), "t", "template")
+    return form(own.where(~enough), "p", "plain").unionByName(form(own.where(enough), "t", "template"))
 
 
 def find_leaks(

@@ -29,3 +29,10 @@ def test_several_variants_in_a_document(leaks):
     got = leaks({"one": BODY.format(variant("9", "1", "Zoe")), "both": BODY.format(APPLES + " " + variant("9", "1", "Zoe")), "sheet": BODY.format(sheet)})
     assert all(r["contaminated"] and r["item_id"] == 1 and r["share"] == 1.0 for r in got.values())
     assert got["sheet"]["other_values"]
+
+
+def test_items_poor_in_plain_words(leaks):
+    got = leaks({"sum": BODY.format(SUM), "short": BODY.format(ITEMS[2][1] + "."), "other": BODY.format(SUM.replace("45", "46")), "words": "what is it that he names"})
+    assert got["sum"]["contaminated"] and got["sum"]["item_id"] == 2
+    assert got["short"]["contaminated"] and got["short"]["item_id"] == 3
+    assert not got["other"]["contaminated"] and not got["words"]["contaminated"]
