@@ -71,11 +71,11 @@ def _around_slots(tokens: Column, size: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, near)))
 
 
-def item_windows(items: DataFrame, window: int, least_words: int, least_literals: int) -> DataFrame:
+def item_windows(items: DataFrame, window: int, least_words: int, least_literals: int, any_form: bool) -> DataFrame:
     """``(item_id, size, pos, kind, hash, key, rich)`` of all windows.
 
     Windows that hold enough plain words beside their slots have a row of kind t, by their
-    template; the others have one of kind p, by their plain words.
+    template; the others, and with ``any_form`` all, have one of kind p, by their plain words.
     """
     own = (
         items.select("item_id", rich_text(F.col("text")).alias("rich_text"), words(plain_text(F.col("text"))).alias("plain"))
@@ -91,7 +91,8 @@ def item_windows(items: DataFrame, window: int, least_words: int, least_literals
     form = lambda df, kind, key: df.select(
         "item_id", "size", "pos", F.lit(kind).alias("kind"), F.xxhash64(key).alias("hash"), F.col(key).alias("key"), "rich"
     )
-    return form(own.where(~enough), "p", "plain").unionByName(form(own.where(enough), "t", "template"))
+    exact = own if any_form else own.where(~enough)
+    return form(exact, "p", "plain").unionByName(form(own.where(enough), "t", "template"))
 
 
 def find_leaks(
@@ -101,6 +102,7 @@ def find_leaks(
     least_share: float = 0.5,
     least_words: int = 5,
     least_literals: int = 4,
+    any_form: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
     item_id_column: str = "item_id",
@@ -108,8 +110,9 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document row: its best item and whether it is contaminated by it.
 
-    ``matched`` counts the item's windows found with consistent slots or word for word;
-    ``share`` is their part of the item's windows, ``other_values`` tells that slots hold
+    ``matched`` counts the item's windows found with consistent slots or, with ``any_form``,
+    word for word (case and punctuation aside), so that copies in another case or layout count,
+    too; ``share`` is their part of the item's windows, ``other_values`` tells that slots hold
     other values than the item's. Slots have to be consistent in the whole document
     or in one occurrence (windows equally far from their place in the item), whichever gives
     more. A document is contaminated from ``least_share`` on; the best item has the largest
@@ -121,7 +124,7 @@ def find_leaks(
     are ignored.
     """
     items = benchmark.select(benchmark[item_id_column].alias("item_id"), benchmark[item_text_column].cast("string").alias("text"))
-    probes, _ = keep(item_windows(items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), window, least_words, least_literals))
+    probes, _ = keep(item_windows(items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), window, least_words, least_literals, any_form))
     forms = sorted(map(tuple, probes.select("kind", "size").distinct().collect()))  # at most ``window`` sizes
     sizes, exact_sizes = sorted({n for _, n in forms}), [n for kind, n in forms if kind == "p"]
     row = F.xxhash64(docs[id_column], docs[text_column].cast("string"))

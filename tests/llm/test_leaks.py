@@ -36,3 +36,9 @@ def test_items_poor_in_plain_words(leaks):
     assert got["sum"]["contaminated"] and got["sum"]["item_id"] == 2
     assert got["short"]["contaminated"] and got["short"]["item_id"] == 3
     assert not got["other"]["contaminated"] and not got["words"]["contaminated"]
+
+
+def test_another_case_or_layout(leaks):
+    forms = {"lower": APPLES.lower(), "upper": APPLES.upper(), "title": APPLES.title(), "lines": APPLES.replace(" ", "\n")}
+    got = leaks({k: BODY.format(t) for k, t in forms.items()} | {"heading": "Exercise\n" + APPLES})
+    assert all(r["contaminated"] and r["item_id"] == 1 and r["share"] == 1.0 for r in got.values())
