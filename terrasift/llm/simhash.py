@@ -200,17 +200,18 @@ def near_copies(
     return prints.join(named, "bits").select("doc_id", hexed, "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows whose id is their component's id, one for each id; all columns stay.
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One row of every component, the one with its smallest id; all columns stay.
 
-    Rows with a null id are kept only if their component has no other id.
+    Rows with a null id are kept only if their component has no other id. Rows are told apart by
+    id and text, so different texts with one id, or without any, count as different rows.
     """
-    id_column = options.get("id_column", "doc_id")
-    found, _ = keep(near_copies(docs, **options))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # null-safe keys spelled out, so that the join's partitioning serves the deduplication, too
-    missing, key = unused(docs, "id_missing"), unused(docs, "id_key")
+    missing, key, text = (unused(docs, c) for c in ("id_missing", "id_key", "text_key"))
     zero = F.lit("0").cast(docs.schema[id_column].dataType)
-    keyed = lambda c: {missing: c.isNull(), key: F.coalesce(c, zero)}
-    here = docs.withColumns(keyed(docs[id_column])).join(first.withColumns(keyed(F.col("doc_id"))).drop("doc_id"), [missing, key], "left_semi")
-    return here.dropDuplicates([missing, key]).drop(missing, key)
+    hashed = F.xxhash64(F.coalesce(docs[text_column].cast("string"), F.lit("")))
+    keyed = docs.withColumns({missing: docs[id_column].isNull(), key: F.coalesce(docs[id_column], zero), text: hashed})
+    own = keyed.select(F.struct(F.col(missing).alias("m"), F.col(key).alias("k"), F.col(text).alias("t")).alias("doc_id"), docs[text_column].alias("text"))
+    found, _ = keep(near_copies(own, **options))
+    first = found.where("doc_id = component_id").select("doc_id.*").distinct().toDF(missing, key, text)
+    # the join's partitioning serves the deduplication, too
+    return keyed.join(first, [missing, key, text], "left_semi").dropDuplicates([missing, key, text]).drop(missing, key, text)

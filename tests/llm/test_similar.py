@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from terrasift.llm import similar
+from terrasift.llm.simhash import drop_near_copies
 
 
 def brute_groups(texts, words=5):
@@ -46,3 +47,13 @@ def test_similar_texts(spark, edited, monkeypatch, rounds):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect())
     assert kept == sorted(set(brute_groups(edited)))
     assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("drop", [drop_near_copies, similar.drop_similar])
+def test_null_and_repeated_ids(spark, drop):
+    rng = random.Random(12)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (5, text[2]), (5, text[3]), (5, text[3]), (None, text[4]), (8, text[4]), (1, text[5]), (5, text[5]), (5, text[6]), (7, text[6])]
+    got = sorted(map(tuple, drop(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    kept = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (8, text[4]), (1, text[5]), (5, text[6])]
+    assert got == sorted(kept, key=str)
