@@ -32,19 +32,21 @@ EVEN = 0x5555555555555555
 
 def shingle_hashes(data: bytes, words: int, seed: int) -> Iterator[np.ndarray]:
     """XXH64 of every shingle of lower-cased words, repeats included, in blocks."""
+    short, whole = b"", False
     for block in word_blocks(data.lower(), words - 1):
         n = len(block)
-        if not n:
-            continue
         joined = b" ".join(block)
         if n < words:
-            yield np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+            short = joined
             continue
+        whole = True
         ends = np.cumsum(np.fromiter(map(len, block), np.int64, n) + 1) - 1
         starts = np.concatenate([[0], ends[: n - words] + 1]).tolist()
         digest = xxhash.xxh64_intdigest
         found = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())]
         yield np.array(found, np.uint64)
+    if short and not whole:  # the whole text has fewer words than a shingle
+        yield np.array([xxhash.xxh64_intdigest(short, seed)], np.uint64)
 
 
 def fingerprint(data: bytes, words: int = 4, seed: int = 42) -> int:

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from terrasift.llm import similar
-from terrasift.llm.simhash import drop_near_copies
+from terrasift.llm.simhash import drop_near_copies, shingle_hashes
 
 
 def brute_groups(texts, words=5):
@@ -57,3 +59,12 @@ def test_null_and_repeated_ids(spark, drop):
     got = sorted(map(tuple, drop(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
     kept = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (8, text[4]), (1, text[5]), (5, text[6])]
     assert got == sorted(kept, key=str)
+
+
+def test_no_fragments_of_long_texts():
+    huge = "x" * (1 << 20)
+    for text in (f"a b c d {huge} ", f"{huge} {huge} a b c d e", f"{huge} a {huge}", "a b", " "):
+        w = text.encode().split()
+        want = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
+        got = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text.encode(), 4, 42)])
+        assert got.tolist() == [xxhash.xxh64_intdigest(x, 42) for x in want]
