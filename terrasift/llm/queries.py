@@ -13,12 +13,16 @@ from terrasift.llm.divergence_sql import judge_sql
 from terrasift.llm.huffman import read_digests, write_documents
 from terrasift.llm.interpolation import score
 from terrasift.llm.packing import pack
+from terrasift.llm.ranked import search, search_sql
 from terrasift.llm.repeats import removal_digests
 from terrasift.llm.role_repair import repair
 from terrasift.llm.simhash import near_copies
+from terrasift.llm.substrings import removal_digests as substring_digests
+from terrasift.llm.substrings import removal_sql
 from terrasift.llm.templates import find_leaks, find_leaks_sql
 from terrasift.llm.token_counts import token_lengths
 from terrasift.llm.url_rules import apply_rules, apply_rules_sql
+from terrasift.llm.whitening import whiten
 from terrasift.operators.lineage import shared_folder
 
 
@@ -78,6 +82,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir), bits=4, words=4, seed=42)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(documents(spark, sf_dir), window=20)
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op2_huffman": op2_huffman,
@@ -89,10 +105,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_substrings": op11_substrings,
+    "op12_ranked": op12_ranked,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_divergence": judge_sql(),
     "op4_url_rules": apply_rules_sql(URL_RULES),
     "op7_templates": find_leaks_sql(),
+    "op11_substrings": removal_sql(20),
+    "op12_ranked": search_sql(50),
 }

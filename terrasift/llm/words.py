@@ -21,3 +21,12 @@ def word_blocks(data: bytes, carry: int = 0, most: int = 1 << 20) -> Iterator[li
         before = words[-carry:] if carry else []
         start = cut.start()
     yield before + (data[start:] if start else data).split()
+
+
+def text_pieces(data: bytes, most: int = 4 << 20) -> Iterator[bytes]:
+    """The text cut at white space into pieces of about ``most`` bytes; no word is split."""
+    start = 0
+    while len(data) - start > most and (cut := _SPACE.search(data, start + most)):
+        yield data[start : cut.start()]
+        start = cut.start()
+    yield data[start:] if start else data
