@@ -388,16 +388,16 @@ def removal_sql(window: int = 20) -> str:
     """DuckDB twin of ``removal_digests`` over ``documents`` with unique ids."""
     return f"""
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda v: v <> '') AS w FROM documents
 ), windows AS (
   SELECT doc_id, s, array_to_string(list_slice(w, s + 1, s + {window}), ' ') AS t
   FROM words, unnest(range(greatest(len(w) - {window - 1}, 0))) AS r(s)
 ), later AS (
   SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1
 ), gone AS (
-  SELECT doc_id, list(DISTINCT s + o) AS at FROM later, unnest(range({window})) AS r(o) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT s + o) AS spots FROM later, unnest(range({window})) AS r(o) GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, len(w) AS n, CASE WHEN at IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(at, i - 1)) END AS k
+  SELECT doc_id, len(w) AS n, CASE WHEN spots IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(spots, i - 1)) END AS k
   FROM words LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
