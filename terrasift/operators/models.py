@@ -1,4 +1,8 @@
-"""Training, validation and batch scoring of the presence classifier on Spark ML."""
+"""Training, validation and batch scoring of the presence classifier.
+
+``fit`` and ``score`` train on all rows with Spark ML. Validation by region or fold, the grid
+search and the final model use ``boosting``: many fits at once on a bounded sample.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasift.functions.temporal import encode_month_day
+from terrasift.operators import boosting
 from terrasift.operators.features import TARGET
 from terrasift.operators.quantiles import bucket_of
 from terrasift.operators.regions import with_region
@@ -23,12 +28,8 @@ from terrasift.operators.summaries import count_if
 
 # Booster settings and the searched grid.
 DEFAULTS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "minInstancesPerNode": 10, "subsamplingRate": 0.8}
-SEARCH_GRID = {
-    "maxDepth": [4, 6, 8],
-    "maxIter": [200, 300, 500],
-    "stepSize": [0.01, 0.05, 0.1],
-    "minInstancesPerNode": [5, 10, 20],
-}
+SEARCH_GRID = {"depth": [4, 6, 8], "rounds": [200, 300, 500], "rate": [0.01, 0.05, 0.1], "least": [5.0, 10.0, 20.0]}
+SEARCH_SAMPLE = 4_000  # labelled rows that the fits of a grid search share
 THRESHOLDS = [i / 100 for i in range(10, 90)]
 
 
@@ -216,64 +217,103 @@ def feature_importance(model: PipelineModel, features: list[str], spark) -> Data
 
 
 def region_validation(
-    df: DataFrame, features: list[str], label: str = TARGET, threshold: float = 0.5, optimize_threshold: bool = False, **params
+    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, threshold: float | None = 0.5, sample: int = boosting.SAMPLE, **settings
 ) -> DataFrame:
-    """Leave-one-region-out metrics per held-out region.
+    """Leave-one-region-out metrics per held-out region; ``threshold`` None: chosen for each region.
 
-    One fit per region (four of them); each fit and its metrics run on Spark.
+    The regions' models are fitted side by side, each on at most ``sample`` rows of the other
+    regions and the held-out ones together; the metrics are those of all rows of the region.
     """
-    rows = with_region(_doubles(df, features, label))
+    spark = df.sparkSession
+    rows = with_region(_doubles(df, features, label)).filter(F.col(label).isNotNull())
     names = sorted(r["region"] for r in rows.select("region").distinct().collect())  # at most four labels
+    drawn = boosting.labelled_sample(rows, features, label, key, F.col("region"), sample)
+    jobs = [boosting.job(n, tune=threshold is None, **settings) for n in names]
+    models = dict(zip(names, boosting.fitted(spark, drawn, jobs)))
+    scored = boosting.with_probability(rows, models, F.col("region"))
     parts = []
-    for region in names:
-        train, test = rows.filter(F.col("region") != region), rows.filter(F.col("region") == region)
-        model = fit(train, features, label, **params)
-        cut = threshold
-        if optimize_threshold:
-            cut = best_f1_threshold(score(model, train, features), "p_present", label).first()["threshold"]
-        m = evaluate(score(model, test, features), label=label, threshold=cut)
+    for name in names:
+        cut = models[name]["threshold"] if threshold is None else threshold
+        m = evaluate(scored.filter(F.col("region") == name), label=label, threshold=cut)
         n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-        parts.append(m.select(F.lit(region).alias("region"), n.alias("n"), F.lit(cut).alias("threshold"), "accuracy", "precision", "recall", "f1", "auc"))
+        parts.append(m.select(F.lit(name).alias("region"), n.alias("n"), F.lit(cut).alias("threshold"), "tp", "fp", "fn", "tn", *METRICS))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 METRICS = ["accuracy", "precision", "recall", "f1", "auc"]
 
 
-def summarise_validation(per_region: DataFrame) -> DataFrame:
+def summarise_validation(per_region: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean and size-weighted mean of each metric."""
     n = F.col("n")
-    return per_region.agg(
+    return per_region.groupBy(*(by or [])).agg(
         *[F.avg(m).alias(f"mean_{m}") for m in METRICS],
         *[(F.sum(F.col(m) * n) / F.sum(n)).alias(f"weighted_{m}") for m in METRICS],
+        F.sum("n").alias("n"),
     )
 
 
-def fold_validation(df: DataFrame, features: list[str], key: list[str], label: str = TARGET, folds: int = 5, seed: int = 42, **params) -> DataFrame:
-    """Stratified k-fold metrics, one row per fold."""
-    rows = with_folds(_doubles(df, features, label), label, key, folds, seed)
+def fold_validation(
+    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, folds: int = 5, seed: int = 42, sample: int = boosting.SAMPLE, **settings
+) -> DataFrame:
+    """Stratified k-fold metrics, one row per fold; fits on at most ``sample`` rows, metrics on all rows of the fold."""
+    rows = with_folds(_doubles(df, features, label).filter(F.col(label).isNotNull()), label, key, folds, seed)
+    names = [str(k) for k in range(folds)]
+    drawn = boosting.labelled_sample(rows, features, label, key, F.col("fold"), sample)
+    models = dict(zip(names, boosting.fitted(df.sparkSession, drawn, [boosting.job(k, **settings) for k in names])))
+    scored = boosting.with_probability(rows, models, F.col("fold"))
     parts = []
     for k in range(folds):
-        model = fit(rows.filter(F.col("fold") != k), features, label, **params)
-        m = evaluate(score(model, rows.filter(F.col("fold") == k), features), label=label)
-        parts.append(m.select(F.lit(k).alias("fold"), *METRICS))
+        m = evaluate(scored.filter(F.col("fold") == k), label=label)
+        parts.append(m.select(F.lit(k).alias("fold"), "tp", "fp", "fn", "tn", *METRICS))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def grid_search(df: DataFrame, features: list[str], label: str = TARGET, grid: dict[str, list] | None = None, **fixed) -> DataFrame:
-    """Region validation for every combination, best weighted F1 first.
+def final_model(df: DataFrame, features: list[str], key: list[str], label: str = TARGET, sample: int = boosting.SAMPLE, **settings) -> dict:
+    """The classifier fitted on at most ``sample`` labelled rows of all regions."""
+    drawn = boosting.labelled_sample(df, features, label, key, None, sample)
+    return boosting.fitted(df.sparkSession, drawn, [boosting.job(None, **settings)])[0]
 
-    The loop is over parameter combinations (81 by default), never over rows.
-    """
-    grid = grid or SEARCH_GRID
-    results = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values))
-        row = summarise_validation(region_validation(df, features, label, **{**fixed, **params})).first()
-        results.append((*[float(v) for v in values], row["weighted_f1"], row["mean_f1"], row["mean_accuracy"]))
-    schema = T.StructType(
-        [T.StructField(n, T.DoubleType()) for n in (*grid, "weighted_f1", "mean_f1", "mean_accuracy")]
-    )
-    return df.sparkSession.createDataFrame(results, schema).orderBy(F.desc("weighted_f1"), *grid)
+
+def gain_importance(model: dict, spark) -> DataFrame:
+    """Average gain of each feature's splits, as shares of their sum."""
+    gain = model["trees"].gain
+    share = gain / gain.sum() if gain.sum() else gain
+    return spark.createDataFrame(list(zip(model["features"], map(float, share))), "feature string, importance double")
 
 
+def classify(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """Adds p_absent, p_present, the predicted label and the confidence, the larger probability."""
+    out = boosting.with_probability(df, {None: model}).withColumn("p_absent", 1 - F.col("p_present"))
+    hit = F.when(F.col("p_present") >= threshold, 1).otherwise(0)
+    return out.withColumns({"predicted": hit, "confidence": F.greatest("p_absent", "p_present")})
+
+
+def grid_search(
+    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, grid: dict[str, list] | None = None, sample: int = SEARCH_SAMPLE, **settings
+) -> DataFrame:
+    """Region validation at every point of the grid, best weighted F1 first, with its ``place``.
+
+    All fits run at once, one task each, on at most ``sample`` labelled rows; points that differ
+    only in rounds share a fit. Metrics are those of the sampled rows of the held-out region.
+    """
+    spark = df.sparkSession
+    grid = grid or SEARCH_GRID
+    rows = with_region(_doubles(df, features, label))
+    drawn = boosting.labelled_sample(rows, features, label, key, F.col("region"), sample)
+    names = sorted(set(drawn.group))
+    others = [n for n in grid if n != "rounds"]
+    points = list(itertools.product(*(grid[n] for n in others)))
+    jobs = [boosting.job(region, stages=grid["rounds"], **{**settings, **dict(zip(others, p)), "rounds": max(grid["rounds"])}) for p in points for region in names]
+    counts = boosting.held_out_counts(spark, drawn, jobs)
+    point = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], T.StructType([T.StructField("point", T.LongType()), *(_number(n, grid[n]) for n in others)]))
+    measured = classifier_metrics(counts.withColumn("point", F.expr(f"job div {max(len(names), 1)}")))
+    measured = measured.withColumn("n", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    out = summarise_validation(measured, ["point", "rounds"]).join(point, "point")
+    best = Window.orderBy(F.desc("weighted_f1"), *grid)  # as many rows as the grid has points
+    shown = ["weighted_f1", "mean_f1", "mean_accuracy", "mean_auc", "weighted_accuracy"]
+    return out.select(*grid, "n", *shown, F.row_number().over(best).alias("place")).orderBy("place")
+
+
+def _number(name: str, values: list) -> T.StructField:
+    return T.StructField(name, T.DoubleType() if any(isinstance(v, float) for v in values) else T.IntegerType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions.rng import hash_uniform
@@ -12,8 +12,8 @@ from terrasift.plans.registry import query
 from terrasift.sources.surrogates import cte, view
 
 FEATURES = ["elevation_ft", "slope_degrees", "canopy_cover_percent", "water_distance_miles", "ndvi", "snow_depth_inches"]
-# small forests keep the registered runs short; the defaults of the library stay
-QUICK = {"maxIter": 5, "maxDepth": 3}
+GRID_SQL = "(SELECT unnest([4, 6, 8])::INT AS depth), (SELECT unnest([200, 300, 500])::INT AS rounds), (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS rate), (SELECT unnest([5, 10, 20])::DOUBLE AS least)"
+REGION_SQL = "CASE WHEN longitude < -109 THEN CASE WHEN latitude >= 43.5 THEN 'northwest' ELSE 'southwest' END WHEN latitude >= 44 THEN 'northeast' ELSE 'southeast' END"
 
 _P = "CAST(('0x' || substr(md5('7|p|' || obs_id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
 _SCORED = f", s AS (SELECT obs_id, elk_present AS y, ({_P}) * 0.7 + elk_present * 0.2 AS p, year(date) AS year FROM obs)"
@@ -170,33 +170,104 @@ def scoring_inputs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _tested(*names: str):
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    proper = F.lit(True)
+    for m in names:
+        proper = proper & F.col(m).between(0, 1)
+    return [(tp + fp + fn + tn).alias("tested"), (tp + fn).alias("positive"), proper.alias("proper")]
+
+
 @query("region_validation", "M5")
 def region_validation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(models.region_validation(view(spark, d, "obs"), FEATURES, **QUICK), ["accuracy", "precision", "recall", "f1", "auc"])
+    return rounded(models.region_validation(view(spark, d, "obs"), FEATURES, ["obs_id"]), models.METRICS)
+
+
+@query(
+    "region_validation_rows",
+    "M5",
+    cte("obs")
+    + f"SELECT {REGION_SQL} AS region, count(*) AS n, count(*) AS tested, count(*) FILTER (elk_present = 1) AS positive, true AS proper, true AS tuned FROM obs GROUP BY 1",
+)
+def region_validation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds chosen on a fifth of the training rows: every row of a region is tested once."""
+    out = models.region_validation(view(spark, d, "obs"), FEATURES, ["obs_id"], threshold=None)
+    return out.select("region", "n", *_tested(*models.METRICS), F.col("threshold").between(0.1, 0.89).alias("tuned"))
 
 
 @query("feature_importance", "M6")
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    model = models.fit(view(spark, d, "obs"), FEATURES, **QUICK)
-    return rounded(models.feature_importance(model, FEATURES, spark), ["importance"])
+    model = models.final_model(view(spark, d, "obs"), FEATURES, ["obs_id"])
+    return rounded(models.gain_importance(model, spark), ["importance"])
 
 
 @query("fold_validation", "M11")
 def fold_validation(spark: SparkSession, d: str) -> DataFrame:
-    out = models.fold_validation(view(spark, d, "obs"), FEATURES, ["obs_id"], folds=5, **QUICK)
-    return rounded(out, models.METRICS)
+    return rounded(models.fold_validation(view(spark, d, "obs"), FEATURES, ["obs_id"], folds=5), models.METRICS)
+
+
+@query(
+    "fold_validation_rows",
+    "M11",
+    cte("obs")
+    + """
+, h AS (SELECT elk_present, CAST((row_number() OVER (PARTITION BY elk_present ORDER BY md5('42|fold|' || obs_id)) - 1) % 5 AS INT) AS fold FROM obs)
+SELECT fold, count(*) AS tested, count(*) FILTER (elk_present = 1) AS positive, true AS proper FROM h GROUP BY 1
+""",
+)
+def fold_validation_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = models.fold_validation(view(spark, d, "obs"), FEATURES, ["obs_id"], folds=5)
+    return out.select("fold", *_tested(*models.METRICS))
 
 
 @query("grid_search", "M7")
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    grid = {"maxDepth": [2, 3], "minInstancesPerNode": [5, 20]}
-    out = models.grid_search(view(spark, d, "obs"), FEATURES, grid=grid, maxIter=3)
-    return rounded(out, ["weighted_f1", "mean_f1", "mean_accuracy"])
+    """All 81 points of the documented grid by weighted F1 of the held-out regions."""
+    out = models.grid_search(view(spark, d, "obs"), FEATURES, ["obs_id"])
+    return rounded(out, ["weighted_f1", "mean_f1", "mean_accuracy", "mean_auc", "weighted_accuracy"])
 
 
-@query("batch_classification", "Q10 M6")
-def batch_classification(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    "grid_search_points",
+    "M7",
+    cte("obs")
+    + f"""
+, s AS (SELECT least(count(*), 4000)::BIGINT AS n FROM obs)
+SELECT depth, rounds, rate, least, n, true AS proper, true AS in_order FROM s, {GRID_SQL}
+""",
+)
+def grid_search_points(spark: SparkSession, d: str) -> DataFrame:
+    """Every point once, tested on all sampled rows, places by falling weighted F1 with ties in grid order."""
+    out = models.grid_search(view(spark, d, "obs"), FEATURES, ["obs_id"])
+    by_place = Window.orderBy("place")
+    key = F.struct(-F.col("weighted_f1"), *[F.col(c) for c in models.SEARCH_GRID])
+    in_order = F.coalesce(F.lag(key).over(by_place) <= key, F.lit(True))
+    proper = F.col("weighted_f1").between(0, 1) & F.col("mean_auc").between(0, 1) & F.col("mean_accuracy").between(0, 1)
+    return out.select(*models.SEARCH_GRID, "n", proper.alias("proper"), in_order.alias("in_order"))
+
+
+def _refuge(spark: SparkSession, d: str) -> DataFrame:
     """A model fitted on three datasets scores the rows of the fourth."""
     o = view(spark, d, "obs")
-    out = models.score(models.fit(o.filter("dataset <> 'refuge'"), FEATURES, **QUICK), o.filter("dataset = 'refuge'"), FEATURES)
-    return rounded(out.select("obs_id", "predicted", "p_absent", "p_present", "confidence"), ["p_absent", "p_present", "confidence"])
+    model = models.final_model(o.filter("dataset <> 'refuge'"), FEATURES, ["obs_id"])
+    return models.classify(o.filter("dataset = 'refuge'"), model)
+
+
+@query("batch_classification", "Q10 M6")
+def batch_classification(spark: SparkSession, d: str) -> DataFrame:
+    out = _refuge(spark, d).select("obs_id", "predicted", "p_absent", "p_present", "confidence")
+    return rounded(out, ["p_absent", "p_present", "confidence"])
+
+
+@query(
+    "classified_rows",
+    "Q10",
+    cte("obs") + "SELECT obs_id, true AS proper, true AS decided, true AS confident FROM obs WHERE dataset = 'refuge'",
+)
+def classified_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row has two probabilities that add up to one, and the label and confidence that follow from them."""
+    p, q = F.col("p_present"), F.col("p_absent")
+    decided = F.col("predicted") == F.when(p >= 0.5, 1).otherwise(0)
+    confident = (F.col("confidence") == F.greatest(p, q)) & F.col("confidence").between(0.5, 1)
+    proper = p.between(0, 1) & (F.abs(p + q - 1) < 1e-12)
+    return _refuge(spark, d).select("obs_id", proper.alias("proper"), decided.alias("decided"), confident.alias("confident"))

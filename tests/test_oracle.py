@@ -15,8 +15,6 @@ tool = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(tool)
 
 QUERIES = registry.load()
-# fits many models; covered by test_models on a small table
-SLOW = {"grid_search", "fold_validation"}
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +36,6 @@ def test_matches_sql(spark, con, name):
     assert tool.rows_of(df.columns, got) == tool.rows_of(columns, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if not q.sql and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if not q.sql))
 def test_runs(spark, name):
     assert QUERIES[name].build(spark, SF).count() > 0
