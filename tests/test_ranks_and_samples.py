@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.operators import batching, sampling
+from terrasift.operators import batching, quantiles, sampling
 from terrasift.operators.quantiles import average_ranks, exact_quantiles
 
 
@@ -14,16 +14,41 @@ def values(spark):
     return v, spark.createDataFrame(rows, "id int, v double, y int")
 
 
-@pytest.mark.parametrize("buckets", [2, 16])
-def test_exact_quantiles(values, buckets):
-    """With and without value buckets the result is the interpolated quantile."""
+PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+
+
+@pytest.mark.parametrize("sketch, most", [(10_000, 10**6), (10_000, 5), (20, 40), (8, 1)])
+def test_exact_quantiles(values, monkeypatch, sketch, most):
+    """However coarse the sketch and however often the bounds close in, the quantile is exact."""
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
     v, df = values
-    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["v"], probs, buckets=buckets).collect()}
-    for p in probs:
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["v"], PROBS, most=most).collect()}
+    for p in PROBS:
         assert got[p] == pytest.approx(np.quantile(v, p))
 
 
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_quantiles_of_groups_and_odd_columns(spark, values, most):
+    v, df = values
+    odd = df.withColumns(
+        {
+            "k": F.when(F.col("id") % 5 > 0, F.col("id") % 5), "gap": F.when(F.col("id") % 7 == 0, F.col("v")), "none": F.lit(None).cast("double"),
+            "nan": F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("v")), "same": F.lit(3),
+        }
+    )
+    names = ["v", "gap", "none", "nan", "same"]
+    got = {(r["k"], r["column"], r["prob"]): r["value"] for r in exact_quantiles(odd, names, [0.25, 0.5, 0.9], by=["k"], most=most).collect()}
+    ids = np.arange(len(v))
+    want = {}
+    for k in range(5):
+        here = ids % 5 == k
+        kinds = {"v": v[here], "gap": v[here & (ids % 7 == 0)], "nan": v[here & (ids % 2 == 1)], "same": np.full(here.sum(), 3.0)}
+        want |= {(k or None, c, p): np.quantile(x, p) for c, x in kinds.items() for p in (0.25, 0.5, 0.9)}
+    assert set(got) == set(want)
+    assert {x: got[x] for x in got} == pytest.approx(want)
+    assert exact_quantiles(df.limit(0), ["v"], [0.5]).count() == 0
+
+
 def test_average_ranks(values):
     v, df = values
     got = {r["value"]: r["avg_rank"] for r in average_ranks(df, "v", {}).collect()}
