@@ -14,15 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.bwt import repeated_windows, runs
 from terrasift.llm.superstrings import superstrings
-from terrasift.llm.tables import by_bytes, forget, keep, unused
+from terrasift.llm.tables import by_bytes, forget, join_dealt, keep, unused
 
 CONTENT = ["name", "c1", "c2"]
 TEXT = ["k1", "k2"]
+SLICE = 1 << 16  # windows hashed at a time
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -91,16 +92,17 @@ def _window_hashes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, c1, c2, text in zip(*[c.to_pylist() for c in batch.columns]):
-                n = len(text) - window + 1
-                digest = b"".join(xxhash.xxh3_128_digest(text[i : i + window]) for i in range(n))
-                h = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                cols = [np.full(n, name), np.full(n, c1), np.full(n, c2), np.arange(n), h[:, 0].copy(), h[:, 1].copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "c1", "c2", "low", "h1", "h2"])
+                for at in range(0, len(text) - window + 1, SLICE):
+                    low = np.arange(at, min(at + SLICE, len(text) - window + 1))
+                    digest = b"".join(xxhash.xxh3_128_digest(text[i : i + window]) for i in low.tolist())
+                    h = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                    cols = [*(np.full(len(low), v) for v in (name, c1, c2)), low, h[:, 0].copy(), h[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "c1", "c2", "low", "h1", "h2"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, text_column: str = "text", block: int = 1 << 20, crowd: int = 2 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, text_column: str = "text", block: int = 1 << 19, crowd: int = 1 << 20) -> DataFrame:
     """``(k1, k2, spans)``: the byte spans (start, end) to remove from each text that has any.
 
     ``k1, k2`` are ``text_keys``. Spans may overlap. A name whose different stretches exceed
@@ -126,13 +128,19 @@ def repeated_spans(docs: DataFrame, window: int = 400, text_column: str = "text"
     strings, strings_path = keep(strings)
     usual = strings.where("NOT crowded").drop("crowded").repartition("name").sortWithinPartitions("name")
     single = strings.where("crowded").drop("crowded").mapInArrow(_window_hashes(window), "name bigint, c1 bigint, c2 bigint, low bigint, h1 bigint, h2 bigint")
-    shared = single.join(single.groupBy("h1", "h2").count().where("count > 1"), ["h1", "h2"])
+    counts, _ = keep(single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = join_dealt(single, counts, ["h1", "h2"], "n", CONTENT)
+    # neighbouring windows of a content are one run
+    run = F.col("low") - F.row_number().over(Window.partitionBy(*CONTENT).orderBy("low"))
+    shared = shared.withColumn("run", run).groupBy(*CONTENT, "run").agg(F.min("low").alias("low"), F.max("low").alias("high")).drop("run")
     whole = contents.where("n > 1").select(*CONTENT, F.lit(0).cast("bigint").alias("low"), (F.col("length") - window).alias("high"))
-    found = usual.mapInArrow(_search(window, block), REPEAT).unionByName(shared.select(*CONTENT, "low", F.col("low").alias("high")))
-    found, _ = keep(found.unionByName(whole))
+    found = usual.mapInArrow(_search(window, block), REPEAT).unionByName(shared).unionByName(whole)
+    found, _ = keep(found.groupBy(*CONTENT).agg(F.collect_list(F.struct("low", "high")).alias("found")))
     forget(spark, strings_path)
-    hit = places.join(found, CONTENT).select(*TEXT, (F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + window).alias("b"))
-    spans, _ = keep(hit.distinct().groupBy(*TEXT).agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    # a place meets the one row of its content, whatever that holds
+    span = lambda f: F.struct((F.col("start") + f["low"]).alias("a"), (F.col("start") + f["high"] + window).alias("b"))
+    hit = places.join(found, CONTENT).select(*TEXT, F.transform("found", span).alias("spans"))
+    spans, _ = keep(hit.groupBy(*TEXT).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
     return spans
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrasift.operators.lineage import shared_folder
 
@@ -31,6 +33,32 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver's JVM collect, so Spark's cleaner drops the shuffle files of queries that are over.
+
+    Twice, as the last plan is let go of by what the first pass finalises.
+    """
+    collect = spark.sparkContext._jvm.java.lang.System.gc
+    collect()
+    time.sleep(1)
+    collect()
+
+
+def join_dealt(rows: DataFrame, unique: DataFrame, keys: list[str], count: str, salt: list[str], hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``unique``, one row a key, whose column ``count`` tells the rows of each key.
+
+    Keys that hold more than one in ``hot`` rows, so fewer than ``hot`` keys, are broadcast to
+    both sides: their rows are dealt out by a hash of ``salt``, their row of ``unique`` repeated.
+    """
+    total = unique.agg(F.sum(count)).first()[0] or 1
+    often = unique.where(F.col(count) * hot > total)
+    often = F.broadcast(often.select(*keys, F.least(F.lit(hot), F.ceil(F.col(count) * hot / total)).cast("int").alias("deal_parts")))
+    dealt = rows.join(often, keys, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("deal_parts")), F.lit(0).cast("bigint")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("deal_parts", F.lit(1)).cast("bigint") - 1))
+    repeated = unique.join(often, keys, "left").withColumn("deal", every)
+    return dealt.drop("deal_parts").join(repeated.drop("deal_parts"), [*keys, "deal"]).drop("deal")
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A batch's texts; null counts as empty."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
