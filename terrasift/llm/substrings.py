@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.tables import by_bytes, keep, unused
+from terrasift.llm.tables import by_bytes, keep, tidy, unused
 from terrasift.llm.words import text_pieces
 
 P, Q = (1 << 61) - 1, 16_777_213  # primes
 BASE_P, BASE_Q = 0x1B873593CC9E2D51 % P, 7_368_787
-ROOM = 1 << 21  # windows that a task holds before it passes them on
+ROOM = 1 << 18  # windows that a task holds before it passes them on
+PART = 1 << 20  # bytes of text hashed at a time
+PACKET_WINDOWS = 1024  # at most, so that a batch of packets stays small
 LOW31, LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
 
@@ -115,7 +117,19 @@ def _lists(values: pa.Array, bounds: np.ndarray) -> pa.Array:
 PACKET = "part int, ids array<{id}>, keys array<bigint>, runs array<int>, h binary, g binary, low binary, high binary, stops array<int>"
 
 
-def _packet(part, ids, keys, owner, start, bounds, h, g, stops) -> pa.RecordBatch:
+def _cuts(part: np.ndarray) -> np.ndarray:
+    """Where packets begin among windows sorted by part, and the end."""
+    change = np.append(True, part[1:] != part[:-1])
+    first = np.maximum.accumulate(np.where(change, np.arange(len(part)), 0))
+    return np.append(np.flatnonzero(change | ((np.arange(len(part)) - first) % PACKET_WINDOWS == 0)), len(part))
+
+
+def hash_bytes(parts: int) -> int:
+    """Bytes that the quotient of a hash by the number of parts needs."""
+    return -(-(P // parts).bit_length() // 8)
+
+
+def _packet(part, ids, keys, owner, start, bounds, h, width, g, stops) -> pa.RecordBatch:
     """Rows of neighbouring windows; a document's id stands once for its run, starts as differences."""
     new = np.ones(len(owner), bool)
     new[1:] = owner[1:] != owner[:-1]
@@ -127,7 +141,7 @@ def _packet(part, ids, keys, owner, start, bounds, h, g, stops) -> pa.RecordBatc
     runs = np.diff(np.append(first, len(owner)))
     columns = [
         pa.array(part, pa.int32()), _lists(ids.take(pa.array(owner[first])), run_bounds), _lists(pa.array(keys[owner[first]]), run_bounds),
-        _lists(pa.array(runs, pa.int32()), run_bounds), _bytes(h, 8, bounds), _bytes(g, 3, bounds),
+        _lists(pa.array(runs, pa.int32()), run_bounds), _bytes(h, width, bounds), _bytes(g, 3, bounds),
         _bytes(step.astype(np.uint32), 1, bounds), _bytes((step >> 8).astype(np.uint32), 3, bounds),
         _lists(pa.array(stops, pa.int32()), bounds if len(stops) else np.zeros(len(bounds), np.int32)),
     ]
@@ -146,6 +160,7 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 def _packets(window: int, parts: int, room: int):
     """Arrow function: every window's hashes and place in packets; later ones of a task as intervals."""
+    width = hash_bytes(parts)
 
     def passed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids = pa.concat_arrays([x[0] for x in held])
@@ -180,23 +195,19 @@ def _packets(window: int, parts: int, room: int):
             doc, a, b = merged(at >> 32, at & 0xFFFFFFFF, (at & 0xFFFFFFFF) + window)
             part = doc % parts
             by_part = np.argsort(part, kind="stable")
-            found, bounds = np.unique(part[by_part], return_index=True)
-            none = np.zeros(0, np.uint64)
-            packet = _packet(found, ids, keys, stand[doc[by_part]], a[by_part], np.append(bounds, len(doc)), none, none, b[by_part])
-            yield packet
+            cuts, none = _cuts(part[by_part]), np.zeros(0, np.uint64)
+            yield _packet(part[by_part][cuts[:-1]], ids, keys, stand[doc[by_part]], a[by_part], cuts, none, width, none, b[by_part])
         h, g, owner, start = h[stays], g[stays], owner[stays], start[stays]
         part = (h % np.uint64(parts)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
-        found, bounds = np.unique(part[by_part], return_index=True)
-        if len(found):
-            none = np.zeros(0, np.int32)
-            yield _packet(found, ids, keys, owner[by_part], start[by_part], np.append(bounds, len(h)), h[by_part], g[by_part], none)
+        cuts, short = _cuts(part[by_part]), h[by_part] // np.uint64(parts)
+        yield _packet(part[by_part][cuts[:-1]], ids, keys, owner[by_part], start[by_part], cuts, short, width, g[by_part], np.zeros(0, np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", PART):
                 for h, g, row, start in windows(part, window):
                     if len(h):
                         held.append((part.column("id"), part.column("key").to_numpy(), h, g, row, start))
@@ -210,26 +221,41 @@ def _packets(window: int, parts: int, room: int):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packets back into rows (h, g, id, key, start, stop); intervals have a stop and no hash."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            ids, keys, runs, stops = (batch.column(c)[at].values for c in ("ids", "keys", "runs", "stops"))
-            raw = lambda c: np.frombuffer(batch.column(c)[at].as_buffer(), np.uint8)
-            low, high = raw("low"), raw("high").reshape(-1, 3).astype(np.int64)
-            n, sizes = len(low), runs.to_numpy()
-            step = low + (high[:, 0] << 8) + (high[:, 1] << 16) + (high[:, 2] << 24)
-            first = np.cumsum(sizes) - sizes
-            total = np.cumsum(step)
-            start = total - np.repeat((total - step)[first], sizes)
-            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            if hashed := not len(stops):
-                g = raw("g").reshape(-1, 3).astype(np.int32)
-                codes = [pa.array(raw("h").view(np.int64)), pa.array(g[:, 0] + (g[:, 1] << 8) + (g[:, 2] << 16))]
-            else:
-                codes = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-            columns = [*codes, ids.take(owner), keys.take(owner), pa.array(start.astype(np.int32)), pa.nulls(n, pa.int32()) if hashed else stops]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "id", "key", "start", "stop"])
+def _number(raw: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned numbers of ``width`` bytes."""
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = raw.reshape(-1, width)
+    return wide.view(np.uint64).ravel()
+
+
+def _unpacked(parts: int):
+    """Arrow function: packets back into rows (h, g, id, key, start, stop); intervals have a stop and no hash."""
+    width = hash_bytes(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                yield rows(batch.slice(at, 64))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)
+        ids, keys, sizes = (batch.column(c).flatten() for c in ("ids", "keys", "runs"))
+        sizes = sizes.to_numpy()
+        step = raw("low") + (_number(raw("high"), 3).astype(np.int64) << 8)
+        first = np.cumsum(sizes) - sizes
+        total = np.cumsum(step)
+        start = total - np.repeat((total - step)[first], sizes)
+        owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        n = pc.binary_length(batch.column("low")).to_numpy()
+        bare = np.repeat(pc.list_value_length(batch.column("stops")).to_numpy() > 0, n)
+        h, g, stop = np.zeros(len(step), np.uint64), np.zeros(len(step), np.int32), np.zeros(len(step), np.int32)
+        h[~bare] = _number(raw("h"), width) * np.uint64(parts) + np.repeat(batch.column("part").to_numpy(), n)[~bare].astype(np.uint64)
+        g[~bare] = _number(raw("g"), 3)
+        stop[bare] = batch.column("stops").flatten().to_numpy()
+        columns = [pa.array(h.view(np.int64), mask=bare), pa.array(g, mask=bare), ids.take(owner), keys.take(owner), pa.array(start.astype(np.int32)), pa.array(stop, mask=~bare)]
+        return pa.RecordBatch.from_arrays(columns, ["h", "g", "id", "key", "start", "stop"])
+
+    return run
 
 
 def _equal(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -312,9 +338,9 @@ def repeated_intervals(docs: DataFrame, window: int, id_column: str, text_column
     id_type = docs.schema[id_column].dataType.simpleString()
     text = docs[text_column].cast("string")
     own = docs.where(text.isNotNull()).select(docs[id_column].alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packets = own.mapInArrow(_packets(window, parts, room), PACKET.format(id=id_type)).repartition("part")
-    rows = packets.mapInArrow(_unpacked, f"h bigint, g int, id {id_type}, key bigint, start int, stop int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packets = own.mapInArrow(_packets(window, parts, room), PACKET.format(id=id_type)).repartitionById(parts, "part")
+    rows = packets.mapInArrow(_unpacked(parts), f"h bigint, g int, id {id_type}, key bigint, start int, stop int")
     order = ["h", "g", F.col("id").asc_nulls_last(), "key", "start"]
     later = rows.sortWithinPartitions(*order).mapInArrow(_later(window), f"id {id_type}, key bigint, start int, stop int")
     dealt = later.repartition("id", "key").sortWithinPartitions("id", "key", "start")
@@ -347,6 +373,7 @@ def removal_digests(docs: DataFrame, window: int = 20, id_column: str = "doc_id"
     """
     own = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
     found, _ = keep(repeated_intervals(docs, window, id_column, text_column, room))
+    tidy(docs.sparkSession)
     rows = _with_intervals(own, found, "doc_id", "text", ["span_id", "span_key", "starts", "stops"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +399,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = 20, id_column: str = "d
     """
     names = [unused(docs, c) for c in ("span_id", "span_key", "starts", "stops")]
     found, _ = keep(repeated_intervals(docs, window, id_column, text_column, room))
+    tidy(docs.sparkSession)
     rows = _with_intervals(docs, found, id_column, text_column, names)
 
     @F.pandas_udf("string")

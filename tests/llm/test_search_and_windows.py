@@ -51,7 +51,7 @@ def copied(documents, odd_rows):
 def test_repeated_windows(spark, copied, monkeypatch, width, room, piece):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(substrings, "by_bytes", lambda b, c, f=substrings.by_bytes: f(b, c, piece))
+    monkeypatch.setattr(substrings, "by_bytes", lambda b, c, most, f=substrings.by_bytes: f(b, c, piece))
     docs = spark.createDataFrame(copied, "doc_id bigint, text string").repartition(5)
     KEYS.update({r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()})
     want = brute_windows(copied, width)
