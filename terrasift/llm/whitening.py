@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.tables import keep
+from terrasift.llm.tables import join_dealt, keep
 
 SHIFT, SCALE = 1_000_000, 64
 LARGEST = 2.0**62  # scaled entries beyond it fit no long
-HOT = 1000  # a vector with more than one in so many rows is dealt out
 TINY = 1e-12  # eigenvalues below this share of the largest are rounding
 
 
@@ -152,19 +151,8 @@ def whiten(
     mean = np.array([r["v"] / n for r in sorted(means, key=lambda r: r["i"])])
     error = float(np.abs(gram - np.outer(mean, mean) - np.eye(len(order))).max())
     explained = F.element_at(F.array(*[F.lit(float(v / np.trace(covariance))) for v in values[order]]), F.col("component"))
-    rows = _joined(own, done)
+    rows = join_dealt(own, done, ["x"], "copies", ["vec_id"])
     out = rows.select("vec_id", "deviation", F.posexplode("z").alias("k", "whitened")).withColumn("component", F.col("k") + 1)
     return out.select(
         "vec_id", "component", F.lit(n).cast("bigint").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error")
     )
-
-
-def _joined(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows with what their vector has in ``done``. The vectors of many rows, at most ``HOT``, are dealt out."""
-    total = done.agg(F.sum("copies")).first()[0]
-    hot = done.where(F.col("copies") * HOT > total).select("x", F.least(F.lit(HOT), F.ceil(F.col("copies") * HOT / total)).cast("int").alias("parts"))
-    hot = F.broadcast(hot)  # fewer than HOT vectors, whatever the table holds
-    part = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("parts")), F.lit(0))
-    dealt = rows.join(hot, "x", "left").withColumn("part", part).drop("parts")
-    copies = done.join(hot, "x", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies.withColumn("part", F.col("part").cast("bigint")), ["x", "part"])

@@ -41,9 +41,10 @@ def edited(documents):
     return [*texts, "", None, " \n", "one two", "ONE  two", "one two three", "a b c d e f g h", "x a b c d e f g h"]
 
 
-@pytest.mark.parametrize("rounds", [similar.ROUNDS, (1, None)])
-def test_similar_texts(spark, edited, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, crowd", [(similar.ROUNDS, similar.CROWD), ((1, None), similar.CROWD), (similar.ROUNDS, 3)])
+def test_similar_texts(spark, edited, monkeypatch, rounds, crowd):
     monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "CROWD", crowd)
     monkeypatch.setattr(similar, "SAMPLE", 2)
     docs = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect())
