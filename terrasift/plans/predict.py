@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrasift.functions import scores
 from terrasift.functions.geo import METRES_PER_DEGREE, point_in_ring, polygon_area_acres
@@ -155,6 +156,7 @@ def day_ranking(scored: DataFrame, requests: DataFrame, factors: list[str], as_o
 HOTSPOT_RADIUS_DEG = 0.01
 ACRES_PER_POINT = 0.25
 SLICES = 64
+PREFIX = 4096  # best open locations of a request that one walk holds
 
 
 def _near(lat: Column, lon: Column, seed: Column, radius: float) -> Column:
@@ -162,13 +164,14 @@ def _near(lat: Column, lon: Column, seed: Column, radius: float) -> Column:
     return F.sqrt(dy * dy + dx * dx) <= radius
 
 
-def hotspot_seeds(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADIUS_DEG) -> DataFrame:
+def hotspot_seeds(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADIUS_DEG, prefix: int = PREFIX) -> DataFrame:
     """Greedy non-overlapping seeds per request, best score first.
 
-    Locations are reduced to their best day once. Each round takes the best location not
-    within ``radius`` of an earlier seed: one aggregate over that table per round, with
-    the seeds (at most ``top`` per request) kept in a small table. A request's locations are
-    first reduced in ``SLICES`` parts, so the join above can be split for a large polygon.
+    Locations are reduced to their best day once. A walk down the ``prefix`` best locations that
+    no seed covers yet takes each one that is not within ``radius`` of a seed. A seed covers few
+    places of a grid, so the first walk mostly finds all ``top``; where locations crowd, another
+    one goes on from its seeds. A walk holds ``prefix`` rows of a request, found in ``SLICES``
+    parts first, so a large polygon is shared by many tasks.
     """
     order = F.struct("total_score", -F.datediff("date", F.lit("1970-01-01")), -F.col("longitude"), -F.col("latitude"))
     details = ["latitude", "longitude", "date", "total_score", "limiting_factor", "best_factor", "description"]
@@ -176,27 +179,51 @@ def hotspot_seeds(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADI
         F.max_by(F.struct(*details), order).alias("p")
     )
     locations = cut_lineage(best.select("request_id", "p.*"))
+    part = F.pmod(F.xxhash64("latitude", "longitude"), F.lit(SLICES))
+    down = [F.desc("total_score"), F.col("date"), F.col("longitude"), F.col("latitude")]
+    place = F.struct("latitude", "longitude")
+    places = T.ArrayType(T.StructType([T.StructField(c, locations.schema[c].dataType) for c in ("latitude", "longitude")]))
     seeds = None
-    for k in range(1, top + 1):
-        open_rows = locations
+    while True:
+        open_rows = locations.withColumn("_s", F.lit(None).cast(places))
         if seeds is not None:
-            lists = seeds.groupBy("request_id").agg(F.collect_list(F.struct("latitude", "longitude")).alias("_s"))
-            joined = locations.join(lists, "request_id", "left")
-            taken = F.exists("_s", lambda s: _near(F.col("latitude"), F.col("longitude"), s, radius))
-            open_rows = joined.filter(~F.coalesce(taken, F.lit(False))).drop("_s")
-        part = F.pmod(F.xxhash64("latitude", "longitude"), F.lit(SLICES)).alias("slice")
-        first = open_rows.groupBy("request_id", part).agg(F.max_by(F.struct(*details), order).alias("p")).select("request_id", "p.*")
-        pick = first.groupBy("request_id").agg(F.max_by(F.struct(*details), order).alias("p")).select(
-            "request_id", F.lit(k).alias("rank"), "p.*"
+            lists = seeds.filter("more").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", place.alias("at")))).alias("_l"))
+            joined = locations.join(lists.select("request_id", F.transform("_l", lambda x: x["at"]).alias("_s")), "request_id")
+            open_rows = joined.filter(~F.exists("_s", lambda s: _near(F.col("latitude"), F.col("longitude"), s, radius)))
+        rows = open_rows.withColumn("slice", part)
+        for cell in (["request_id", "slice"], ["request_id"]):
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy(*down))).filter(F.col("_n") <= prefix)
+        walked = rows.groupBy("request_id").agg(
+            F.sort_array(F.collect_list(F.struct("_n", *details))).alias("walk"), F.coalesce(F.first("_s"), F.array().cast(places)).alias("before")
         )
-        seeds = cut_lineage(pick if seeds is None else seeds.unionByName(pick))
-    return seeds
+        covers = lambda found, x: F.exists(found, lambda s: _near(x["latitude"], x["longitude"], s, radius))
+        taken = F.aggregate(
+            "walk",
+            F.struct(F.col("before").alias("at"), F.array().cast("array<int>").alias("n")),
+            lambda acc, x: F.when(
+                (F.size(acc["at"]) >= top) | covers(acc["at"], x), acc
+            ).otherwise(F.struct(F.concat(acc["at"], F.array(F.struct(x["latitude"], x["longitude"]))).alias("at"), F.concat(acc["n"], F.array(x["_n"])).alias("n"))),
+        )
+        walked = walked.withColumn("taken", taken)
+        more = (F.size("walk") == prefix) & (F.size("taken.at") < top)
+        picks = walked.select("request_id", more.alias("more"), F.size("before").alias("_b"), "walk", F.posexplode("taken.n").alias("_i", "_n"))
+        new = picks.select("request_id", (F.col("_b") + F.col("_i") + 1).alias("rank"), "more", F.element_at("walk", F.col("_n")).alias("p")).select(
+            "request_id", "rank", "more", *[f"p.{c}" for c in details]
+        )
+        if seeds is not None:
+            going = new.select("request_id", F.col("more").alias("_m")).distinct()
+            kept = seeds.join(going, "request_id", "left").withColumn("more", F.coalesce("_m", F.lit(False))).drop("_m")
+            new = kept.unionByName(new)
+        seeds = cut_lineage(new)
+        if seeds.filter("more").isEmpty():
+            return seeds.drop("more")
 
 
 def hotspots(scored: DataFrame, top: int = 10, radius: float = HOTSPOT_RADIUS_DEG) -> DataFrame:
     """Clusters around the seeds: every point-day within the radius counts, clusters may overlap."""
-    described = with_description(scored)
-    seeds = hotspot_seeds(described, top, radius)
+    needed = ["request_id", "latitude", "longitude", "date", "total_score", "limiting_factor", "best_factor", "description"]
+    scored = cut_lineage(with_description(scored).select(*needed))
+    seeds = hotspot_seeds(scored, top, radius)
     lists = seeds.groupBy("request_id").agg(F.collect_list(F.struct("rank", "latitude", "longitude")).alias("_s"))
     near = F.filter("_s", lambda s: _near(F.col("latitude"), F.col("longitude"), s, radius))
     members = scored.select("request_id", "latitude", "longitude", "total_score").join(lists, "request_id").select(

@@ -1,6 +1,8 @@
 import datetime as dt
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrasift.plans import predict
@@ -11,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def greedy(points, top, radius):
     """Reference selection: best first, skip what an earlier seed covers."""
-    order = sorted(points, key=lambda p: (-p["total_score"], p["date"], p["latitude"], p["longitude"]))
+    order = sorted(points, key=lambda p: (-p["total_score"], p["date"], p["longitude"], p["latitude"]))
     seeds = []
     for p in order:
         if len(seeds) == top:
@@ -40,6 +42,24 @@ def test_hotspots_match_the_greedy_walk(spark):
             assert 1 <= g["elk_min"] <= g["elk_max"]
 
 
+@pytest.mark.parametrize("prefix, radius", [(4096, 0.02), (7, 0.02), (1, 0.3), (30, 5.0)])
+def test_seeds_of_crowded_places(spark, prefix, radius):
+    """However few locations a walk holds, and wherever they crowd, the seeds are those of the greedy walk."""
+    rng = random.Random(4)
+    rows = []
+    for request, n in ((1, 400), (2, 3), (3, 60)):
+        for _ in range(n):
+            spot = (0.0, 0.0) if rng.random() < 0.6 else (rng.random(), rng.random())
+            at = (43 + spot[0] + 0.01 * rng.random(), -107 + spot[1] + 0.01 * rng.random())
+            rows.append((request, *at, dt.date(2026, 10, rng.randrange(1, 4)), float(rng.randrange(20)), "a", "b", "c"))
+    names = ["request_id", "latitude", "longitude", "date", "total_score", "limiting_factor", "best_factor", "description"]
+    got = predict.hotspot_seeds(spark.createDataFrame(rows, names), top=6, radius=radius, prefix=prefix).collect()
+    for request in (1, 2, 3):
+        expected = greedy([dict(zip(names, r)) for r in rows if r[0] == request], 6, radius)
+        found = sorted((g["rank"], g["latitude"], g["longitude"], g["date"]) for g in got if g["request_id"] == request)
+        assert found == [(k + 1, e["latitude"], e["longitude"], e["date"]) for k, e in enumerate(expected)]
+
+
 def test_grid_lies_inside_the_ring(spark):
     g = predict.grid_points(requests(spark, SF), 5000.0)
     assert g.count() > 0
