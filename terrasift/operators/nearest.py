@@ -1,35 +1,41 @@
-"""Exact nearest feature and distance-limit joins on an adaptive grid.
+"""Exact nearest features of any number of layers in one walk over an adaptive grid.
 
 A fixed grid breaks down where points or features crowd: one cell may hold a third of
-both. Here only *cells* are compared first. Starting at one degree, every query cell
-keeps the feature cells whose lower distance bound does not exceed the best upper bound;
-cells whose surviving feature count is still above ``max_candidates`` are split in two
-per axis and compared again. The result is one row per final query cell with its short
-candidate array. Which level a point's cell ended at is settled on a table of cells, so the
-point itself is joined once by its cell and once with the candidates: no pairs are emitted,
-and a hot cell is an ordinary skewed equi-join against a unique key, which AQE splits.
+both. Here only *cells* are compared first. Starting at the reach of the search, every query
+cell keeps, layer by layer, the feature cells whose lower distance bound does not exceed the
+best upper bound; cells whose surviving feature count is still above ``max_candidates`` are
+split and compared again, and nothing but these open cells is looked at again. Splitting goes
+on until distinct coordinates lie in distinct cells, so a candidate list stays short wherever
+features crowd (what can exceed it is features at the same millimetre from a point).
+
+All layers share the query cells: each is given the finest level that a layer needs there, and
+one row with a short list per layer. A point is joined once by its cell and once with that
+row: no pairs are emitted, and a hot cell is an ordinary skewed equi-join against a unique
+key, which AQE splits.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions.geo import EARTH_KM, point_segment_distance_m
+from terrasift.functions.vegetation import lookup
 from terrasift.operators.lineage import cut_lineage
 
-SHIFT = 1  # a cell splits into 2 x 2 children
-MAX_LEVEL = 14  # 1 degree / 2**14 is about 7 m
+STEP = 2  # levels between rounds: a cell splits into 4 x 4
+MAX_LEVEL = 46  # 1 degree / 2**46 tells all coordinates apart that a double tells apart
 FINEST = 2**MAX_LEVEL
 KM_PER_DEGREE = 110.57
-LEVELS = range(MAX_LEVEL + 1)
+LEVELS = range(0, MAX_LEVEL + 1, STEP)
 
 
 def _up(index: Column, level: int) -> Column:
     """Cell index at ``level`` from the finest one."""
-    return F.shiftright(index, SHIFT * (MAX_LEVEL - level))
+    return F.shiftright(index, MAX_LEVEL - level)
 
 
 def _finest(value: Column) -> Column:
@@ -63,18 +69,12 @@ def _bounds_km(level: int) -> tuple[Column, Column]:
     return _arc_km(hav(gap_y, gap_x, polar)), _arc_km(hav(far_y, far_x, tropic))
 
 
-def _cell_counts(cells: DataFrame, level: int, prefix: str) -> DataFrame:
-    return cells.groupBy(_up(F.col("ix"), level).alias(f"{prefix}x"), _up(F.col("iy"), level).alias(f"{prefix}y")).agg(
-        F.sum("n").alias("n"), F.max("half_km").alias("half_km")
-    )
-
-
 def _survivors(pairs: DataFrame, level: int, cap_km: float) -> DataFrame:
     lower, upper = _bounds_km(level)
     bounded = pairs.withColumns({"lower": F.greatest(lower - F.col("half_km"), F.lit(0.0)), "upper": upper})
-    best = F.min("upper").over(Window.partitionBy("qx", "qy"))
+    best = F.min("upper").over(Window.partitionBy("layer", "qx", "qy"))
     # small slack keeps boundary candidates despite rounding
-    reach = F.least(best, F.lit(cap_km)) * (1 + 1e-9) + 1e-6
+    reach = F.least(best, F.lit(cap_km)) * (1 + 1e-9) + 2e-6
     return bounded.withColumn("reach", reach).filter(F.col("lower") <= F.col("reach")).drop("lower", "upper", "reach")
 
 
@@ -87,15 +87,16 @@ def _start_level(reach_km: float) -> int:
 def candidate_cells(
     q_cells: DataFrame, f_cells: DataFrame, cap_km: float, max_candidates: int, slack_km: float = 0.0
 ) -> DataFrame:
-    """(level, qx, qy, fx, fy): final query cells with their feature cells.
+    """(layer, level, qx, qy, fx, fy): final query cells of each layer with their feature cells.
 
-    A final cell without any feature in reach has one row with null ``fx``. Features
-    may extend up to ``slack_km`` from the cell they are filed under.
+    ``f_cells`` has (layer, ix, iy, n, half_km). Cells without a feature in reach have no rows.
+    Features may extend up to ``slack_km`` from the cell they are filed under. A round reads
+    the children of the cells that are still open, and only those.
     """
     reach = cap_km + slack_km
-    start = _start_level(reach)
-    s = _size(start)
-    q = q_cells.select(_up(F.col("ix"), start).alias("qx"), _up(F.col("iy"), start).alias("qy")).distinct()
+    level = _start_level(reach)
+    s = _size(level)
+    q = q_cells.select(_up(F.col("ix"), level).alias("qx"), _up(F.col("iy"), level).alias("qy")).distinct()
     ky = math.ceil(reach / (KM_PER_DEGREE * s))
     edge = F.greatest(F.abs(F.col("qy") * s), F.abs((F.col("qy") + 1) * s)) + ky * s
     shrink = F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01))
@@ -106,158 +107,182 @@ def candidate_cells(
         F.explode(F.sequence(F.lit(-ky), F.lit(ky))).alias("dy"),
         F.sequence(-kx, kx).alias("dxs"),
     ).select("qx", "qy", (F.col("qy") + F.col("dy")).alias("fy"), F.explode("dxs").alias("dx"))
-    pairs = around.withColumn("fx", F.col("qx") + F.col("dx")).join(_cell_counts(f_cells, start, "f"), ["fx", "fy"])
+    held = [F.sum("n").alias("n"), F.max("half_km").alias("half_km")]
+    counts = f_cells.groupBy("layer", _up(F.col("ix"), level).alias("fx"), _up(F.col("iy"), level).alias("fy")).agg(*held)
+    pairs = around.withColumn("fx", F.col("qx") + F.col("dx")).join(counts, ["fx", "fy"])
     finals = None
-    for level in range(start, MAX_LEVEL + 1):
-        kept = _survivors(pairs.select("qx", "qy", "fx", "fy", "n", "half_km"), level, cap_km)
-        per_cell = kept.withColumn("load", F.sum("n").over(Window.partitionBy("qx", "qy")))
-        state = q.join(per_cell, ["qx", "qy"], "left").withColumn(
-            "done", (F.coalesce(F.col("load"), F.lit(0)) <= max_candidates) | F.lit(level == MAX_LEVEL)
+    while True:
+        kept = _survivors(pairs.select("layer", "qx", "qy", "fx", "fy", "n", "half_km"), level, cap_km)
+        load = F.sum("n").over(Window.partitionBy("layer", "qx", "qy"))
+        state = cut_lineage(
+            kept.withColumn("done", (load <= max_candidates) | F.lit(level == MAX_LEVEL)).select("layer", "qx", "qy", "fx", "fy", "done")
         )
-        state = cut_lineage(state.select("qx", "qy", "fx", "fy", "done"))
-        done = state.filter("done").select(F.lit(level).alias("level"), "qx", "qy", "fx", "fy")
+        done = state.filter("done").select("layer", F.lit(level).alias("level"), "qx", "qy", "fx", "fy")
         finals = done if finals is None else finals.unionByName(done)
-        if level == MAX_LEVEL or state.filter(~F.col("done")).isEmpty():
-            return finals
         open_pairs = state.filter(~F.col("done"))
-        q_parent = [_up(F.col("ix"), level).alias("px"), _up(F.col("iy"), level).alias("py")]
+        if level == MAX_LEVEL or open_pairs.isEmpty():
+            return finals
+        below = level + STEP
+        open_q = open_pairs.select("layer", F.col("qx").alias("px"), F.col("qy").alias("py")).distinct()
+        open_f = open_pairs.select("layer", F.col("fx").alias("gx"), F.col("fy").alias("gy")).distinct()
+        children = lambda cells, x, y: cells.withColumns({x: _up(F.col("ix"), level), y: _up(F.col("iy"), level)})
+        at = lambda x, y: [_up(F.col("ix"), below).alias(x), _up(F.col("iy"), below).alias(y)]
         q_next = (
-            q_cells.select(*q_parent, _up(F.col("ix"), level + 1).alias("qx"), _up(F.col("iy"), level + 1).alias("qy"))
+            children(q_cells, "px", "py")
+            .join(open_q.select("px", "py").distinct(), ["px", "py"], "left_semi")
+            .select("px", "py", *at("qx", "qy"))
             .distinct()
-            .join(open_pairs.select(F.col("qx").alias("px"), F.col("qy").alias("py")).distinct(), ["px", "py"], "left_semi")
         )
-        f_next = _cell_counts(f_cells, level + 1, "f").withColumns(
-            {"gx": F.shiftright("fx", SHIFT), "gy": F.shiftright("fy", SHIFT)}
+        f_next = (
+            children(f_cells, "gx", "gy")
+            .join(open_f, ["layer", "gx", "gy"], "left_semi")
+            .groupBy("layer", "gx", "gy", *at("fx", "fy"))
+            .agg(*held)
         )
         parents = open_pairs.select(
-            F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("fx").alias("gx"), F.col("fy").alias("gy")
+            "layer", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("fx").alias("gx"), F.col("fy").alias("gy")
         )
-        q = q_next.select("qx", "qy")
-        pairs = q_next.join(parents, ["px", "py"]).join(f_next, ["gx", "gy"])
-    return finals
+        pairs = parents.join(q_next, ["px", "py"]).join(f_next, ["layer", "gx", "gy"])
+        level = below
 
 
-def nearest(
-    points: DataFrame,
-    features: DataFrame,
-    cap_km: float = 100.0,
-    feature_id: str = "feature_id",
-    payload: list[str] | None = None,
-    lat: str = "latitude",
-    lon: str = "longitude",
-    out: str = "nearest",
-    max_candidates: int = 24,
-) -> DataFrame:
-    """Adds struct ``out`` (distance_km, feature id, payload...), null beyond ``cap_km``.
+@dataclass
+class Layer:
+    """Features with ``lat``/``lon``, or segments with ``lat1, lon1, lat2, lon2``; ``out`` names the result."""
 
-    Features carry ``lat``/``lon`` or, for line segments, ``lat1, lon1, lat2, lon2``.
-    Distances are compared at one-millimetre resolution and ties go to the smallest id.
-    Points without coordinates keep a null ``out``.
-    """
-    payload = payload or []
-    segments = "lat1" in features.columns
-    if segments:
+    features: DataFrame
+    out: str
+    feature_id: str = "feature_id"
+    payload: list[str] = field(default_factory=list)
+
+    @property
+    def segments(self) -> bool:
+        return "lat1" in self.features.columns
+
+    @property
+    def geometry(self) -> list[str]:
+        return ["lat1", "lon1", "lat2", "lon2"] if self.segments else ["lat", "lon"]
+
+
+def _xyz(la: str, lo: str) -> list[Column]:
+    p, q = F.radians(la), F.radians(lo)
+    return [(F.cos(p) * F.cos(q)).alias("x"), (F.cos(p) * F.sin(q)).alias("y"), F.sin(p).alias("z")]
+
+
+def _pieces(layer: Layer) -> DataFrame:
+    """(lat, lon, half_km, geometry..., who): equal geometries collapse to the smallest id."""
+    feats = layer.features
+    if layer.segments:
         long_way = point_segment_distance_m(
             F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), F.col("lat2"), F.col("lon2")
         )
         # long segments are cut into pieces of at most 10 km
         pieces = F.greatest(F.ceil(long_way / 10000.0).cast("int"), F.lit(1))
-        cut = features.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        cut = feats.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_k")
         cut = cut.select(
-            feature_id,
-            *payload,
+            layer.feature_id,
+            *layer.payload,
             at("lat1", "lat2", F.col("_i")).alias("lat1"),
             at("lon1", "lon2", F.col("_i")).alias("lon1"),
             at("lat1", "lat2", F.col("_i") + 1).alias("lat2"),
             at("lon1", "lon2", F.col("_i") + 1).alias("lon2"),
             (long_way / F.col("_k") / 2000.0 * 1.01 + 1e-6).alias("half_km"),
         )
-        geometry = ["lat1", "lon1", "lat2", "lon2"]
         feats = cut.withColumns({"lat": (F.col("lat1") + F.col("lat2")) / 2, "lon": (F.col("lon1") + F.col("lon2")) / 2})
     else:
-        geometry = ["lat", "lon"]
-        feats = features.withColumn("half_km", F.lit(0.0))
-    # identical geometries collapse to the smallest id before anything is joined
-    feats = (
-        feats.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .groupBy(*dict.fromkeys(["lat", "lon", "half_km", *geometry]))
-        .agg(F.min(F.struct(F.col(feature_id), *[F.col(p) for p in payload])).alias("who"))
-        .withColumns({"ix": _finest(F.col("lon")), "iy": _finest(F.col("lat"))})
-    )
-    f_cells = cut_lineage(
-        feats.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.max("half_km").alias("half_km"))
-    )
+        feats = feats.withColumn("half_km", F.lit(0.0))
+    who = F.min(F.struct(layer.feature_id, *layer.payload)).alias("who")
+    located = feats.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return located.groupBy(*dict.fromkeys(["lat", "lon", "half_km", *layer.geometry])).agg(who)
+
+
+def nearest_layers(
+    points: DataFrame, layers: list[Layer], cap_km: float = 100.0, lat: str = "latitude", lon: str = "longitude", max_candidates: int = 24
+) -> DataFrame:
+    """Adds a struct per layer (distance_km, feature id, payload...), null beyond ``cap_km``.
+
+    Distances are compared at one-millimetre resolution and ties go to the smallest id.
+    Points without coordinates keep null structs.
+    """
+    pieces = [_pieces(x).withColumns({"ix": _finest(F.col("lon")), "iy": _finest(F.col("lat"))}) for x in layers]
+    filed = None
+    for k, (x, feats) in enumerate(zip(layers, pieces)):
+        shape = x.geometry if x.segments else _xyz("lat", "lon")
+        own = feats.select(F.lit(k).alias("layer"), "ix", "iy", "half_km", F.struct(*shape, "who").alias(f"item{k}"))
+        filed = own if filed is None else filed.unionByName(own, allowMissingColumns=True)
+    filed = cut_lineage(filed)
+    f_cells = cut_lineage(filed.groupBy("layer", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.max("half_km").alias("half_km")))
     located = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     q_cells = cut_lineage(
         points.filter(located)
         .select(_finest(F.col(lon)).alias("ix"), _finest(F.col(lat)).alias("iy"))
         .distinct()
     )
-    slack = 6.0 if segments else 0.0
-    finals = cut_lineage(candidate_cells(q_cells, f_cells, cap_km, max_candidates, slack))
-    levels = sorted(r["level"] for r in finals.select("level").distinct().collect())  # at most MAX_LEVEL + 1
+    slack = 6.0 if any(x.segments for x in layers) else 0.0
+    finals = candidate_cells(q_cells, f_cells, cap_km, max_candidates, slack)
+    levels = sorted(r["level"] for r in finals.select("level").distinct().collect())  # at most MAX_LEVEL / STEP + 1
 
     def keys(x: str, y: str) -> Column:
-        return F.array(
-            *[
-                F.struct(F.lit(k).alias("level"), _up(F.col(x), k).alias("cx"), _up(F.col(y), k).alias("cy"))
-                for k in levels
-            ]
-        )
-
-    def xyz(la: str, lo: str) -> list[Column]:
-        p, q = F.radians(la), F.radians(lo)
-        return [(F.cos(p) * F.cos(q)).alias("x"), (F.cos(p) * F.sin(q)).alias("y"), F.sin(p).alias("z")]
+        at = [F.struct(F.lit(k).alias("level"), _up(F.col(x), k).alias("cx"), _up(F.col(y), k).alias("cy")) for k in levels]
+        return F.array(*at) if at else F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>")
 
-    shape = geometry if segments else []
-    item = F.struct(*(shape or xyz("lat", "lon")), F.col("who"))
-    by_cell = feats.select(item.alias("item"), F.explode(keys("ix", "iy")).alias("k")).select(
-        "item", "k.level", F.col("k.cx").alias("fx"), F.col("k.cy").alias("fy")
+    # every finest query cell lies in one final cell of each layer; the finest of these is its own
+    final_cells = finals.select("layer", "level", F.col("qx").alias("cx"), F.col("qy").alias("cy")).distinct()
+    placed = (
+        q_cells.select("ix", "iy", F.explode(keys("ix", "iy")).alias("k"))
+        .select("ix", "iy", "k.level", "k.cx", "k.cy")
+        .join(final_cells, ["level", "cx", "cy"])
     )
-    index = (
-        finals.join(by_cell, ["level", "fx", "fy"], "left")
-        .groupBy("level", F.col("qx").alias("cx"), F.col("qy").alias("cy"))
-        .agg(F.collect_list("item").alias("_candidates"))
+    own_level = cut_lineage(placed.groupBy("ix", "iy").agg(F.max("level").alias("own")))
+    up_to = lambda c: F.expr(f"shiftright({c}, {MAX_LEVEL} - own)")
+    parts = placed.join(own_level, ["ix", "iy"]).select("own", up_to("ix").alias("ox"), up_to("iy").alias("oy"), "layer", "level", "cx", "cy").distinct()
+    by_cell = filed.select("layer", *[f"item{k}" for k in range(len(layers))], F.explode(keys("ix", "iy")).alias("k")).select(
+        "layer", *[f"item{k}" for k in range(len(layers))], "k.level", F.col("k.cx").alias("fx"), F.col("k.cy").alias("fy")
     )
+    lists = finals.withColumnsRenamed({"qx": "cx", "qy": "cy"}).join(parts, ["layer", "level", "cx", "cy"]).join(by_cell, ["layer", "level", "fx", "fy"])
+    index = lists.groupBy("own", "ox", "oy").agg(*[F.collect_list(f"item{k}").alias(f"_c{k}") for k in range(len(layers))])
     # what depends on the point alone is computed once, outside the candidate walk
-    keyed = points.withColumns(
-        {"_ix": _finest(F.col(lon)), "_iy": _finest(F.col(lat)), "_shrink": F.cos(F.radians(lat))}
-    )
-    if not segments:
-        keyed = keyed.withColumns(dict(zip(("_px", "_py", "_pz"), xyz(lat, lon))))
-    # levels are settled on the narrow cells: each finest cell lies in exactly one final cell,
-    # so a point is joined once by its own cell and never copied per level
-    final_cells = finals.select("level", F.col("qx").alias("cx"), F.col("qy").alias("cy")).distinct()
-    settled = (
-        q_cells.select("ix", "iy", F.explode(keys("ix", "iy")).alias("k"))
-        .select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "k.level", "k.cx", "k.cy")
-        .join(final_cells, ["level", "cx", "cy"], "left_semi")
-    )
-    joined = keyed.join(settled, ["_ix", "_iy"], "left").join(index, ["level", "cx", "cy"], "left")
+    keyed = points.withColumns({"_ix": _finest(F.col(lon)), "_iy": _finest(F.col(lat)), "_shrink": F.cos(F.radians(lat))})
+    keyed = keyed.withColumns(dict(zip(("_px", "_py", "_pz"), _xyz(lat, lon))))
+    settled = own_level.select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "own", up_to("ix").alias("ox"), up_to("iy").alias("oy"))
+    joined = keyed.join(settled, ["_ix", "_iy"], "left").join(index, ["own", "ox", "oy"], "left")
 
-    def distance(c: Column) -> Column:
-        if segments:
+    def distance(x: Layer, c: Column) -> Column:
+        if x.segments:
             ends = (c["lat1"], c["lon1"], c["lat2"], c["lon2"])
             return point_segment_distance_m(F.col(lat), F.col(lon), *ends, shrink=F.col("_shrink")) / 1000
         dx, dy, dz = c["x"] - F.col("_px"), c["y"] - F.col("_py"), c["z"] - F.col("_pz")
         return F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) / 2) * (2 * EARTH_KM)
 
-    ranked = F.array_min(
-        F.transform("_candidates", lambda c: F.struct(F.rint(distance(c) * 1e6).alias("mm"), c["who"].alias("who")))
-    )
-    joined = joined.withColumn("_best", F.when(located, ranked))
-    best = F.col("_best")
-    km = best["mm"] / 1e6
-    result = F.when(
-        km <= cap_km,
-        F.struct(
-            km.alias("distance_km"),
-            best["who"][feature_id].alias(feature_id),
-            *[best["who"][p].alias(p) for p in payload],
-        ),
-    )
-    return joined.select(*points.columns, result.alias(out))
+    def best_of(k: int, x: Layer) -> Column:
+        ranked = F.transform(f"_c{k}", lambda c: F.struct(F.rint(distance(x, c) * 1e6).alias("mm"), c["who"].alias("who")))
+        return F.when(located, F.array_min(ranked))
+
+    joined = joined.withColumns({f"_b{k}": best_of(k, x) for k, x in enumerate(layers)})
+
+    def result(k: int, x: Layer) -> Column:
+        best = F.col(f"_b{k}")
+        km = best["mm"] / 1e6
+        who = [best["who"][c].alias(c) for c in (x.feature_id, *x.payload)]
+        return F.when(km <= cap_km, F.struct(km.alias("distance_km"), *who)).alias(x.out)
+
+    return joined.select(*points.columns, *[result(k, x) for k, x in enumerate(layers)])
+
+
+def nearest(
+    points: DataFrame,
+    features: DataFrame,
+    cap_km: float = 100.0,
+    feature_id: str = "feature_id",
+    payload: list[str] | None = None,
+    lat: str = "latitude",
+    lon: str = "longitude",
+    out: str = "nearest",
+    max_candidates: int = 24,
+) -> DataFrame:
+    """``nearest_layers`` for a single layer."""
+    return nearest_layers(points, [Layer(features, out, feature_id, payload or [])], cap_km, lat, lon, max_candidates)
 
 
 def beyond_distance(
@@ -280,14 +305,15 @@ NO_WATER_RELIABILITY = 0.5
 KM_TO_MILES = 1000.0 / 1609.34
 
 
-def with_water(points: DataFrame, water: DataFrame, **kw) -> DataFrame:
-    """``water_distance_miles`` and ``water_reliability`` (10 mi / 0.5 without water in 100 km)."""
-    from terrasift.functions.vegetation import lookup
+def water_layer(water: DataFrame) -> Layer:
+    return Layer(water, "_water", payload=["water_type"])
 
-    n = nearest(points, water, payload=["water_type"], out="_water", **kw)
+
+def add_water(df: DataFrame) -> DataFrame:
+    """``water_distance_miles`` and ``water_reliability`` (10 mi / 0.5 without water in reach) from ``_water``."""
     kind = F.lower(F.coalesce(F.col("_water.water_type"), F.lit("stream")))
     reliability = F.coalesce(lookup(WATER_RELIABILITY["context"], kind), F.lit(RELIABILITY_DEFAULT))
-    return n.withColumns(
+    return df.withColumns(
         {
             "water_distance_miles": F.coalesce(F.col("_water.distance_km") * KM_TO_MILES, F.lit(NO_FEATURE_MILES)),
             "water_reliability": F.when(F.col("_water").isNull(), NO_WATER_RELIABILITY).otherwise(reliability),
@@ -295,19 +321,36 @@ def with_water(points: DataFrame, water: DataFrame, **kw) -> DataFrame:
     ).drop("_water")
 
 
+def with_water(points: DataFrame, water: DataFrame, **kw) -> DataFrame:
+    return add_water(nearest_layers(points, [water_layer(water)], **kw))
+
+
+def add_distance(df: DataFrame, layer: str, out: str) -> DataFrame:
+    """Miles from a layer's struct; 10 without a feature in reach."""
+    return df.withColumn(out, F.coalesce(F.col(f"{layer}.distance_km") * KM_TO_MILES, F.lit(NO_FEATURE_MILES))).drop(layer)
+
+
 def with_feature_distance(points: DataFrame, features: DataFrame, out: str, **kw) -> DataFrame:
     """Miles to the nearest road, trail or activity record; 10 beyond 100 km."""
-    n = nearest(points, features, out="_feature", **kw)
-    return n.withColumn(out, F.coalesce(F.col("_feature.distance_km") * KM_TO_MILES, F.lit(NO_FEATURE_MILES))).drop("_feature")
+    return add_distance(nearest(points, features, out="_feature", **kw), "_feature", out)
 
 
-def with_station(points: DataFrame, stations: DataFrame, cap_km: float = 100.0) -> DataFrame:
+def station_layers(stations: DataFrame) -> list[Layer]:
+    """Stations with data and those without, each a layer of its own."""
+    return [
+        Layer(stations.filter("has_data"), "_mapped", "station_id", ["name"]),
+        Layer(stations.filter("NOT has_data"), "_unmapped", "station_id", ["name"]),
+    ]
+
+
+def add_station(df: DataFrame) -> DataFrame:
     """Nearest station with data, else nearest of any kind, as struct ``station``."""
-    kw = {"cap_km": cap_km, "feature_id": "station_id", "payload": ["name"]}
-    a = nearest(points, stations.filter("has_data"), out="_mapped", **kw)
-    b = nearest(a, stations.filter("NOT has_data"), out="_unmapped", **kw)
     pick = F.coalesce(
         F.when(F.col("_mapped").isNotNull(), F.col("_mapped").withField("has_data", F.lit(True))),
         F.when(F.col("_unmapped").isNotNull(), F.col("_unmapped").withField("has_data", F.lit(False))),
     )
-    return b.withColumn("station", pick).drop("_mapped", "_unmapped")
+    return df.withColumn("station", pick).drop("_mapped", "_unmapped")
+
+
+def with_station(points: DataFrame, stations: DataFrame, cap_km: float = 100.0) -> DataFrame:
+    return add_station(nearest_layers(points, station_layers(stations), cap_km))

@@ -88,13 +88,20 @@ def _terrain(df: DataFrame, layers: Layers) -> DataFrame:
 
 
 def _distances(df: DataFrame, layers: Layers) -> DataFrame:
+    """Every layer that is searched for its nearest feature takes part in one walk."""
+    lines = {"road": layers.roads, "trail": layers.trails, "bear_activity": layers.bears}
+    lines = {name: f for name, f in lines.items() if f is not None}
+    wanted = [nearest.Layer(f, f"_{name}") for name, f in lines.items()]
     if layers.water is not None:
-        df = nearest.with_water(df, layers.water)
-    for feature, name in ((layers.roads, "road"), (layers.trails, "trail")):
-        if feature is not None:
-            df = nearest.with_feature_distance(df, feature, f"{name}_distance_miles")
-    if layers.bears is not None:
-        df = nearest.with_feature_distance(df, layers.bears, "bear_activity_distance_miles")
+        wanted.append(nearest.water_layer(layers.water))
+    if layers.stations is not None and layers.station_series is not None:
+        wanted += nearest.station_layers(layers.stations)
+    if wanted:
+        df = nearest.nearest_layers(df, wanted)
+    if layers.water is not None:
+        df = nearest.add_water(df)
+    for name in lines:
+        df = nearest.add_distance(df, f"_{name}", f"{name}_distance_miles")
     if layers.packs is not None:
         df = with_wolf_density(df, layers.packs)
     if layers.security is not None:
@@ -118,7 +125,7 @@ def _snow(df: DataFrame, layers: Layers) -> DataFrame:
                 "snow_station_distance_km": F.lit(None).cast("double"),
             }
         )
-    df = nearest.with_station(df, layers.stations).withColumn("station_id", F.col("station.station_id"))
+    df = nearest.add_station(df).withColumn("station_id", F.col("station.station_id"))
     df = nearest_day(df, layers.station_series, ["station_id"], ["depth_in", "swe_in"], out="_snow")
     depth = snow.depth_or_from_swe(F.col("_snow.depth_in"), F.col("_snow.swe_in"))
     found = F.col("_snow").isNotNull() & depth.isNotNull()

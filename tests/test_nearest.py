@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from terrasift.operators.nearest import beyond_distance, nearest
+from terrasift.operators.nearest import Layer, beyond_distance, nearest, nearest_layers
 
 
 def hav(a, b):
@@ -85,3 +85,26 @@ def test_separation(spark):
     c = spark.createDataFrame([(1, 43.0, -107.0), (2, 43.1, -107.0)], "id int, latitude double, longitude double")
     o = spark.createDataFrame([(43.005, -107.0)], "lat double, lon double")
     assert [r["id"] for r in beyond_distance(c, o, 2000.0).collect()] == [2]
+
+
+def test_crowds_below_the_last_metre(spark):
+    """Distinct coordinates micrometres apart, far more than a list holds, are still told apart or tie."""
+    rng = random.Random(6)
+    near = lambda: (43 + rng.random() * 1e-8, -107 + rng.random() * 1e-8)
+    check(spark, [near() for _ in range(40)] + [(43.001, -107.0)], [near() for _ in range(300)] + [(43.0, -107.0)] * 50, 100.0, max_candidates=4)
+
+
+def test_layers_share_a_walk(spark):
+    """Points and segments side by side give what each gives alone, also where a layer is empty."""
+    rng = random.Random(7)
+    at = lambda: (rng.uniform(42, 44), rng.uniform(-108, -106))
+    p = spark.createDataFrame([(i, *at()) for i in range(60)] + [(60, None, 1.0)], "id int, latitude double, longitude double")
+    dense = spark.createDataFrame([(f"d{i}", *at(), "x") for i in range(400)], "name string, lat double, lon double, kind string")
+    sparse = spark.createDataFrame([(i, *at()) for i in range(5)], "feature_id int, lat double, lon double")
+    roads = spark.createDataFrame([(i, *at(), *at()) for i in range(30)], "feature_id int, lat1 double, lon1 double, lat2 double, lon2 double")
+    layers = [Layer(dense, "a", "name", ["kind"]), Layer(sparse, "b"), Layer(roads, "c"), Layer(sparse.limit(0), "d")]
+    rows = {r["id"]: r for r in nearest_layers(p, layers, 50.0, max_candidates=6).collect()}
+    assert len(rows) == 61 and all(rows[60][x.out] is None for x in layers)
+    for x in layers:
+        alone = nearest(p, x.features, 50.0, x.feature_id, x.payload, max_candidates=6)
+        assert {r["id"]: r["nearest"] for r in alone.collect()} == {i: r[x.out] for i, r in rows.items()}
