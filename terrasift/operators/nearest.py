@@ -72,10 +72,16 @@ def _bounds_km(level: int) -> tuple[Column, Column]:
 def _survivors(pairs: DataFrame, level: int, cap_km: float) -> DataFrame:
     lower, upper = _bounds_km(level)
     bounded = pairs.withColumns({"lower": F.greatest(lower - F.col("half_km"), F.lit(0.0)), "upper": upper})
-    best = F.min("upper").over(Window.partitionBy("layer", "qx", "qy"))
+    cell = Window.partitionBy("layer", "qx", "qy")
+    best = F.least(F.min("upper").over(cell), F.lit(cap_km))
+    # segments are measured on a plane at the point, which bends away from the sphere with distance
+    steep = F.greatest(F.lit(1.0), F.tan(F.radians(F.least(F.abs(F.col("qy") * _size(level)), F.lit(85.0)))))
+    bend = F.when(F.max("half_km").over(cell) > 0, 2 * steep * best / EARTH_KM).otherwise(0.0)
     # small slack keeps boundary candidates despite rounding
-    reach = F.least(best, F.lit(cap_km)) * (1 + 1e-9) + 2e-6
-    return bounded.withColumn("reach", reach).filter(F.col("lower") <= F.col("reach")).drop("lower", "upper", "reach")
+    reach = best * (1 + 1e-9 + bend) + 2e-6
+    # where the bend exceeds the cell many times over, splitting it leaves no fewer
+    fixed = best * bend > 4 * KM_PER_DEGREE * _size(level)
+    return bounded.withColumns({"reach": reach, "fixed": fixed}).filter(F.col("lower") <= F.col("reach")).drop("lower", "upper", "reach")
 
 
 def _start_level(reach_km: float) -> int:
@@ -115,7 +121,7 @@ def candidate_cells(
         kept = _survivors(pairs.select("layer", "qx", "qy", "fx", "fy", "n", "half_km"), level, cap_km)
         load = F.sum("n").over(Window.partitionBy("layer", "qx", "qy"))
         state = cut_lineage(
-            kept.withColumn("done", (load <= max_candidates) | F.lit(level == MAX_LEVEL)).select("layer", "qx", "qy", "fx", "fy", "done")
+            kept.withColumn("done", (load <= max_candidates) | F.col("fixed") | F.lit(level == MAX_LEVEL)).select("layer", "qx", "qy", "fx", "fy", "done")
         )
         done = state.filter("done").select("layer", F.lit(level).alias("level"), "qx", "qy", "fx", "fy")
         finals = done if finals is None else finals.unionByName(done)
@@ -154,6 +160,7 @@ class Layer:
     out: str
     feature_id: str = "feature_id"
     payload: list[str] = field(default_factory=list)
+    unrounded: bool = False  # distances as computed; they are compared in millimetres all the same
 
     @property
     def segments(self) -> bool:
@@ -256,14 +263,15 @@ def nearest_layers(
         return F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) / 2) * (2 * EARTH_KM)
 
     def best_of(k: int, x: Layer) -> Column:
-        ranked = F.transform(f"_c{k}", lambda c: F.struct(F.rint(distance(x, c) * 1e6).alias("mm"), c["who"].alias("who")))
+        plain = lambda c: [distance(x, c).alias("km")] if x.unrounded else []
+        ranked = F.transform(f"_c{k}", lambda c: F.struct(F.rint(distance(x, c) * 1e6).alias("mm"), c["who"].alias("who"), *plain(c)))
         return F.when(located, F.array_min(ranked))
 
     joined = joined.withColumns({f"_b{k}": best_of(k, x) for k, x in enumerate(layers)})
 
     def result(k: int, x: Layer) -> Column:
         best = F.col(f"_b{k}")
-        km = best["mm"] / 1e6
+        km = best["km"] if x.unrounded else best["mm"] / 1e6
         who = [best["who"][c].alias(c) for c in (x.feature_id, *x.payload)]
         return F.when(km <= cap_km, F.struct(km.alias("distance_km"), *who)).alias(x.out)
 

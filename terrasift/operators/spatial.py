@@ -1,16 +1,14 @@
-"""Point-in-polygon, boundary distance, coverage and layer profiles."""
+"""Territories, coverage and layer profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.functions.geo import haversine_km, line_length_km, point_in_ring, point_segment_distance_m
+from terrasift.functions.geo import haversine_km, line_length_km
+from terrasift.operators.polygons import first_containing
 from terrasift.operators.summaries import count_if
 
-CELL_DEGREES = 0.25
-
-
 def box_ring(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
     """Closed ring of a bounding box."""
     corners = [(min_lon, min_lat), (max_lon, min_lat), (max_lon, max_lat), (min_lon, max_lat), (min_lon, min_lat)]
@@ -25,40 +23,6 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
     }
 
 
-def _cell(c: Column) -> Column:
-    return F.floor(c / CELL_DEGREES).cast("int")
-
-
-def first_containing(
-    points: DataFrame, areas: DataFrame, area_id: str, payload: list[str], lat: str = "latitude", lon: str = "longitude", out: str = "area"
-) -> DataFrame:
-    """Adds struct ``out`` of the first area (smallest id) whose ``ring`` holds the point.
-
-    Areas are filed under the grid cells of their bounding box and gathered per cell, so
-    a point meets one row; cells without areas cost nothing.
-    """
-    b = areas.withColumns(ring_bounds(F.col("ring")))
-    rows = F.explode(F.sequence(_cell(F.col("min_lat")), _cell(F.col("max_lat")))).alias("_cy")
-    filed = b.select("*", rows).select(
-        "*", F.explode(F.sequence(_cell(F.col("min_lon")), _cell(F.col("max_lon")))).alias("_cx")
-    )
-    item = F.struct(area_id, *payload, "ring", "min_lon", "max_lon", "min_lat", "max_lat")
-    per_cell = filed.groupBy("_cy", "_cx").agg(F.sort_array(F.collect_list(item)).alias("_areas"))
-    x, y = F.col(lon), F.col(lat)
-    inside = F.filter(
-        "_areas",
-        lambda a: x.between(a["min_lon"], a["max_lon"])
-        & y.between(a["min_lat"], a["max_lat"])
-        & point_in_ring(x, y, a["ring"]),
-    )
-    joined = points.withColumns({"_cy": _cell(y), "_cx": _cell(x)}).join(per_cell, ["_cy", "_cx"], "left")
-    hit = F.try_element_at(inside, F.lit(1))
-    joined = joined.withColumn("_hit", hit)
-    return joined.withColumn(
-        out, F.when(F.col("_hit").isNotNull(), F.struct(*[F.col(f"_hit.{c}").alias(c) for c in (area_id, *payload)]))
-    ).drop("_cy", "_cx", "_areas", "_hit")
-
-
 BACKGROUND_WOLVES = 0.5
 PACK_SIZE, PACK_ELK = 6, 2000
 
@@ -72,33 +36,6 @@ def with_wolf_density(points: DataFrame, packs: DataFrame, **kw) -> DataFrame:
     return out.withColumn("wolves_per_1000_elk", density).drop("_pack")
 
 
-def boundary_distance_km(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
-    """Kilometres to a polygon given as (lon, lat) vertices; 0 inside."""
-    pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    edges = F.array(
-        *[
-            F.struct(F.lit(a[0]).alias("x1"), F.lit(a[1]).alias("y1"), F.lit(b[0]).alias("x2"), F.lit(b[1]).alias("y2"))
-            for a, b in zip(pts, pts[1:])
-        ]
-    )
-    metres = F.array_min(
-        F.transform(edges, lambda e: point_segment_distance_m(lat, lon, e["y1"], e["x1"], e["y2"], e["x2"]))
-    )
-    return F.when(inside_literal_ring(lat, lon, pts), 0.0).otherwise(metres / 1000.0)
-
-
-def inside_literal_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
-    """Ray cast against constant (lon, lat) vertices: plain arithmetic, no array walk."""
-    pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    crossings = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(pts, pts[1:]):
-        if y1 == y2:
-            continue
-        spans = (F.lit(y1) > lat) != (F.lit(y2) > lat)
-        crossings = crossings + F.when(spans & (lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)), 1).otherwise(0)
-    return crossings % 2 == 1
-
-
 def within_shares(df: DataFrame, distance: Column, limits: list[float]) -> DataFrame:
     """Share of rows within each distance of an area."""
     return df.select(distance.alias("_km")).agg(

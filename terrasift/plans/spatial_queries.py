@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.functions import geo
-from terrasift.operators import habitat, spatial
+from terrasift.operators import habitat, polygons, spatial
 from terrasift.operators.features import STUDY_AREA
 from terrasift.plans.aggregate_queries import rounded
 from terrasift.plans.registry import query
@@ -37,6 +37,11 @@ def area_of_observation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("obs_id", "wolves_per_1000_elk"), ["wolves_per_1000_elk"])
 
 
+def _hexagon(spark: SparkSession) -> DataFrame:
+    ring = [{"lon": x, "lat": y} for x, y in HEXAGON]
+    return spark.createDataFrame([(1, ring)], "area_id int, ring array<struct<lon:double,lat:double>>")
+
+
 _EDGES = ", e(ax, ay, bx, by_) AS (VALUES " + ", ".join(
     f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(HEXAGON, HEXAGON[1:] + HEXAGON[:1])
 ) + ")"
@@ -65,12 +70,9 @@ SELECT obs_id, round(km, 5) AS boundary_km,
 """,
 )
 def distance_to_area(spark: SparkSession, d: str) -> DataFrame:
-    y, x = F.col("latitude"), F.col("longitude")
-    return view(spark, d, "obs").select(
-        "obs_id",
-        F.round(spatial.boundary_distance_km(y, x, HEXAGON), 5).alias("boundary_km"),
-        F.round(spatial.centre_distance_km(y, x, 42.8, -107.0), 5).alias("centre_km"),
-    )
+    o = polygons.nearest_area(view(spark, d, "obs"), _hexagon(spark), "area_id")
+    centre = spatial.centre_distance_km(F.col("latitude"), F.col("longitude"), 42.8, -107.0)
+    return o.select("obs_id", F.round("area.distance_km", 5).alias("boundary_km"), F.round(centre, 5).alias("centre_km"))
 
 
 @query(
@@ -81,8 +83,84 @@ def distance_to_area(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT count(*) AS n, round(count(*) FILTER (km <= 50) / count(*), 6) AS within_50_km, round(count(*) FILTER (km <= 200) / count(*), 6) AS within_200_km FROM b",
 )
 def share_near_area(spark: SparkSession, d: str) -> DataFrame:
-    km = spatial.boundary_distance_km(F.col("latitude"), F.col("longitude"), HEXAGON)
-    return rounded(spatial.within_shares(view(spark, d, "obs"), km, [50, 200]), ["within_50_km", "within_200_km"])
+    o = polygons.nearest_area(view(spark, d, "obs"), _hexagon(spark), "area_id")
+    return rounded(spatial.within_shares(o, F.col("area.distance_km"), [50, 200]), ["within_50_km", "within_200_km"])
+
+
+_SHAPES = cte("obs", "areas") + """
+, q AS (SELECT area_id, min_lon AS w, max_lon AS e, min_lat AS s, max_lat AS n, (min_lon + max_lon) / 2 AS mx, (min_lat + max_lat) / 2 AS my,
+   min_lon + (max_lon - min_lon) / 4 AS w4, max_lon - (max_lon - min_lon) / 4 AS e4, min_lat + (max_lat - min_lat) / 4 AS s4, max_lat - (max_lat - min_lat) / 4 AS n4 FROM areas)
+"""
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """By area id: a corner shape (concave), two parts, or a part with a hole."""
+    c = {
+        "w": F.col("min_lon"), "e": F.col("max_lon"), "s": F.col("min_lat"), "n": F.col("max_lat"),
+        "mx": (F.col("min_lon") + F.col("max_lon")) / 2, "my": (F.col("min_lat") + F.col("max_lat")) / 2,
+        "w4": F.col("min_lon") + (F.col("max_lon") - F.col("min_lon")) / 4, "e4": F.col("max_lon") - (F.col("max_lon") - F.col("min_lon")) / 4,
+        "s4": F.col("min_lat") + (F.col("max_lat") - F.col("min_lat")) / 4, "n4": F.col("max_lat") - (F.col("max_lat") - F.col("min_lat")) / 4,
+    }
+    ring = lambda *at: F.array(*[F.struct(c[x].alias("lon"), c[y].alias("lat")) for x, y in (p.split() for p in at)])
+    box = lambda w, s, e, n: ring(f"{w} {s}", f"{e} {s}", f"{e} {n}", f"{w} {n}")
+    corner = F.array(ring("w s", "e s", "e my", "mx my", "mx n", "w n"))
+    kind = F.col("area_id") % 3
+    shape = F.when(kind == 0, corner).when(kind == 1, F.array(box("w", "s", "w4", "n"), box("e4", "s", "e", "n"))).otherwise(F.array(box("w", "s", "e", "n"), box("w4", "s4", "e4", "n4")))
+    return view(spark, d, "areas").select("area_id", shape.alias("rings"))
+
+
+@query(
+    "area_shapes",
+    "J13",
+    _SHAPES
+    + """
+, h AS (SELECT obs_id, min(area_id) AS area_id FROM (SELECT *, longitude AS x, latitude AS y FROM obs, q WHERE longitude > w AND longitude < e AND latitude > s AND latitude < n)
+   WHERE CASE area_id % 3 WHEN 0 THEN x < mx OR y < my WHEN 1 THEN x < w4 OR x > e4 ELSE x < w4 OR x > e4 OR y < s4 OR y > n4 END GROUP BY 1)
+SELECT obs_id, area_id FROM obs LEFT JOIN h USING (obs_id)
+""",
+)
+def area_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """First of concave, two-part and holed areas that holds an observation."""
+    o = view(spark, d, "obs").select("obs_id", "latitude", "longitude")
+    return polygons.first_containing(o, _shapes(spark, d), "area_id", []).select("obs_id", "area.area_id")
+
+
+@query(
+    "distance_to_areas",
+    "J14",
+    cte("obs", "areas")
+    + """
+, k AS (SELECT 6371000.0::DOUBLE * pi() / 180 AS k), c AS (SELECT *, cos(radians(latitude)) * k AS kx, k AS ky FROM obs, k),
+p AS (SELECT obs_id, area_id, greatest(min_lon - longitude, longitude - max_lon, 0) * kx AS dx, greatest(min_lat - latitude, latitude - max_lat, 0) * ky AS dy FROM c, areas),
+m AS (SELECT obs_id, arg_min((sqrt(dx * dx + dy * dy) / 1000, area_id), (round(sqrt(dx * dx + dy * dy) / 1000, 6), area_id)) AS b FROM p GROUP BY 1)
+SELECT obs_id, b[2] AS area_id, round(b[1], 5) AS boundary_km FROM m
+""",
+)
+def distance_to_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest of a table of polygons, 0 inside."""
+    o = view(spark, d, "obs").select("obs_id", "latitude", "longitude")
+    out = polygons.nearest_area(o, _areas(spark, d), "area_id")
+    return out.select("obs_id", "area.area_id", F.round("area.distance_km", 5).alias("boundary_km"))
+
+
+@query(
+    "hunt_area_members",
+    "J13",
+    cte("obs", "areas")
+    + """
+, a AS (SELECT min(area_id) AS first FROM areas)
+SELECT obs_id, latitude BETWEEN 43.0707 AND 43.7503 AND longitude BETWEEN -107.9076 AND -107.1333 AS by_bounds,
+  longitude > min_lon AND longitude < max_lon AND latitude > min_lat AND latitude < max_lat AS by_polygon FROM obs, a JOIN areas ON area_id = first
+""",
+)
+def hunt_area_members(spark: SparkSession, d: str) -> DataFrame:
+    """By the area's bounds without its polygon, and by a polygon filed under its code."""
+    o = view(spark, d, "obs").select("obs_id", "latitude", "longitude")
+    areas = _areas(spark, d)
+    first = areas.agg(F.min("area_id")).scalar()
+    coded = areas.withColumn("hunt_area", F.when(F.col("area_id") == first, 48.0).otherwise(F.col("area_id") + 100.0))
+    by_bounds = polygons.with_hunt_area(o, coded.filter("hunt_area <> 48"), out="by_bounds")
+    return polygons.with_hunt_area(by_bounds, coded, out="by_polygon").select("obs_id", "by_bounds", "by_polygon")
 
 
 @query(
