@@ -126,11 +126,10 @@ def match_results(
     """Two-tier match of requested points to returned rows of the same day.
 
     Tier one joins on coordinates rounded to ``digits``; points left over are compared
-    within ``tolerance`` degrees through a grid of that size. The smallest result id
-    wins, since results of one day do not differ in date. Results of one cell and day
-    are reduced to distinct coordinates and gathered into one array, so a point meets
-    at most nine rows and no pair is emitted. The array is as long as the distinct
-    result coordinates in a hundredth of a degree, some 25 for 250 m pixels.
+    within ``tolerance`` degrees. The smallest result id wins, since results of one day do
+    not differ in date. On a grid of half the tolerance the nine cells around a point lie
+    within reach as a whole: of these only the smallest result counts, one row a cell and day.
+    The sixteen cells around them are compared by distinct coordinate.
     """
     r = results.select("result_id", "latitude", "longitude", "date", "ndvi", "qa_flags")
     lat4, lon4 = F.round("latitude", digits).alias("_lat4"), F.round("longitude", digits).alias("_lon4")
@@ -138,31 +137,24 @@ def match_results(
     exact = r.groupBy(lat4, lon4, "date").agg(F.min(payload).alias("hit"))
     keyed = points.withColumns({"_lat4": F.round("latitude", digits), "_lon4": F.round("longitude", digits)})
     tier1 = keyed.join(exact, ["_lat4", "_lon4", "date"], "left").drop("_lat4", "_lon4")
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    loose = (
-        r.groupBy("latitude", "longitude", "date")
-        .agg(F.min(payload).alias("hit"))
-        .groupBy(cell("latitude").alias("_cy"), cell("longitude").alias("_cx"), "date")
-        .agg(F.collect_list(F.struct("latitude", "longitude", "hit")).alias("_near"))
-    )
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cell = lambda c: F.floor(F.col(c) / (tolerance / 2))
+    loose = r.groupBy("latitude", "longitude", "date").agg(F.min(payload).alias("_best"))
+    loose = loose.select(cell("latitude").alias("_cy"), cell("longitude").alias("_cx"), "date", F.col("latitude").alias("_y"), F.col("longitude").alias("_x"), "_best")
+    whole = loose.groupBy("_cy", "_cx", "date").agg(F.min("_best").alias("_best"))
+    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     open_points = tier1.filter(F.col("hit").isNull()).select(point_id, "latitude", "longitude", "date")
     spread = (
         open_points.withColumn("_dy", around)
         .withColumn("_dx", around)
         .withColumns({"_cy": cell("latitude") + F.col("_dy"), "_cx": cell("longitude") + F.col("_dx")})
     )
+    near = (F.abs("_dy") <= 1) & (F.abs("_dx") <= 1)
     slack = tolerance + 1e-12
-    inside = lambda c: (F.abs(c["latitude"] - F.col("latitude")) <= slack) & (
-        F.abs(c["longitude"] - F.col("longitude")) <= slack
-    )
-    best = F.array_min(F.transform(F.filter("_near", inside), lambda c: c["hit"]))
-    tier2 = (
-        spread.join(loose, ["_cy", "_cx", "date"])
-        .withColumn("_best", best)
-        .groupBy(point_id)
-        .agg(F.min("_best").alias("_loose"))
-    )
+    inside = (F.abs(F.col("_y") - F.col("latitude")) <= slack) & (F.abs(F.col("_x") - F.col("longitude")) <= slack)
+    keys = ["_cy", "_cx", "date"]
+    inner = spread.filter(near).join(whole, keys).select(point_id, "_best")
+    rim = spread.filter(~near).join(loose, keys).filter(inside).select(point_id, "_best")
+    tier2 = inner.unionByName(rim).groupBy(point_id).agg(F.min("_best").alias("_loose"))
     out = tier1.join(tier2, point_id, "left")
     hit = F.coalesce("hit", "_loose")
     return out.select(

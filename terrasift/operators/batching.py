@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.geo import haversine_km
-from terrasift.operators.sampling import with_group_rank
+from terrasift.operators.sampling import hash_digits, with_group_rank
 
 
 def date_bucket(date: Column, buffer_days: int) -> Column:
@@ -22,8 +22,9 @@ def request_batches(
     Groups are numbered through hash slices; one busy window is spread over tasks.
     """
     grouped = points.withColumn("date_group", date_bucket(F.col(date_col), buffer_days))
-    slices = F.substring(F.md5(F.col(key).cast("string")), 1, 3)
-    ranked = with_group_rank(grouped, ["date_group"], slices, [F.col(key)])
+    mixed = F.md5(F.col(key).cast("string"))
+    slices = F.substring(mixed, 1, hash_digits(points.count()))
+    ranked = with_group_rank(grouped, ["date_group"], slices, [mixed, F.col(key)])
     return ranked.withColumn("batch_no", F.floor((F.col("rank") - 1) / size)).drop("rank", "rank_total")
 
 

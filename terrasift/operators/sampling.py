@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,45 +10,53 @@ from pyspark.sql import functions as F
 
 from terrasift.functions.rng import hash_hex, hash_uniform
 
-PREFIX_HEX = 3  # 4096 hash buckets per group; counts of them are all that is windowed
+BUCKET_ROWS = 100_000  # rows numbered in one bucket, about
+
+
+def hash_digits(rows: int) -> int:
+    """Hex digits of a hash that cut so many rows into buckets of ``BUCKET_ROWS``."""
+    return max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))
+
+
+def _before(df: DataFrame, group: list[str], order: str, n: str, out: str) -> DataFrame:
+    """Adds the sum of ``n`` over the rows before each one in its group."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
 def with_group_rank(
-    df: DataFrame, group: list[str], bucket: Column, order: list[Column], out: str = "rank"
+    df: DataFrame, group: list[str], bucket: Column, order: list[Column], out: str = "rank", coarse: Column | None = None
 ) -> DataFrame:
-    """Row number per group ordered by (bucket, order...), without one task per group.
+    """Row number per group ordered by (coarse, bucket, order...), without one task per group.
 
-    Counts per (group, bucket) give each bucket its offset; rows are numbered inside
-    their bucket only. A group that holds most of the table is spread over its buckets.
+    Rows are numbered inside their bucket only. Offsets come from prefix sums in two levels:
+    over the buckets of a ``coarse`` part, and over the parts, so no task sees all buckets.
     Also adds ``<out>_total``, the group size.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
+    keyed = df.withColumns({"_coarse": F.lit(0) if coarse is None else coarse, "_bucket": bucket})
+    keys = [*group, "_coarse", "_bucket"]
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias(f"{out}_total"),
-    )
+    parts = counts.groupBy(*group, "_coarse").agg(F.sum("_n").alias("_m"))
+    total = F.sum("_m").over(Window.partitionBy(*group))
+    parts = _before(parts, group, "_coarse", "_m", "_above").withColumn(f"{out}_total", total).drop("_m")
+    inside = _before(counts, [*group, "_coarse"], "_bucket", "_n", "_inside").drop("_n")
+    same = lambda l, r, on: reduce(lambda a, b: a & b, [F.col(f"{l}.{k}").eqNullSafe(F.col(f"{r}.{k}")) for k in on])
+    offsets = inside.alias("i").join(parts.alias("p"), same("i", "p", [*group, "_coarse"]))
+    offsets = offsets.select("i.*", (F.col("p._above") + F.col("i._inside")).alias("_offset"), f"p.{out}_total").drop("_inside")
     numbered = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    if group:
-        same = reduce(
-            lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-        )
-        joined = numbered.alias("l").join(counts.alias("r"), same).select("l.*", "r._offset", f"r.{out}_total")
-    else:
-        joined = numbered.join(counts, "_bucket")
-    return joined.withColumn(out, F.col("_offset") + F.col("_rn")).drop("_bucket", "_rn", "_offset")
+    joined = numbered.alias("l").join(offsets.alias("r"), same("l", "r", keys)).select("l.*", "r._offset", f"r.{out}_total")
+    return joined.withColumn(out, F.col("_offset") + F.col("_rn")).drop("_coarse", "_bucket", "_rn", "_offset")
 
 
 def with_hash_rank(
     df: DataFrame, key: list[str], seed: int = 42, stream: str = "sample", group: list[str] | None = None, out: str = "rank"
 ) -> DataFrame:
-    """Rank in seeded shuffle order, per group or overall."""
+    """Rank in seeded shuffle order, per group or overall; the table is counted once for its buckets."""
+    digits = hash_digits(df.count())
     hashed = df.withColumn("_hash", hash_hex(seed, stream, *[F.col(k) for k in key]))
     order = [F.col("_hash"), *[F.col(k) for k in key]]
-    return with_group_rank(hashed, group or [], F.substring("_hash", 1, PREFIX_HEX), order, out).drop("_hash")
+    part = F.substring("_hash", 1, digits // 2) if digits > 1 else None
+    return with_group_rank(hashed, group or [], F.substring("_hash", 1, digits), order, out, part).drop("_hash")
 
 
 def sample_rows(
@@ -91,10 +100,12 @@ def with_folds(df: DataFrame, label: str, key: list[str], folds: int = 5, seed:
 def numbered_batches(df: DataFrame, date_col: str, key: str, size: int, out: str = "batch_id") -> DataFrame:
     """Fixed-size batches in (date, hash, key) order, numbered from 0.
 
-    Days are cut into hash slices, so one day holding most rows is not one task.
+    Days are cut into slices of a hash, as many as the rows ask for, so one day holding most
+    rows is not one task.
     """
-    slices = F.concat_ws("|", F.col(date_col).cast("string"), F.substring(F.md5(F.col(key).cast("string")), 1, 2))
-    ranked = with_group_rank(df, [], slices, [F.col(key)])
+    digits = hash_digits(df.count())
+    mixed = F.md5(F.col(key).cast("string"))
+    ranked = with_group_rank(df, [], F.substring(mixed, 1, digits), [mixed, F.col(key)], coarse=F.col(date_col).cast("string"))
     return ranked.withColumn(out, F.floor((F.col("rank") - 1) / size)).drop("rank", "rank_total")
 
 

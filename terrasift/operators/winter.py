@@ -29,14 +29,14 @@ def severity_at(requests: DataFrame, series: DataFrame, location: list[str]) ->
     """``winter_severity_index`` from 1 November to the request day; from May to
     October the whole previous winter.
 
-    A winter has at most 181 days per location: the running sums are gathered into one
-    array per location and winter, and every request reads a single row.
+    Every running sum is spread over the days until the next one, at most a winter's 181 per
+    location, and a request meets one row by location and day.
     """
     run = running_severity(series, location)
-    arrays = run.groupBy(*location, "winter").agg(F.array_sort(F.collect_list(F.struct("date", "wsi"))).alias("_days"))
+    following = F.lead("date").over(Window.partitionBy(*location, "winter").orderBy("date"))
+    last = F.coalesce(F.date_sub(following, 1), F.make_date(F.col("winter") + 1, F.lit(4), F.lit(30)))
+    spans = run.withColumn("_last", last).filter(F.col("_last") >= F.col("date"))
+    days = spans.select(*location, "wsi", F.explode(F.sequence("date", "_last")).alias("_upto"))
     upto = F.when(F.month("date").between(5, 10), F.make_date(F.year("date"), F.lit(4), F.lit(30))).otherwise(F.col("date"))
-    keyed = requests.withColumn("_upto", upto).withColumn("winter", _winter(F.col("_upto")))
-    joined = keyed.join(arrays, [*location, "winter"], "left")
-    last = F.element_at(F.filter("_days", lambda x: x["date"] <= F.col("_upto")), -1)
-    wsi = F.when(F.size(F.filter("_days", lambda x: x["date"] <= F.col("_upto"))) > 0, last["wsi"])
-    return joined.withColumn("winter_severity_index", F.coalesce(wsi, F.lit(0.0))).drop("_upto", "winter", "_days")
+    joined = requests.withColumn("_upto", upto).join(days, [*location, "_upto"], "left")
+    return joined.withColumn("winter_severity_index", F.coalesce("wsi", F.lit(0.0))).drop("_upto", "wsi")

@@ -425,7 +425,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     "T6",
     cte("obs")
     + """
-, r AS (SELECT obs_id, date, (row_number() OVER (ORDER BY date, substr(md5(CAST(obs_id AS VARCHAR)), 1, 2), obs_id) - 1) // 100 AS batch_id FROM obs)
+, r AS (SELECT obs_id, date, (row_number() OVER (ORDER BY date, md5(CAST(obs_id AS VARCHAR)), obs_id) - 1) // 100 AS batch_id FROM obs)
 SELECT batch_id, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM r GROUP BY batch_id
 """,
 )

@@ -24,7 +24,7 @@ from terrasift.streaming import incremental
     cte("obs")
     + """
 , g AS (SELECT obs_id, (date - DATE '1970-01-01') // 11 AS date_group FROM obs),
-b AS (SELECT *, (row_number() OVER (PARTITION BY date_group ORDER BY substr(md5(CAST(obs_id AS VARCHAR)), 1, 3), obs_id) - 1) // 20 AS batch_no FROM g)
+b AS (SELECT *, (row_number() OVER (PARTITION BY date_group ORDER BY md5(CAST(obs_id AS VARCHAR)), obs_id) - 1) // 20 AS batch_no FROM g)
 SELECT date_group, batch_no, count(*) AS n, CAST(sum(obs_id) AS BIGINT) AS key_sum FROM b GROUP BY 1, 2
 """,
 )
@@ -154,3 +154,21 @@ def fix_stream(spark: SparkSession, d: str) -> DataFrame:
     )
     incremental.run_available(incremental.daily_fix_counts(events), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").withColumn("day", F.to_date("day"))
+
+
+@query(
+    "fix_stream_finished",
+    "I6",
+    cte("fixes")
+    + "SELECT animal_id, CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT DISTINCT animal_id, ts FROM fixes) GROUP BY 1, 2",
+)
+def fix_stream_finished(spark: SparkSession, d: str) -> DataFrame:
+    """The stream over the events file at the end of its input, open windows included."""
+    base = f"{lineage.shared_folder(spark)}/fixes-{uuid.uuid4().hex}"
+    events = (
+        spark.readStream.schema(table(spark, d, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(d)
+        .select(F.col("user_id").alias("animal_id"), F.col("ts").cast("timestamp").alias("ts"))
+    )
+    return incremental.run_to_the_end(events, f"{base}/out", f"{base}/state").withColumn("day", F.to_date("day"))

@@ -96,3 +96,27 @@ def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "appe
         .start()
         .awaitTermination()
     )
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(animal_id, day, n) of the windows that a stopped ``daily_fix_counts`` job still holds in its state."""
+    stored = spark.read.format("state-metadata").load(checkpoint)
+    # the counting operator saves its state; the other one only remembers fixes
+    counting = stored.filter(F.col("operatorName").startswith("stateStoreSave")).select("operatorId").first()
+    state = spark.read.format("statestore").option("operatorId", counting["operatorId"]).load(checkpoint)
+    key, value = (state.schema[c].dataType.names for c in ("key", "value"))
+    window, animal, n = F.col(f"key.`{key[0]}`"), F.col(f"key.`{key[1]}`"), F.col(f"value.`{value[0]}`")
+    return state.select(animal.alias("animal_id"), window["start"].alias("day"), n.cast("bigint").alias("n"))
+
+
+def run_to_the_end(fixes: DataFrame, target: str, checkpoint: str, late: str = "1 day") -> DataFrame:
+    """Daily counts of a stream whose input present now is used up, the last days included.
+
+    Closed windows are appended to ``target``. Those still open are read from the state that the
+    checkpoint holds and belong to this result only: a later run goes on counting them.
+    """
+    spark = fixes.sparkSession
+    run_available(daily_fix_counts(fixes, late), target, checkpoint)
+    closed = spark.read.schema("animal_id bigint, day timestamp, n bigint").parquet(target)
+    still = open_windows(spark, checkpoint)
+    return closed.unionByName(still.select(F.col("animal_id").cast("bigint").alias("animal_id"), "day", "n"))

@@ -47,3 +47,19 @@ def test_fix_stream_equals_batch_for_closed_days(spark, tmp_path):
     want = {(r["animal_id"], r["day"]): r["n"] for r in incremental.daily_fix_counts_batch(df).collect()}
     assert len(got) >= 3 * 4
     assert all(want[k] == n for k, n in got.items())
+
+
+def test_a_finished_stream_counts_every_day(spark, tmp_path):
+    """Closed and open windows together are the batch's; a second run goes on from the open ones."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i % 3, start + dt.timedelta(hours=i // 2)) for i in range(24 * 2 * 6)]
+    df = spark.createDataFrame(rows + rows[:20], "animal_id bigint, ts timestamp")
+    parts = [df.filter("ts < '2024-01-04'"), df.filter("ts >= '2024-01-04'")]
+    seen = None
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen = part if seen is None else seen.union(part)
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        out = incremental.run_to_the_end(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        got = sorted((r["animal_id"], r["day"].date(), r["n"]) for r in out.collect())
+        assert got == sorted(tuple(r) for r in incremental.daily_fix_counts_batch(seen).collect())
