@@ -609,8 +609,9 @@ def ndvi_updates(spark: SparkSession, d: str) -> DataFrame:
     + _OBS_STATION
     + """
 , q AS (SELECT DISTINCT station_id, CAST(date + k AS DATE) AS date FROM r, (SELECT unnest(range(5))::INT AS k)),
-m AS (SELECT q.station_id, q.date, arg_min((s.date, depth_in), (abs(s.date - q.date), s.date)) AS b FROM q JOIN station_series s
-   ON s.station_id = q.station_id AND abs(s.date - q.date) <= 7 GROUP BY 1, 2)
+o AS (SELECT station_id, q.date, CAST(q.date + k AS DATE) AS day FROM q, (SELECT unnest(range(-7, 8))::INT AS k)),
+m AS (SELECT o.station_id, o.date, arg_min((s.date, depth_in), (abs(s.date - o.date), s.date)) AS b FROM o JOIN station_series s
+   ON s.station_id = o.station_id AND s.date = o.day GROUP BY 1, 2)
 SELECT station_id, q.date, b[1] AS matched_date, b[2] AS depth_in FROM q LEFT JOIN m USING (station_id, date)
 """,
 )
