@@ -167,11 +167,14 @@ def _vegetation(df: DataFrame, layers: Layers) -> DataFrame:
     ).drop("year_")
 
 
-def assemble_context(points: DataFrame, layers: Layers) -> DataFrame:
-    """``points`` needs latitude, longitude and date (and tile_id when scenes are given)."""
-    df = _terrain(points, layers)
-    df = _distances(df, layers)
-    df = _snow(df, layers)
+def place_context(points: DataFrame, layers: Layers) -> DataFrame:
+    """What depends on the place alone: terrain, distances, territories, security and stations in reach."""
+    return _distances(_terrain(points, layers), layers)
+
+
+def day_context(places: DataFrame, layers: Layers) -> DataFrame:
+    """The rest, for (place, date) rows of ``place_context``."""
+    df = _snow(places, layers)
     df = _weather(df, layers)
     df = _vegetation(df, layers)
     df = df.withColumns(
@@ -190,3 +193,8 @@ def assemble_context(points: DataFrame, layers: Layers) -> DataFrame:
     return df.withColumnRenamed("effective_illumination_midnight", "effective_illumination").drop(
         "moon_altitude_mean", "moon_visible_hours", "effective_illumination_mean", "cloud_adjusted_illumination_mean"
     )
+
+
+def assemble_context(points: DataFrame, layers: Layers) -> DataFrame:
+    """``points`` needs latitude, longitude and date (and tile_id when scenes are given)."""
+    return day_context(place_context(points, layers), layers)

@@ -159,9 +159,8 @@ FROM e LEFT JOIN w USING (obs_id) LEFT JOIN hy USING (obs_id) LEFT JOIN rd USING
 """,
 )
 def assembled_context(spark: SparkSession, d: str) -> DataFrame:
-    from terrasift.plans.context import Layers, assemble_context
-    from terrasift.plans.join_queries import GRID
-    from terrasift.plans.spatial_queries import _areas
+    from terrasift.plans.context import assemble_context
+    from terrasift.plans.layers import context_layers
 
     k = F.col("obs_id")
     o = view(spark, d, "obs").select(
@@ -171,40 +170,7 @@ def assembled_context(spark: SparkSession, d: str) -> DataFrame:
         "longitude",
         "date",
     )
-    v = F.col("value")
-    rasters = view(spark, d, "raster_cells").select(
-        "cell_row",
-        "cell_col",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("layer"), e.alias("value"))
-                    for n, e in (("elevation_ft", v), ("slope_degrees", v % 60), ("canopy_cover_percent", v % 130))
-                ]
-            )
-        ),
-    )
-    hydro = view(spark, d, "hydro").select("feature_id", "lat", "lon", "ftype")
-    series = view(spark, d, "station_series")
-    layers = Layers(
-        rasters=rasters,
-        grid=GRID,
-        water=view(spark, d, "water_features"),
-        roads=view(spark, d, "road_lines").select(F.col("road_id").alias("feature_id"), "lat1", "lon1", "lat2", "lon2"),
-        trails=hydro.drop("ftype"),
-        bears=hydro.where("ftype = 999").drop("ftype"),
-        packs=_areas(spark, d),
-        security=view(spark, d, "raster_cells").select("cell_row", "cell_col", (v % 101).alias("share")),
-        stations=view(spark, d, "stations"),
-        station_series=series,
-        weather=series.select(
-            F.col("station_id").alias("tile_id"), "date", F.col("temperature_f").alias("temp"),
-            F.col("swe_in").alias("precip_7d"), F.col("depth_in").alias("cloud_cover"),
-        ),
-        weather_key=["tile_id"],
-        scenes=view(spark, d, "scenes"),
-        max_cloud=50.0,
-    )
+    layers = context_layers(spark, d)
     out = assemble_context(o, layers).select(
         "obs_id", "elevation_ft", "slope_degrees", "canopy_cover_percent", "security_habitat_percent", "water_distance_miles",
         "road_distance_miles", "trail_distance_miles", "bear_activity_distance_miles", "wolves_per_1000_elk", "wolf_data_quality",

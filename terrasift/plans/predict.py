@@ -57,10 +57,11 @@ def predict(
     factors: list[str] = scores.RULE_FACTORS,
     spacing_m: float = 500.0,
     as_of: Column | None = None,
+    place: Callable[[DataFrame], DataFrame] = lambda points: points,
     **kw,
 ) -> DataFrame:
-    """Scored grid points; ``context`` adds the feature columns to (point, date) rows."""
-    points = context(with_dates(grid_points(requests, spacing_m)))
+    """Scored grid points; ``place`` adds feature columns to points, ``context`` to (point, date) rows."""
+    points = context(with_dates(place(grid_points(requests, spacing_m))))
     return scores.score_habitat(points, factors, as_of=as_of, **kw)
 
 
