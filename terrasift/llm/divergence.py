@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.tables import keep
+from terrasift.llm.tables import keep, unused
 
 # Frequent function words of each language, in no order of weight.
 COMMON_WORDS = {
@@ -201,9 +201,12 @@ def judge(
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose verdict is to keep them, all columns.
 
-    A repeated id goes only if all its rows are rejected.
+    Every row has the verdict of its own text and language, whatever its id: null and repeated
+    ids make no difference.
     """
-    id_column = options.get("id_column", "doc_id")
-    verdicts, _ = keep(judge(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept")))
-    bad = verdicts.where(~F.col("kept")).select("doc_id")
-    return docs.join(bad, docs[id_column].eqNullSafe(bad["doc_id"]), "left_anti")
+    id_column, text_column, lang_column = (options.get(f"{c}_column", d) for c, d in (("id", "doc_id"), ("text", "text"), ("lang", "lang")))
+    key, text = unused(docs, "row_key"), docs[text_column].cast("string")
+    own = F.struct(docs[id_column].alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), docs[lang_column].alias("lang"))
+    keyed = docs.withColumn(key, own)
+    bad, _ = keep(judge(keyed, **{**options, "id_column": key}).where(~F.col("kept")).select("doc_id").distinct())
+    return keyed.join(bad, keyed[key].eqNullSafe(bad["doc_id"]), "left_anti").drop(key)

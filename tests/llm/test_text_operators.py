@@ -170,6 +170,16 @@ def test_divergence(spark, odd, odd_rows, empty):
     assert judge(empty).count() == 0 and keep_good(empty).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text(spark, documents):
+    good = [t for t in documents.values() if len(t.split()) > 100][:40]
+    rows = [(None, good[0]), (None, "too short"), (5, good[1]), (5, "junk " * 200), (5, "too short"), (5, "too short"), *enumerate(good, 10)]
+    kept = keep_good(spark.createDataFrame([(i, t, "en", 1) for i, t in rows], "doc_id bigint, text string, lang string, row_key int"))
+    assert kept.columns == ["doc_id", "text", "lang", "row_key"]
+    found = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert not any(t == "too short" or t.startswith("junk ") for _, t in found)
+    assert found[None, good[0]] == 1 and found[5, good[1]] == 1
+
+
 def test_templates(spark, odd, odd_rows, empty):
     item = "A train leaves Rome with 120 people and travels to Milan for 3 hours; how many of the 120 people does Anna count in Milan"
     items = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (None, item), (1, item)], "item_id bigint, text string")
