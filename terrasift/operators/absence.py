@@ -38,6 +38,21 @@ def targets(n_presence: int, ratio: float = 1.0, shares: dict[str, float] = STRA
     return {k: int(total * v) for k, v in shares.items()}
 
 
+# Presence rows above which the search widens, least factor, rows per unit of factor.
+WIDENING = [(50_000, 3.0, 5_000.0), (10_000, 2.0, 10_000.0), (-1, 1.0, 10_000.0)]
+BASE_ATTEMPTS, MOST_ATTEMPTS = 10_000, 1_000_000
+
+
+def oversampling(n_presence: Column, wanted: Column) -> Column:
+    """Struct (factor, attempts): how far the search for ``wanted`` rows widens with the presence table."""
+    factor = None
+    for above, least, unit in reversed(WIDENING):
+        own = F.greatest(F.lit(least), wanted / unit)
+        factor = own if factor is None else F.when(n_presence > above, own).otherwise(factor)
+    attempts = F.least(F.floor(factor * BASE_ATTEMPTS), F.lit(MOST_ATTEMPTS)).cast("bigint")
+    return F.struct(factor.alias("factor"), attempts.alias("attempts"))
+
+
 def first_range(n: int) -> int:
     """Candidates drawn at first for ``n`` samples."""
     return max(10_000, 2 * n)

@@ -245,7 +245,7 @@ def absence_opposite_season(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "strategy_mix",
-    "G10 G11",
+    "G10",
     cte("obs")
     + """
 , n AS (SELECT count(*) AS n FROM obs WHERE elk_present = 1), s(strategy, share) AS (VALUES ('environmental', 0.4), ('unsuitable', 0.3), ('background', 0.2), ('temporal', 0.1))
@@ -260,6 +260,29 @@ def strategy_mix(spark: SparkSession, d: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), counted)
 
 
+@query(
+    "oversampling_factors",
+    "G11",
+    cte("obs")
+    + """
+, n AS (SELECT dataset, count(*) * times AS n, times FROM obs, (SELECT unnest([1, 20, 200])::BIGINT AS times) WHERE elk_present = 1 GROUP BY dataset, times),
+s(strategy, share) AS (VALUES ('environmental', 0.4), ('unsuitable', 0.3), ('background', 0.2), ('temporal', 0.1)),
+w AS (SELECT dataset, times, strategy, n, CAST(floor(n * share::DOUBLE) AS BIGINT) AS wanted FROM n, s),
+f AS (SELECT *, CASE WHEN n > 50000 THEN greatest(3.0::DOUBLE, wanted / 5000.0::DOUBLE) WHEN n > 10000 THEN greatest(2.0::DOUBLE, wanted / 10000.0::DOUBLE) ELSE greatest(1.0::DOUBLE, wanted / 10000.0::DOUBLE) END AS factor FROM w)
+SELECT dataset, times, strategy, wanted, round(factor, 6) AS factor, least(CAST(floor(factor * 10000) AS BIGINT), 1000000) AS attempts FROM f
+""",
+)
+def oversampling_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Search effort of each dataset and strategy, for the table as it is and for 20 and 200 of it."""
+    n = view(spark, d, "obs").filter("elk_present = 1").groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
+    sized = n.withColumn("times", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 20, 200)])))
+    shares = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(v).alias("share")) for k, v in absence.STRATEGY_SHARES.items()]))
+    rows = F.col("rows") * F.col("times")
+    wanted = sized.withColumn("s", shares).select("dataset", "times", "s.strategy", rows.alias("n"), F.floor(rows * F.col("s.share")).alias("wanted"))
+    out = wanted.withColumn("o", absence.oversampling(F.col("n"), F.col("wanted")))
+    return rounded(out.select("dataset", "times", "strategy", "wanted", "o.factor", "o.attempts"), ["factor"])
+
+
 @query(
     "absence_assembly",
     "G12 U1 U4",
