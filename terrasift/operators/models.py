@@ -11,9 +11,9 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,8 @@ from terrasift.operators import boosting
 from terrasift.operators.features import TARGET
 from terrasift.operators.quantiles import bucket_of
 from terrasift.operators.regions import with_region
-from terrasift.operators.sampling import stratified_split, with_folds
+from terrasift.operators.lineage import cut_lineage
+from terrasift.operators.sampling import stratified_split, with_folds, with_group_rank
 from terrasift.operators.stats import classifier_metrics, confusion, roc_auc
 from terrasift.operators.summaries import count_if
 
@@ -102,35 +103,32 @@ def random_split(df: DataFrame, key: list[str], label: str = TARGET, test_share:
 
 
 class CategoryCodes:
-    """Alphabetic category codes; null counts as ``unknown``, unseen values as the first."""
+    """Alphabetic category codes; null counts as ``unknown``, unseen values as the first.
+
+    Codes are tables of the distinct values, joined to the rows; no list of labels is collected.
+    """
 
     def __init__(self, columns: list[str]):
         self.columns = columns
-        self.model = None
+        self.codes: dict[str, DataFrame] = {}
 
     @staticmethod
-    def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
-        return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns})
+    def _filled(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
 
     def fit(self, df: DataFrame) -> CategoryCodes:
-        indexer = StringIndexer(
-            inputCols=self.columns,
-            outputCols=[f"{c}_code" for c in self.columns],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        )
-        self.model = indexer.fit(self._filled(df, self.columns))
+        for c in self.columns:
+            labels = df.select(self._filled(c).alias("_label")).distinct()
+            ranked = with_group_rank(labels, [], F.substring("_label", 1, 2), [F.col("_label")])
+            self.codes[c] = cut_lineage(ranked.select("_label", (F.col("rank") - 1).cast("double").alias(f"{c}_code")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._filled(df, self.columns))
-        sizes = [len(labels) for labels in self.model.labelsArray]
-        return out.withColumns(
-            {
-                f"{c}_code": F.when(F.col(f"{c}_code") >= n, 0.0).otherwise(F.col(f"{c}_code"))
-                for c, n in zip(self.columns, sizes)
-            }
-        )
+        out = df
+        for c in self.columns:
+            out = out.withColumn("_label", self._filled(c)).join(self.codes[c], "_label", "left").drop("_label")
+            out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0.0)))
+        return out
 
 
 def fill_cyclic(df: DataFrame) -> DataFrame:

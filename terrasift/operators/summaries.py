@@ -184,10 +184,11 @@ def grid_means(
     df: DataFrame, x: str, y: str, target: str, bins: int = 10, high: float = 0.6, low: float = 0.4
 ) -> DataFrame:
     """Mean and count of ``target`` on an equal-width ``bins`` x ``bins`` grid."""
-    edge = lambda f, c: df.agg(f(c)).scalar()
+    ends = [F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")]
+    edge = df.agg(F.struct(*ends).alias("e")).scalar()
     binned = df.select(
-        equal_width_bin(F.col(x), edge(F.min, x), edge(F.max, x), bins).alias("x_bin"),
-        equal_width_bin(F.col(y), edge(F.min, y), edge(F.max, y), bins).alias("y_bin"),
+        equal_width_bin(F.col(x), edge["x0"], edge["x1"], bins).alias("x_bin"),
+        equal_width_bin(F.col(y), edge["y0"], edge["y1"], bins).alias("y_bin"),
         F.col(target).alias("t"),
     )
     out = binned.groupBy("x_bin", "y_bin").agg(F.avg("t").alias("mean"), F.count("t").alias("count"))
