@@ -59,6 +59,18 @@ def join_dealt(rows: DataFrame, unique: DataFrame, keys: list[str], count: str,
     return dealt.drop("deal_parts").join(repeated.drop("deal_parts"), [*keys, "deal"]).drop("deal")
 
 
+def released(run):
+    """An Arrow function that hands its freed buffers back when a task is over; workers live on for others."""
+
+    def run_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run_once
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A batch's texts; null counts as empty."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
