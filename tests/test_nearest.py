@@ -108,3 +108,25 @@ def test_layers_share_a_walk(spark):
     for x in layers:
         alone = nearest(p, x.features, 50.0, x.feature_id, x.payload, max_candidates=6)
         assert {r["id"]: r["nearest"] for r in alone.collect()} == {i: r[x.out] for i, r in rows.items()}
+
+
+def test_points_without_a_feature_are_spread(spark):
+    """No null join keys: points that meet nothing, or have no place, aren't all put in one task."""
+    far = [(i, 44.0 + i / 1e4, -105.0) for i in range(300)]
+    p = spark.createDataFrame([*far, *((k, None, -105.0) for k in range(300, 600)), (600, 41.0, -111.0)], "id int, latitude double, longitude double")
+    f = spark.createDataFrame([(7, 41.0, -111.0)], "feature_id int, lat double, lon double")
+    out = nearest(p, f, 1.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(own" in plan and "LeftOuter, ((_ix" in plan and "strategy=merge" in plan
+    got = {r["id"]: r["nearest"] for r in out.collect()}
+    assert len(got) == 601 and [k for k, v in got.items() if v is not None] == [600]
+
+
+def test_equal_millimetres_take_the_smallest_id_and_its_own_distance(spark):
+    """Unrounded distances belong to the feature that wins by millimetres, not to the nearest one of all."""
+    p = spark.createDataFrame([(1, 43.0, -107.0)], "id int, latitude double, longitude double")
+    edge = lambda i, d: (i, 43.0 + d, -107.1, 43.0 + d, -106.9)
+    f = spark.createDataFrame([edge(9, 0.01), edge(4, 0.01 + 1e-9)], "feature_id int, lat1 double, lon1 double, lat2 double, lon2 double")
+    best = nearest_layers(p, [Layer(f, "hit", unrounded=True)]).first()["hit"]
+    k = 6371.0 * math.pi / 180
+    assert best["feature_id"] == 4 and best["distance_km"] == pytest.approx((0.01 + 1e-9) * k, abs=1e-9)
