@@ -228,7 +228,8 @@ def region_validation(
     drawn = boosting.labelled_sample(rows, features, label, key, F.col("region"), sample)
     jobs = [boosting.job(n, tune=threshold is None, **settings) for n in names]
     models = dict(zip(names, boosting.fitted(spark, drawn, jobs)))
-    scored = boosting.with_probability(rows, models, F.col("region"))
+    # every metric below reads the scores: they are computed once
+    scored = cut_lineage(boosting.with_probability(rows, models, F.col("region")).select("region", label, "p_present"))
     parts = []
     for name in names:
         cut = models[name]["threshold"] if threshold is None else threshold
@@ -255,11 +256,11 @@ def fold_validation(
     df: DataFrame, features: list[str], key: list[str], label: str = TARGET, folds: int = 5, seed: int = 42, sample: int = boosting.SAMPLE, **settings
 ) -> DataFrame:
     """Stratified k-fold metrics, one row per fold; fits on at most ``sample`` rows, metrics on all rows of the fold."""
-    rows = with_folds(_doubles(df, features, label).filter(F.col(label).isNotNull()), label, key, folds, seed)
+    rows = cut_lineage(with_folds(_doubles(df, features, label).filter(F.col(label).isNotNull()).select(*dict.fromkeys([*key, *features, label])), label, key, folds, seed))
     names = [str(k) for k in range(folds)]
     drawn = boosting.labelled_sample(rows, features, label, key, F.col("fold"), sample)
     models = dict(zip(names, boosting.fitted(df.sparkSession, drawn, [boosting.job(k, **settings) for k in names])))
-    scored = boosting.with_probability(rows, models, F.col("fold"))
+    scored = cut_lineage(boosting.with_probability(rows, models, F.col("fold")).select("fold", label, "p_present"))
     parts = []
     for k in range(folds):
         m = evaluate(scored.filter(F.col("fold") == k), label=label)
