@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.tables import keep, unused
+from terrasift.llm.tables import keep, released, unused
 
 # Frequent function words of each language, in no order of weight.
 COMMON_WORDS = {
@@ -110,7 +110,7 @@ def features(docs: DataFrame, id_column: str, text_column: str, lang_column: str
         docs[text_column].cast("string").alias("text"),
     )
     id_type = docs.schema[id_column].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {id_type}, lang string, {FEATURES}")
+    return own.mapInArrow(released(run), f"doc_id {id_type}, lang string, {FEATURES}")
 
 
 def references(found: DataFrame, least_docs: int) -> DataFrame:
@@ -134,7 +134,7 @@ def references(found: DataFrame, least_docs: int) -> DataFrame:
         for name, total in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [name] * (bins + 1), "bin": list(range(bins + 1)), "total": total.tolist()})
 
-    per_bin = found.mapInArrow(run, "lang string, bin bigint, total bigint").groupBy("lang", "bin").agg(F.sum("total").alias("total"))
+    per_bin = found.mapInArrow(released(run), "lang string, bin bigint, total bigint").groupBy("lang", "bin").agg(F.sum("total").alias("total"))
     totals = F.transform(F.array_sort(F.collect_list(F.struct("bin", "total"))), lambda x: x["total"])
     table = per_bin.groupBy("lang").agg(totals.alias("t"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.pieces import encoder
-from terrasift.llm.tables import by_bytes, keep, texts_of
+from terrasift.llm.tables import by_bytes, keep, released, texts_of
 
 RANKS = 1 << 48
 
@@ -136,7 +136,7 @@ def piece_rows(
                     ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
                 )
 
-    return own.mapInArrow(run, f"doc_id {id_type.simpleString()}, {PIECE}, task bigint, nth bigint")
+    return own.mapInArrow(released(run), f"doc_id {id_type.simpleString()}, {PIECE}, task bigint, nth bigint")
 
 
 def pack(
@@ -173,4 +173,4 @@ def pack(
 
     ranked = pieces.join(bases, ["length", "task"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
     id_type = docs.schema[id_column].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {id_type}, {PIECE}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(released(run), f"doc_id {id_type}, {PIECE}, sequence_id bigint, offset bigint")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.components import components
-from terrasift.llm.tables import keep, unused
+from terrasift.llm.tables import keep, released, unused
 from terrasift.llm.words import word_blocks
 
 SEGMENTS = 32
@@ -73,7 +73,7 @@ def fingerprints(
 
     id_type = docs.schema[id_column].dataType.simpleString()
     columns = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return columns.mapInArrow(run, f"doc_id {id_type}, bits bigint")
+    return columns.mapInArrow(released(run), f"doc_id {id_type}, bits bigint")
 
 
 def thermometer(bits: Column) -> Column:
@@ -172,7 +172,7 @@ def linked(nodes: DataFrame, bits: int = 4, crowd: int = 8192) -> DataFrame:
         .select("grid", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "bits", "code")
     )
     ready = dealt.repartition("grid", "cell", "a", "b").sortWithinPartitions("grid", "cell", "a", "b", "bits")
-    return ready.mapInArrow(_links(bits), "u bigint, v bigint")
+    return ready.mapInArrow(released(_links(bits)), "u bigint, v bigint")
 
 
 def near_copies(

@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by fingerprints and the exact Jaccard similarity of word shingles.
+
+The segment-popcount search of ``simhash`` comes first: it links fingerprints at few differing
+bits, so copies and lightly edited texts are connected by one test a text. A similarity of t
+may lie at more bits than that search can take; a prefix filter completes it, so that no pair
+at t or more is left out.
 
 Prefix filter: with the shingles of every text in one common order, two texts at Jaccard t or
 more share a shingle among the first n - ceil(t n) + 1 of both. The order puts shingles that
@@ -18,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.components import components
-from terrasift.llm.simhash import shingle_hashes
+from terrasift.llm.simhash import fingerprints, linked, shingle_hashes
 from terrasift.llm.tables import by_bytes, forget, keep, released, tidy, unused
 
 ROUNDS = (2, 16, None)  # how far apart in a cell, by size, the pairs of each round lie at most
+BITS = 4  # differing bits at which the fingerprint search links
 SAMPLE, COMMON = 16, 1 << 18
 BITMAP = 1 << 24
 PART = 1 << 20  # bytes of text in hand at a time
@@ -177,31 +183,65 @@ def _may_hold(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(released(run), "node bigint, text string")
 
 
+def fingerprint_pairs(texts: DataFrame, words: int, seed: int, bits: int = BITS) -> tuple[DataFrame, str]:
+    """Pairs ``(u, v)`` of nodes that connect what the segment-popcount search of ``simhash`` links, and their path.
+
+    A fingerprint's smallest node stands for it: pairs of linked fingerprints are pairs of these,
+    and every other node of a fingerprint is paired with it. So there are fewer pairs than nodes
+    and links, however large a group of copies is.
+    """
+    spark = texts.sparkSession
+    prints, prints_path = keep(fingerprints(texts, words, seed, "node").select(F.col("doc_id").alias("node"), "bits").distinct())
+    firsts, firsts_path = keep(prints.groupBy("bits").agg(F.min("node").alias("first")))
+    first_of = lambda side: firsts.select(F.col("bits").alias(side), F.col("first").alias(f"{side}_first"))
+    near = linked(firsts.select("bits"), bits).distinct().join(first_of("u"), "u").join(first_of("v"), "v")
+    same = prints.join(firsts, "bits").where("node <> first")
+    pairs = keep(
+        near.select(F.least("u_first", "v_first").alias("u"), F.greatest("u_first", "v_first").alias("v"))
+        .unionByName(same.select(F.col("first").alias("u"), F.col("node").alias("v")))
+        .distinct()
+    )
+    for path in (prints_path, firsts_path):
+        forget(spark, path)
+    return pairs
+
+
+def _linked_texts(texts: DataFrame, pairs: DataFrame, words: int, seed: int, fifths: int) -> tuple[DataFrame, str]:
+    """The pairs whose texts are similar enough, and the path of that table."""
+    spark = texts.sparkSession
+    nodes, nodes_path = keep(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    held, held_path = keep(_may_hold(texts, nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    tested = pairs.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(
+        held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u"
+    )
+    links = keep(tested.mapInArrow(released(_confirmed(words, seed, fifths)), "u bigint, v bigint"))
+    for path in (nodes_path, held_path):
+        forget(spark, path)
+    return links
+
+
 def similar_links(texts: DataFrame, words: int = 5, fifths: int = 4, seed: int = 42) -> DataFrame:
     """``(node, root)`` of the texts of ``texts(node, text)`` linked at a Jaccard of ``fifths`` / 5 or more."""
     spark = texts.sparkSession
+    pairs, pairs_path = fingerprint_pairs(texts, words, seed)
+    links, links_path = _linked_texts(texts, pairs, words, seed, fifths)
+    forget(spark, pairs_path)
+    link_paths, low = [links_path], 0
+    members, _ = keep(components(links))
+    tidy(spark)
     common = spark.sparkContext.broadcast(common_shingles(texts, words, seed))
     rows = texts.mapInArrow(released(_prefixes(words, seed, fifths, common)), "h bigint, n int, pos int, node bigint")
     ready = rows.repartition("h").sortWithinPartitions("h", "n", "node")
     cells, cells_path = keep(ready.mapInArrow(released(_shared), "h bigint, n int, pos int, node bigint"))
     crowded, crowded_path = keep(cells.groupBy("h").count().where(F.col("count") > CROWD))
-    links, link_paths, members, low = None, [], None, 0
     for turn, high in enumerate(ROUNDS):
-        named = cells.withColumn("comp", F.col("node"))
-        if members is not None:
-            named = cells.join(members, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        named = cells.join(members, "node", "left").withColumn("comp", F.coalesce("root", "node"))
         dealt = _dealt(named, crowded, turn, high is None).repartition("h").sortWithinPartitions("h", "n", "node")
         pairs, pairs_path = keep(dealt.mapInArrow(released(_pairs(low, high, fifths)), "u bigint, v bigint").distinct())
-        nodes, nodes_path = keep(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-        held, held_path = keep(_may_hold(texts, nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        tested = pairs.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(
-            held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u"
-        )
-        new, new_path = keep(tested.mapInArrow(released(_confirmed(words, seed, fifths)), "u bigint, v bigint"))
-        for path in (pairs_path, nodes_path, held_path):
-            forget(spark, path)
+        new, new_path = _linked_texts(texts, pairs, words, seed, fifths)
+        forget(spark, pairs_path)
         link_paths.append(new_path)
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         members, _ = keep(components(links))
         low = high
         tidy(spark)

@@ -8,7 +8,7 @@ import xxhash
 
 import corpus_pipeline
 from terrasift.llm import similar
-from terrasift.llm.simhash import drop_near_copies, shingle_hashes
+from terrasift.llm.simhash import drop_near_copies, fingerprint, shingle_hashes
 
 
 def brute_groups(texts, words=5):
@@ -69,3 +69,25 @@ def test_no_fragments_of_long_texts():
         want = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
         got = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text.encode(), 4, 42)])
         assert got.tolist() == [xxhash.xxh64_intdigest(x, 42) for x in want]
+
+
+def test_fingerprint_search_links_texts(spark, monkeypatch):
+    """The segment-popcount search alone connects what lies within its bits and is similar."""
+    monkeypatch.setattr(similar, "ROUNDS", ())
+    rng = random.Random(13)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(w), " ".join(w[:-1]), " ".join([*w[:-1], "tail"]), " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))]
+    prints = [fingerprint(t.encode(), 5, 42) for t in texts]
+    near = [[(a ^ b).bit_count() <= 4 for b in prints] for a in prints]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near[i][j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert len(set(label)) <= 30  # unrelated texts are far apart, edited ones mostly near
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in similar.drop_similar(docs).collect())
+    assert kept == sorted(set(label))
