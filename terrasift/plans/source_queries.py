@@ -13,6 +13,8 @@ from terrasift.plans.registry import query
 from terrasift.sources import feeds, presence, vector
 from terrasift.sources.surrogates import cte, table, view
 
+SERIES_ROWS = 250_000  # rows of the daily series dealt to one task, about
+
 
 @query(
     "gps_fixes",
@@ -165,7 +167,11 @@ def station_series_json(spark: SparkSession, d: str) -> DataFrame:
     value = lambda keep, v: F.collect_list(
         F.when(keep, F.struct(F.col("date").cast("string").alias("date"), F.col(v).alias("value")))
     )
-    docs = s.groupBy("station_id", F.trunc("date", "month").alias("m")).agg(
+    # tasks follow the table's size, so that a task's memory doesn't
+    rows = table(spark, d, "lineitem").count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SERIES_ROWS))
+    monthly = s.withColumn("m", F.trunc("date", "month")).repartition(parts, "station_id", "m")
+    docs = monthly.groupBy("station_id", "m").agg(
         value(day != 1, "swe_in").alias("swe"), value(day != 0, "depth_in").alias("depth")
     )
     element = lambda code, v: F.struct(
@@ -179,7 +185,7 @@ def station_series_json(spark: SparkSession, d: str) -> DataFrame:
             )
         )
     )
-    return feeds.station_series(docs.select(doc.alias("json"))).select("station", "date", "swe_in", "depth_in")
+    return feeds.station_series(docs.select(doc.alias("json")), parts=parts).select("station", "date", "swe_in", "depth_in")
 
 
 @query(

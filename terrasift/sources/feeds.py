@@ -20,17 +20,19 @@ FORECAST_SCHEMA = (
 )
 
 
-def station_series(documents: DataFrame, column: str = "json") -> DataFrame:
-    """(station, date, swe_in, depth_in): the union of days of both elements."""
+def station_series(documents: DataFrame, column: str = "json", parts: int | None = None) -> DataFrame:
+    """(station, date, swe_in, depth_in): the union of days of both elements.
+
+    ``parts`` is the number of tasks that collect the days; the session's if it is left out.
+    """
     s = documents.select(F.explode(F.from_json(column, SERIES_SCHEMA)).alias("s"))
     e = s.select(F.col("s.stationTriplet").alias("station"), F.explode("s.data").alias("e"))
     v = e.select("station", F.col("e.stationElement.elementCode").alias("code"), F.explode("e.values").alias("v"))
-    return (
-        v.groupBy("station", F.to_date("v.date").alias("date"))
-        .pivot("code", ["WTEQ", "SNWD"])
-        .agg(F.max("v.value"))
-        .withColumnsRenamed({"WTEQ": "swe_in", "SNWD": "depth_in"})
-    )
+    days = v.select("station", F.to_date("v.date").alias("date"), "code", "v.value")
+    if parts:
+        days = days.repartition(parts, "station", "date")
+    of = lambda code: F.max(F.when(F.col("code") == code, F.col("value")))
+    return days.groupBy("station", "date").agg(of("WTEQ").alias("swe_in"), of("SNWD").alias("depth_in"))
 
 
 def station_list(documents: DataFrame, column: str = "json", state: str = "WY") -> DataFrame:
