@@ -60,6 +60,15 @@ def test_seeds_of_crowded_places(spark, prefix, radius):
         assert found == [(k + 1, e["latitude"], e["longitude"], e["date"]) for k, e in enumerate(expected)]
 
 
+def test_days_whose_means_differ_by_a_sums_last_digits_tie(spark):
+    ring = [(-107.0, 43.0), (-106.0, 43.0), (-106.0, 44.0), (-107.0, 44.0)]
+    asked = spark.createDataFrame([(1, [{"lon": x, "lat": y} for x, y in ring])], "request_id int, ring array<struct<lon:double,lat:double>>")
+    means = {1: 70.0, 2: 70.00000000000003, 3: 70.0001, 4: 69.99999999999997, 5: None}
+    scored = spark.createDataFrame([(1, dt.date(2026, 10, k), m, m) for k, m in means.items()], "request_id int, date date, total_score double, road_score double")
+    got = predict.day_ranking(scored, asked, ["road"], F.lit("2026-10-05").cast("date")).collect()
+    assert [r["date"].day for r in sorted(got, key=lambda r: r["rank"])] == [3, 1, 2, 4, 5]
+
+
 def test_grid_lies_inside_the_ring(spark):
     g = predict.grid_points(requests(spark, SF), 5000.0)
     assert g.count() > 0
