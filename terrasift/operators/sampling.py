@@ -44,7 +44,8 @@ def with_group_rank(
     offsets = inside.alias("i").join(parts.alias("p"), same("i", "p", [*group, "_coarse"]))
     offsets = offsets.select("i.*", (F.col("p._above") + F.col("i._inside")).alias("_offset"), f"p.{out}_total").drop("_inside")
     numbered = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    joined = numbered.alias("l").join(offsets.alias("r"), same("l", "r", keys)).select("l.*", "r._offset", f"r.{out}_total")
+    # every row finds its bucket; a left join can't send the rows through the driver in place of the buckets
+    joined = numbered.alias("l").join(offsets.alias("r"), same("l", "r", keys), "left").select("l.*", "r._offset", f"r.{out}_total")
     return joined.withColumn(out, F.col("_offset") + F.col("_rn")).drop("_coarse", "_bucket", "_rn", "_offset")
 
 
