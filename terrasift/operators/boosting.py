@@ -91,15 +91,52 @@ def _shrunk(g: np.ndarray, alpha: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
 
 
+def leaf_value(g: np.ndarray, h: np.ndarray, s: Settings) -> np.ndarray:
+    return -s.rate * _shrunk(g, s.alpha) / (h + s.ridge)
+
+
+def empty_tree(depth: int) -> tuple[np.ndarray, ...]:
+    size = 2 ** (depth + 1) - 1
+    return np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size)
+
+
+def choose_splits(
+    hist_g: np.ndarray, hist_h: np.ndarray, columns: np.ndarray, first: int, tree: tuple[np.ndarray, ...], gains: np.ndarray, s: Settings
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Writes the values and the best splits of a level's nodes into ``tree``; (nodes split, sums of g and of h to their left)."""
+    feature, cut, missing_left, value = tree
+    score = lambda a, b: _shrunk(a, s.alpha) ** 2 / (b + s.ridge)
+    count = len(hist_g)
+    total_g, total_h = hist_g[:, 0].sum(axis=1), hist_h[:, 0].sum(axis=1)
+    value[first : first + count] = leaf_value(total_g, total_h, s)
+    best, best_g, best_h = np.full(count, 0.0), np.zeros(count), np.zeros(count)
+    for to_left in (False, True):
+        left_g = np.cumsum(hist_g[:, :, :MISSING], axis=2) + (hist_g[:, :, MISSING:] if to_left else 0)
+        left_h = np.cumsum(hist_h[:, :, :MISSING], axis=2) + (hist_h[:, :, MISSING:] if to_left else 0)
+        right_g, right_h = total_g[:, None, None] - left_g, total_h[:, None, None] - left_h
+        gain = score(left_g, left_h) + score(right_g, right_h) - score(total_g, total_h)[:, None, None]
+        gain[(left_h < s.least) | (right_h < s.least)] = 0.0
+        top = gain.reshape(count, -1).argmax(axis=1)
+        every = np.arange(count)
+        found = gain.reshape(count, -1)[every, top]
+        better = found > best + 1e-9
+        spot = first + np.flatnonzero(better)
+        best[better] = found[better]
+        best_g[better], best_h[better] = (v.reshape(count, -1)[every, top][better] for v in (left_g, left_h))
+        feature[spot], cut[spot] = columns[top[better] // MISSING], top[better] % MISSING
+        missing_left[spot], gains[spot] = to_left, found[better]
+    at = np.flatnonzero(feature[first : first + count] >= 0)
+    return at, best_g[at], best_h[at]
+
+
 def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray, columns: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     """One tree on the rows ``used`` and the features ``columns``, and each row's leaf."""
-    size, width = 2 ** (s.depth + 1) - 1, len(columns)
-    feature, cut, missing_left = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, bool)
-    value, gains = np.zeros(size), np.zeros(size)
+    width = len(columns)
+    tree = feature, cut, missing_left, value = empty_tree(s.depth)
+    gains = np.zeros(len(feature))
     node, every = np.zeros(len(bins), np.int64), np.arange(len(bins))
     own = bins[np.ix_(used, columns)] + np.arange(width) * WIDTH
     gu, hu = np.repeat(g[used], width), np.repeat(h[used], width)
-    score = lambda a, b: _shrunk(a, s.alpha) ** 2 / (b + s.ridge)
     for level in range(s.depth + 1):
         first, count = 2**level - 1, 2**level
         at = node[used] - first
@@ -108,28 +145,13 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray, colum
             break
         if level == s.depth or not width:
             total_g, total_h = (np.bincount(at[here], v[used][here], count) for v in (g, h))
-            value[first : first + count] = -s.rate * _shrunk(total_g, s.alpha) / (total_h + s.ridge)
+            value[first : first + count] = leaf_value(total_g, total_h, s)
             break
         index = (own + (at * width * WIDTH)[:, None])[here].ravel()
         wide = np.repeat(here, width)
         shape = (count, width, WIDTH)
         hist_g, hist_h = (np.bincount(index, v[wide], count * width * WIDTH).reshape(shape) for v in (gu, hu))
-        total_g, total_h = hist_g[:, 0].sum(axis=1), hist_h[:, 0].sum(axis=1)
-        value[first : first + count] = -s.rate * _shrunk(total_g, s.alpha) / (total_h + s.ridge)
-        best = np.full(count, 0.0)
-        for to_left in (False, True):
-            left_g = np.cumsum(hist_g[:, :, :MISSING], axis=2) + (hist_g[:, :, MISSING:] if to_left else 0)
-            left_h = np.cumsum(hist_h[:, :, :MISSING], axis=2) + (hist_h[:, :, MISSING:] if to_left else 0)
-            right_g, right_h = total_g[:, None, None] - left_g, total_h[:, None, None] - left_h
-            gain = score(left_g, left_h) + score(right_g, right_h) - score(total_g, total_h)[:, None, None]
-            gain[(left_h < s.least) | (right_h < s.least)] = 0.0
-            top = gain.reshape(count, -1).argmax(axis=1)
-            found = gain.reshape(count, -1)[np.arange(count), top]
-            better = found > best + 1e-9
-            spot = first + np.flatnonzero(better)
-            best[better] = found[better]
-            feature[spot], cut[spot] = columns[top[better] // MISSING], top[better] % MISSING
-            missing_left[spot], gains[spot] = to_left, found[better]
+        choose_splits(hist_g, hist_h, columns, first, tree, gains, s)
         node = np.where(node >= first, step(node, bins, every, feature, cut, missing_left), node)
     return feature, cut, missing_left, value, gains, node
 

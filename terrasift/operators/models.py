@@ -1,7 +1,7 @@
 """Training, validation and batch scoring of the presence classifier.
 
-``fit`` and ``score`` train on all rows with Spark ML. Validation by region or fold, the grid
-search and the final model use ``boosting``: many fits at once on a bounded sample.
+``fit`` and ``score`` train on all rows with Spark ML. Validation by region or fold fits on all rows
+with ``blockfit``; the grid search and the final model use ``boosting``: fits on a bounded sample.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasift.functions.temporal import encode_month_day
-from terrasift.operators import boosting
+from terrasift.operators import blockfit, boosting
 from terrasift.operators.features import TARGET
 from terrasift.operators.quantiles import bucket_of
 from terrasift.operators.regions import with_region
@@ -214,20 +214,25 @@ def feature_importance(model: PipelineModel, features: list[str], spark) -> Data
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def _held_out_models(rows: DataFrame, features: list[str], key: list[str], label: str, group: str, jobs: list[dict], sample: int | None) -> list[dict]:
+    """A model for each job, fitted on all rows outside its held-out group, or on those among ``sample`` rows."""
+    if sample is None:
+        return blockfit.fitted_on_all(rows, features, label, key, F.col(group), jobs)
+    return boosting.fitted(rows.sparkSession, boosting.labelled_sample(rows, features, label, key, F.col(group), sample), jobs)
+
+
 def region_validation(
-    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, threshold: float | None = 0.5, sample: int = boosting.SAMPLE, **settings
+    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, threshold: float | None = 0.5, sample: int | None = None, **settings
 ) -> DataFrame:
     """Leave-one-region-out metrics per held-out region; ``threshold`` None: chosen for each region.
 
-    The regions' models are fitted side by side, each on at most ``sample`` rows of the other
-    regions and the held-out ones together; the metrics are those of all rows of the region.
+    The regions' models are fitted side by side, each on all rows of the other regions (or, if
+    asked for, on those among a ``sample``); the metrics are those of all rows of the region.
     """
-    spark = df.sparkSession
     rows = with_region(_doubles(df, features, label)).filter(F.col(label).isNotNull())
     names = sorted(r["region"] for r in rows.select("region").distinct().collect())  # at most four labels
-    drawn = boosting.labelled_sample(rows, features, label, key, F.col("region"), sample)
     jobs = [boosting.job(n, tune=threshold is None, **settings) for n in names]
-    models = dict(zip(names, boosting.fitted(spark, drawn, jobs)))
+    models = dict(zip(names, _held_out_models(rows, features, key, label, "region", jobs, sample)))
     # every metric below reads the scores: they are computed once
     scored = cut_lineage(boosting.with_probability(rows, models, F.col("region")).select("region", label, "p_present"))
     parts = []
@@ -253,13 +258,13 @@ def summarise_validation(per_region: DataFrame, by: list[str] | None = None) ->
 
 
 def fold_validation(
-    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, folds: int = 5, seed: int = 42, sample: int = boosting.SAMPLE, **settings
+    df: DataFrame, features: list[str], key: list[str], label: str = TARGET, folds: int = 5, seed: int = 42, sample: int | None = None, **settings
 ) -> DataFrame:
-    """Stratified k-fold metrics, one row per fold; fits on at most ``sample`` rows, metrics on all rows of the fold."""
+    """Stratified k-fold metrics, one row per fold, of all its rows; fits on all rows of the other folds, or on those among a ``sample``."""
     rows = cut_lineage(with_folds(_doubles(df, features, label).filter(F.col(label).isNotNull()).select(*dict.fromkeys([*key, *features, label])), label, key, folds, seed))
     names = [str(k) for k in range(folds)]
-    drawn = boosting.labelled_sample(rows, features, label, key, F.col("fold"), sample)
-    models = dict(zip(names, boosting.fitted(df.sparkSession, drawn, [boosting.job(k, **settings) for k in names])))
+    jobs = [boosting.job(k, **settings) for k in names]
+    models = dict(zip(names, _held_out_models(rows, features, key, label, "fold", jobs, sample)))
     scored = cut_lineage(boosting.with_probability(rows, models, F.col("fold")).select("fold", label, "p_present"))
     parts = []
     for k in range(folds):
